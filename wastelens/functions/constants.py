@@ -151,4 +151,68 @@ SEARCH_SPACES = {
         "min_samples_leaf": [1, 2, 4], "subsample": [0.7, 0.85, 1.0],
     },
 }
+# Alert texts. Placeholders are filled by functions.text.render.
+ALERT_TITLES = {
+    OVERPRODUCTION: "Riesgo sobreproducción: {nombre}",
+    EXPIRING: "Vence en {dias} día(s): {nombre}",
+    OVERSTOCK: "Stock excesivo: {nombre}",
+    LOW_DEMAND: "Baja demanda: {nombre}",
+    HIGH_WASTE: "Alto desperdicio: {nombre}",
+    MENU: "Sin ventas en 30 días: {nombre}",
+    CRITICAL: "Alerta crítica: {nombre}",
+}
+ALERT_DESCRIPTIONS = {
+    OVERPRODUCTION: "El {pct} % de la producción de '{nombre}' fue sobrante en los últimos 30 días "
+    "({sobrante} de {preparada} unidades).",
+    EXPIRING: "'{nombre}' vence el {fecha}. Stock disponible: {stock} {unidad}.",
+    OVERSTOCK: "Stock de '{nombre}': {stock} {unidad} ({ratio}x el mínimo recomendado).",
+    LOW_DEMAND: "Las ventas de '{nombre}' cayeron {pct} % (de {previo} a {reciente} unidades en los últimos 30 días).",
+    HIGH_WASTE: "Costo de desperdicio de '{nombre}': S/ {costo} en los últimos 30 días "
+    "({cantidad} unidades desperdiciadas).",
+    MENU: "'{nombre}' no registra ventas en los últimos 30 días. Evaluar si debe permanecer en el menú.",
+    CRITICAL: "'{nombre}' presenta baja demanda y alto costo de desperdicio simultáneamente. "
+    "Requiere atención inmediata.",
+}
+ALERT_ADVICE = {
+    OVERPRODUCTION: "Reducir la producción diaria de '{nombre}' en aproximadamente {ajuste} %. "
+    "Actualmente se desperdicia el {pct} % de lo preparado. "
+    "Usar el historial de ventas de los últimos 7 días como referencia.",
+    EXPIRING: "Dar uso prioritario a '{nombre}' antes de {dias} día(s). Stock disponible: {stock} unidades. "
+    "Incorporar como ingrediente especial del día o aplicar descuento en el menú.",
+    OVERSTOCK: "El stock de '{nombre}' es {ratio}x el mínimo recomendado. "
+    "Pausar pedidos al proveedor y priorizar el consumo. "
+    "Revisar si hay platos que pueden incorporar este insumo en mayor cantidad.",
+    LOW_DEMAND: "Las ventas de '{nombre}' cayeron {pct} % respecto al mes anterior. "
+    "Evaluar una promoción, reducir precio temporalmente o mejorar presentación. "
+    "Considerar reducir producción mientras se implementa la mejora.",
+    HIGH_WASTE: "El costo de desperdicio de '{nombre}' fue S/ {costo} en los últimos 30 días. "
+    "Revisar porciones servidas, ajustar receta y capacitar al personal. "
+    "Registrar el motivo de cada desperdicio para identificar la causa raíz.",
+    MENU: "'{nombre}' no registra ventas en los últimos 30 días. "
+    "Considerar retirarlo del menú, actualizar su presentación o incluirlo en "
+    "un combo con mayor rotación para estimular su consumo.",
+    CRITICAL: "'{nombre}' presenta múltiples factores de riesgo simultáneos: baja demanda y alto desperdicio. "
+    "Acción inmediata recomendada: suspender temporalmente la producción, revisar la receta y consultar "
+    "con el equipo si debe mantenerse en el menú.",
+}
+ADVICE_CONTEXT = (
+    " Considerar que el clima es {clima} y hay {evento} hoy, lo que puede {efecto} la demanda."
+)
+
+# Recommendation and dashboard texts: (title, text).
+RECOMMENDATIONS = {
+    "stock_bajo": ("Reponer {nombre}",
+                   "Stock actual {stock} {unidad} es menor al mínimo ({minimo} {unidad}). Solicitar reposición urgente."),
+    "vencimiento": ("Usar pronto: {nombre}", "Vence en {dias} día(s) ({fecha}). Priorizar su uso en producción."),
+    "sobreproduccion": ("Reducir producción de {nombre}",
+                        "El {pct}% de la producción de {nombre} se desperdicia. Reducir cantidad preparada diaria."),
+    "motivo_desperdicio": ("Motivo frecuente: {motivo}",
+                           "En los últimos 30 días ocurrió {frecuencia} veces con costo de S/ {costo}. "
+                           "Implementar plan de mejora."),
+}
+DASHBOARD_ALERTS = {
+    "stock_bajo": ("Stock bajo: {nombre}", "Stock actual: {stock} {unidad}"),
+    "vencimiento": ("Por vencer: {nombre}", "Vence el {fecha}"),
+}
+OUTBOX_WASTE = ("Desperdicio crítico: {pct}%", "El desperdicio alcanzó {pct}% superando el umbral permitido de {umbral}%.")
 # ---- end of fixed values ------------------------------------------------------------------

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wastelens.asof import in_period, today
-from wastelens.operators import bi
+from wastelens.functions import constants as K
+from wastelens.operators import bi, common, footprint, listing, replenish, rules
+from wastelens.sources.trade_tables import CO2_BY_WORD, WATER_BY_WORD
 
 BI: dict[str, Callable[..., DataFrame]] = {
     "a01_kpis": bi.kpis,
@@ -40,4 +43,75 @@ BI: dict[str, Callable[..., DataFrame]] = {
     "r14_waste_over_limit": lambda wh: bi.waste_over_limit(wh, limit=0.05),
 }
 
-CATALOG: dict[str, Callable[..., DataFrame]] = {**BI}
+LISTING: dict[str, Callable[..., DataFrame]] = {
+    "p01_active_dishes": listing.active_dishes,
+    "p02_recent_waste": listing.recent_waste,
+    "p03_week_tickets": listing.week_tickets,
+    "p04_previous_production": listing.previous_production,
+    "p05_to_date_tickets": listing.to_date_tickets,
+    "p06_stock_flags": replenish.stock_flags,
+    "p07_expiring": lambda wh: replenish.expiring(wh).select("id_insumo", "nombre", "fecha_vencimiento", "dias"),
+    "p08_expiry_status": replenish.expiry_status,
+    "p09_filtered_alerts": lambda wh: listing.filtered_alerts(wh, [K.LOW_DEMAND, K.HIGH_WASTE], "leida"),
+    "p10_dish": lambda wh: listing.dish(wh, 7),
+    "p11_ingredient_values": listing.ingredient_values,
+    "p13_ticket_lines": listing.ticket_lines,
+    "p14_ticket_pricing": listing.ticket_pricing,
+    "p15_permission_audit": listing.permission_audit,
+    "p16_contact_quality": listing.contact_quality,
+    "p17_waste_listing": listing.waste_listing,
+    "p17_production_listing": listing.production_listing,
+    "p17_recipe_listing": listing.recipe_listing,
+    "p18_over_limit_dishes": listing.over_limit_dishes,
+    "p19_ingredient_in_restaurant": lambda wh: replenish.ingredient_in_restaurant(wh, wh.platos.select(
+        "id_plato", "id_restaurante",
+        F.concat(F.lit("Supplier#"), F.lpad((F.col("id_plato") % 100).cast("string"), 9, "0")).alias("insumo"))),
+    "t04_latest_tickets": listing.latest_tickets,
+    "t04_audit_report": listing.audit_report,
+    "t06_audit_log": lambda wh: listing.audit_log(wh, module="ventas", result="exito"),
+    "f08_text_formats": listing.text_formats,
+    "s02_sales_lines": listing.sales_lines,
+    "s03_dish_transactions": lambda wh: listing.sales_lines(wh, 7),
+    "j02_production_by_dish": listing.production_by_dish,
+    "j03_waste_by_category": listing.waste_named,
+    "j12_units_by_name": common.units_by_name,
+}
+
+OPERATIONS: dict[str, Callable[..., DataFrame]] = {
+    "j04_unsold_dishes": lambda wh: rules.demand_change(wh).filter("ventas_recientes = 0").select("id_plato", "nombre"),
+    "j06_low_and_costly": lambda wh: rules.combined_risk(wh).select("id_plato"),
+    "j07_demand_change": lambda wh: rules.demand_change(wh).withColumn("caida", F.round("caida", 4)).drop("estado"),
+    "j08_ingredient_need": lambda wh: replenish.ingredient_need(wh).withColumn("necesario", F.round("necesario", 4)),
+    "j09_item_factors": lambda wh: footprint.item_factors(wh, CO2_BY_WORD, WATER_BY_WORD),
+    "u03_active_minus_sold": lambda wh: wh.platos.filter("estado").select("id_plato").subtract(
+        common.dated_lines(wh, lambda v: bi.trailing(v, wh.as_of, 30)).select("id_plato")),
+    "a08_purchase_list": replenish.purchase_list,
+    "a08_purchase_totals": replenish.purchase_totals,
+    "a09_orders_by_supplier": replenish.orders_by_supplier,
+    "a10_footprint_totals": lambda wh: footprint.footprint_totals(wh, 30, CO2_BY_WORD, WATER_BY_WORD),
+    "a11_footprint_by_category": lambda wh: footprint.footprint_by_category(wh, 30, CO2_BY_WORD, WATER_BY_WORD),
+    "r01_overproduction": rules.overproduction,
+    "r02_expiring_soon": rules.expiring_soon,
+    "r03_overstock": rules.overstock,
+    "r04_low_demand": rules.low_demand,
+    "r05_high_waste": rules.high_waste,
+    "r06_unsold": rules.unsold,
+    "r07_combined_risk": rules.combined_risk,
+    "r07_combined_risk_history": rules.combined_risk_history,
+    "u01_generate_alerts": rules.generate_alerts,
+    "f15_alerts_with_context": lambda wh: rules.generate_alerts(wh, weather=3, event=2),
+    "a32_run_summary": rules.run_summary,
+    "j05_cooled_down": rules.cooled_down,
+    "r08_dish_risk": rules.dish_risk,
+    "r09_active_alerts": rules.active_alerts,
+    "r10_current_states": lambda wh: rules.current_states(wh.cambios_alerta),
+    "a38_counts_by_level": lambda wh: rules.counts_by_level(wh.alertas.filter("estado = 'pendiente'")),
+    "r11_recommendations": rules.recommendations,
+    "a39_recommendations_by_severity": rules.recommendations_by_severity,
+    "r12_dashboard_alerts": rules.dashboard_alerts,
+    "r13_to_notify": rules.to_notify,
+    "s16_outbox_to_resend": lambda wh: rules.to_resend(
+        rules.waste_outbox(wh, 0.05, delivered=F.dayofmonth("fecha") % 3 != 0)),
+}
+
+CATALOG: dict[str, Callable[..., DataFrame]] = {**BI, **LISTING, **OPERATIONS}
