@@ -12,6 +12,11 @@ def rd(c: Column, digits: int) -> Column:
     return F.round(c.cast("double"), digits)
 
 
+def steady_round(c: Column, digits: int) -> Column:
+    """Half-up rounding that ignores the noise that the order of a floating sum leaves behind."""
+    return F.round(c.try_cast("decimal(38,9)"), digits).cast("double")
+
+
 def pct(part: Column, whole: Column) -> Column:
     """100 * part / whole as double; 0 when the whole is not positive."""
     part, whole = part.cast("double"), whole.cast("double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wastelens.asof import in_period, today
 from wastelens.functions import constants as K
-from wastelens.operators import bi, common, footprint, listing, replenish, rules
+from wastelens.operators import bi, cleaning, common, eda, footprint, listing, metrics, naive, plan, replenish, rules, series, tests_stat
 from wastelens.sources.trade_tables import CO2_BY_WORD, WATER_BY_WORD
 
 BI: dict[str, Callable[..., DataFrame]] = {
@@ -114,4 +114,142 @@ OPERATIONS: dict[str, Callable[..., DataFrame]] = {
         rules.waste_outbox(wh, 0.05, delivered=F.dayofmonth("fecha") % 3 != 0)),
 }
 
-CATALOG: dict[str, Callable[..., DataFrame]] = {**BI, **LISTING, **OPERATIONS}
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 4) for c in columns})
+
+
+PAST = ["cantidad", *[f"lag_{k}" for k in series.LAGS], *[f"media_movil_{w}" for w in series.MEANS]]
+
+
+def _daily(wh) -> DataFrame:
+    """Continuous daily series per dish category."""
+    return series.continuous(series.daily_series(wh))
+
+
+def _features(wh) -> DataFrame:
+    return series.enriched(series.daily_demand(wh), wh.platos)
+
+
+def _future(wh) -> DataFrame:
+    reference = series.last_week_mean(_daily(wh)).join(
+        series.category_codes(wh.platos).withColumnRenamed("categoria", "serie"), "serie")
+    return series.future_rows(reference, F.col("fin"), 7).drop("fin")
+
+
+SERIES: dict[str, Callable[..., DataFrame]] = {
+    "c01_clean": lambda wh: cleaning.clean(cleaning.raw_transactions(wh), ["linea"]),
+    "c01_cleaning_warnings": lambda wh: cleaning.cleaning_warnings(cleaning.raw_transactions(wh)),
+    "t08_keep_first": lambda wh: wh.detalle_ventas.groupBy("id_venta", "id_plato").agg(
+        F.min(F.struct("linea", "cantidad", "subtotal")).alias("r")).select("id_venta", "id_plato", "r.linea"),
+    "a21_daily_demand": series.daily_demand,
+    "a22_daily_series": series.daily_series,
+    "a22_brand_series": lambda wh: series.daily_series(wh, "marca"),
+    "a23_descriptive": lambda wh: eda.descriptive(_daily(wh)),
+    "a24_null_counts": lambda wh: cleaning.null_counts(
+        wh.desperdicios, ["id_plato", "id_insumo", "motivo"], ["id_restaurante"]),
+    "a25_duplicates": lambda wh: cleaning.duplicate_count(listing.sales_lines(wh), ["categoria"]),
+    "a26_histogram": lambda wh: eda.histogram(_daily(wh)),
+    "a27_by_weekday": lambda wh: eda.by_weekday(_daily(wh)),
+    "a28_by_month": lambda wh: eda.by_month(_daily(wh)),
+    "a29_correlations": lambda wh: eda.correlations(_features(wh), "categoria"),
+    "a30_code_counts": lambda wh: eda.code_counts(_features(wh), "categoria"),
+    "a31_coverage": lambda wh: eda.coverage(listing.sales_lines(wh), "categoria"),
+    "a34_signature": lambda wh: series.signature(common.dated_lines(wh), ["id_plato"]),
+    "a39_box_positions": lambda wh: eda.box_positions(_daily(wh)),
+    "c02_continuous": lambda wh: _rounded(_daily(wh), "cantidad"),
+    "c03_lags_and_means": lambda wh: _rounded(series.lags_and_means(_daily(wh)), *PAST),
+    "c04_scaler_parameters": lambda wh: _rounded(series.scaler_parameters(
+        series.chronological_split(series.lags_and_means(_daily(wh))), PAST), "media", "escala"),
+    "c05_prepared": lambda wh: series.prepared(wh).select(
+        "serie", "fecha", "idx", "bloque", *[F.round(f"{c}_esc", 4).alias(f"{c}_esc") for c in PAST]),
+    "c05_warnings": lambda wh: series.preparation_warnings(_daily(wh)),
+    "c06_features": lambda wh: _rounded(_features(wh), "ventas_7d"),
+    "c07_future_rows": lambda wh: _rounded(_future(wh), "ventas_7d"),
+    "c08_eda_bundle": lambda wh: eda.bundle(listing.sales_lines(wh), _daily(wh), "categoria"),
+    "c09_outliers": lambda wh: eda.outliers(_daily(wh)),
+    "w01_trailing_mean": lambda wh: _rounded(series.trailing_mean(series.daily_demand(wh)), "ventas_7d").select(
+        "fecha", "id_plato", "ventas_7d"),
+    "w05_split": lambda wh: series.chronological_split(_daily(wh)).select("serie", "fecha", "idx", "bloque"),
+    "w06_holdout": lambda wh: series.holdout_split(_daily(wh)).select("serie", "fecha", "n_train", "es_test"),
+    "w07_tuning_split": lambda wh: series.tuning_split(_daily(wh)).select(
+        "serie", "fecha", (F.col("idx") <= F.col("n_train")).alias("es_train")),
+    "w08_folds": lambda wh: series.fold_table(_daily(wh)),
+    "w09_last_week_mean": lambda wh: _rounded(series.last_week_mean(_daily(wh)), "ventas_7d"),
+}
+
+
+
+def _holdout(wh) -> DataFrame:
+    return naive.holdout_predictions(_daily(wh))
+
+
+def _scores(wh) -> DataFrame:
+    return metrics.score(_holdout(wh), ["serie", "modelo"])
+
+
+def _best(wh) -> DataFrame:
+    return metrics.winners(_scores(wh), ["serie"]).select("serie", F.col("modelo").alias("ganador"))
+
+
+def _pairs(wh) -> DataFrame:
+    return tests_stat.pairs_with_best(tests_stat.errors(_holdout(wh)), _best(wh))
+
+
+def _fold_scores(wh) -> DataFrame:
+    return metrics.score(naive.fold_predictions(_daily(wh)), ["serie", "modelo", "fold"])
+
+
+def _fold_slices(wh) -> DataFrame:
+    """Transactions inside the training range of every fold, per fold. Lines are counted per
+    (series, day) before they meet the folds of their own series."""
+    days = listing.sales_lines(wh).groupBy(F.col("categoria").alias("serie"), "fecha").agg(
+        F.count("*").alias("t"), F.sum("cantidad").alias("q"))
+    inside = F.col("fecha").between(F.col("fecha_inicio_train"), F.col("fecha_fin_train"))
+    return days.join(series.fold_table(_daily(wh)), "serie").filter(inside).groupBy("serie", "fold").agg(
+        F.sum("t").cast("long").alias("transacciones"), F.sum("q").cast("long").alias("unidades"))
+
+
+def _holm_over_folds(wh) -> DataFrame:
+    """Friedman test per fold, adjusted within each series."""
+    folds = naive.fold_predictions(_daily(wh))
+    key = F.concat_ws("|", "serie", F.col("fold").cast("string"))
+    tests = tests_stat.friedman(tests_stat.errors(folds.withColumn("serie", key)))
+    parts = F.split("serie", "[|]")
+    tests = tests.select(parts[0].alias("serie"), parts[1].cast("int").alias("fold"), parts[1].alias("modelo_b"), "p_valor")
+    return tests_stat.holm(tests, ["serie"]).select("serie", "fold", "p_valor", "p_valor_ajustado")
+
+
+def _window_search(wh) -> DataFrame:
+    candidates = naive.window_candidates(series.tuning_split(_daily(wh)), [1, 3, 7, 14, 28])
+    scored = metrics.score(candidates, ["serie", "ventana"])
+    return scored.groupBy("serie").agg(F.min_by("ventana", F.struct("mae", "ventana")).alias("ventana"), F.min("mae").alias("mae"))
+
+
+FORECAST: dict[str, Callable[..., DataFrame]] = {
+    "j13_aligned_errors": lambda wh: _rounded(_pairs(wh), "ec", "eg"),
+    "j14_fold_slices": _fold_slices,
+    "e06_holdout_scores": _scores,
+    "e06_fold_scores": _fold_scores,
+    "a33_across_folds": lambda wh: metrics.across_folds(_fold_scores(wh), ["serie", "modelo"]),
+    "m13_holdout_predictions": lambda wh: _rounded(_holdout(wh), "y", "yhat", "previo"),
+    "m16_window_search": _window_search,
+    "m18_fold_predictions": lambda wh: _rounded(naive.fold_predictions(_daily(wh)), "y", "yhat", "previo"),
+    "w10_model_ranking": lambda wh: metrics.ranked(_scores(wh), ["serie"]).select("serie", "modelo", "mae", "posicion"),
+    "w11_winners": _best,
+    "w13_friedman_ranks": lambda wh: tests_stat.friedman_ranks(tests_stat.errors(_holdout(wh))).select(
+        "serie", "modelo", "fecha", "rango"),
+    "w15_dm_statistic": lambda wh: _rounded(tests_stat.dm_statistic(_pairs(wh)).drop("sin_varianza"), "dm"),
+    "w14_wilcoxon_statistic": lambda wh: tests_stat.wilcoxon_statistic(_pairs(wh)),
+    "e08_friedman": lambda wh: tests_stat.friedman(tests_stat.errors(_holdout(wh))).select(
+        "serie", "n", "estadistico", "p_valor", "significativo"),
+    "e07_diebold_mariano": lambda wh: tests_stat.diebold_mariano(_pairs(wh)),
+    "e09_wilcoxon": lambda wh: tests_stat.wilcoxon(_pairs(wh)),
+    "e10_holm": _holm_over_folds,
+    "e11_winner_text": lambda wh: plan.winner_text(metrics.winners(_scores(wh), ["serie"])),
+    "u04_all_tests": lambda wh: tests_stat.all_tests(_holdout(wh), _best(wh)),
+    "f12_naive_plan": lambda wh: plan.production_plan(_holdout(wh), _scores(wh), ["serie", "modelo"]),
+}
+
+CATALOG: dict[str, Callable[..., DataFrame]] = {**BI, **LISTING, **OPERATIONS, **SERIES, **FORECAST}
