@@ -20,6 +20,7 @@ from wastelens.session import cut_lineage
 
 SEED = 42
 MIN_ROWS = 5
+ROWS_PER_PARTITION = 50_000
 NODE_MEMORY_MB = 128  # per-task statistics of one group of tree nodes
 
 
@@ -75,10 +76,18 @@ def _steps(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return rows.withColumn("paso", step).select(*keys, "paso", F.greatest(F.lit(0.0), value * F.col("media")).alias("yhat"))
 
 
+def _training_set(rows: DataFrame) -> DataFrame:
+    """Written features with few enough partitions that each holds a useful number of rows: the
+    node statistics of a tree fit are sent once per partition. Never more than the files give."""
+    rows = cut_lineage(rows, "rasgos")
+    useful = -(-rows.count() // ROWS_PER_PARTITION)
+    return rows.coalesce(max(1, useful))
+
+
 def fit_predict(train: DataFrame, heads: DataFrame, keys: list[str], kind: str = "random_forest", **hp) -> DataFrame:
     """Attention features, then one pooled regressor. The features are written once: the fit
     passes over them many times, and a lost executor costs a re-read, not a re-computation."""
-    rows = cut_lineage(attended(train, heads, keys), "rasgos")
+    rows = _training_set(attended(train, heads, keys))
     model = regressor(kind, **hp).fit(rows.filter(~F.col("futuro") & F.col("label").isNotNull()))
     return _steps(model.transform(rows.filter("futuro")), keys, F.col("prediction"))
 
@@ -93,7 +102,7 @@ def stacked(train: DataFrame, heads: DataFrame, keys: list[str], folds: int = 5,
     """Four regressors combined by a ridge meta-learner that is fitted on out-of-fold predictions
     (contiguous blocks of each series). Returns (predictions, meta weights)."""
     stack = stack or STACK
-    rows = cut_lineage(attended(train, heads, keys), "rasgos")
+    rows = _training_set(attended(train, heads, keys))
     position = F.row_number().over(W.partitionBy(*keys).orderBy("fecha")) - 1
     block = F.floor(position * folds / F.count("*").over(W.partitionBy(*keys))).cast("int")
     past = rows.filter(~F.col("futuro") & F.col("label").isNotNull()).withColumn("bloque", block)

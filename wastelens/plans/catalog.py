@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wastelens.asof import in_period, today
 from wastelens.functions import constants as K
 from wastelens.operators import bi, cleaning, common, eda, footprint, listing, metrics, naive, plan, replenish, rules, series, tests_stat
+from wastelens.plans.model_queries import MODELS
 from wastelens.sources.trade_tables import CO2_BY_WORD, WATER_BY_WORD
 
 BI: dict[str, Callable[..., DataFrame]] = {
@@ -252,4 +253,4 @@ FORECAST: dict[str, Callable[..., DataFrame]] = {
     "f12_naive_plan": lambda wh: plan.production_plan(_holdout(wh), _scores(wh), ["serie", "modelo"]),
 }
 
-CATALOG: dict[str, Callable[..., DataFrame]] = {**BI, **LISTING, **OPERATIONS, **SERIES, **FORECAST}
+CATALOG: dict[str, Callable[..., DataFrame]] = {**BI, **LISTING, **OPERATIONS, **SERIES, **FORECAST, **MODELS}
