@@ -103,7 +103,7 @@ LEFT JOIN platos USING (id_plato)""", LINES),
     "m02_lag_sums": sql(SUMS, RETR),
     "m03_first_order": sql(f"SELECT serie, {rnd('regr_intercept(cantidad, l1)')} AS constante, {rnd('regr_slope(cantidad, l1)')} AS pendiente FROM lags GROUP BY 1", RETR),
     "m04_design_sums": sql(SUMS, DESIGN),
-    "m05_smoothing_fixed": sql("""SELECT serie, CAST(paso AS INTEGER) AS n, round(l, 4) AS nivel, round(b, 4) AS tendencia, round(s[1], 4) AS temporada, round(sqrt(sse / paso), 4) AS rmse
+    "m05_smoothing_fixed": sql("""SELECT serie, CAST(paso AS INTEGER) AS n, round(l, 4) AS nivel, round(b, 4) AS tendencia, round(rec.s[1], 4) AS temporada, round(sqrt(sse / paso), 4) AS rmse
 FROM rec JOIN ini USING (serie) WHERE paso = n""", SMOOTH + """,
 rec AS (SELECT serie, 0 AS paso, l0 AS l, b0 AS b, list_transform(s, lambda v: v - l0) AS s, 0.0::DOUBLE AS sse FROM ini
   UNION ALL

@@ -61,6 +61,8 @@ def signed_rank_p(w: pd.Series, n: pd.Series, ties: pd.Series, zeros: pd.Series)
     for stat, count, tie, zero in zip(w, n, ties, zeros):
         if pd.isna(stat):
             out.append(None)
+        elif count == 0:
+            out.append(1.0)
         elif count <= 50 and tie == 0 and zero == 0:
             out.append(_signed_rank_exact(stat, int(count)))
         else:

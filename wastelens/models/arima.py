@@ -66,7 +66,7 @@ def order_fits(rows: DataFrame, keys: list[str], orders=None) -> DataFrame:
     sums = gram_sums(lagged, keys, design).withColumn("o", F.explode(options))
     fits = sums.withColumn("fit", solve("gram", "o.take", double_array([0.0] * width)))
     n, sse = F.col("fit.n"), F.col("fit.sse")
-    aic = F.when(sse > 0, n * F.log(sse / n) + 2 * (F.col("o.p") + F.col("o.q") + 2))
+    aic = F.when(sse >= 0, n * F.log(F.greatest(sse, F.lit(1e-9)) / n) + 2 * (F.col("o.p") + F.col("o.q") + 2))
     return fits.select(*keys, "o.p", "o.q", aic.alias("aic"), F.col("fit.coef").alias("coef"))
 
 

@@ -20,7 +20,7 @@ from wastelens.session import cut_lineage
 
 SEED = 42
 MIN_ROWS = 5
-ROWS_PER_PARTITION = 50_000
+ROWS_PER_PARTITION = 1_500
 NODE_MEMORY_MB = 128  # per-task statistics of one group of tree nodes
 
 

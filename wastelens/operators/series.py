@@ -197,8 +197,13 @@ def last_week_mean(series: DataFrame, rows: int = 7) -> DataFrame:
 
 
 def prepared(wh, key: str = "categoria") -> DataFrame:
-    """The full preparation: continuous series, past-only features, split, train-only scaling."""
-    series = lags_and_means(continuous(daily_series(wh, key)))
+    """The full preparation of a warehouse's demand."""
+    return prepared_rows(daily_series(wh, key))
+
+
+def prepared_rows(daily: DataFrame) -> DataFrame:
+    """Continuous series, past-only features, split, train-only scaling."""
+    series = lags_and_means(continuous(daily))
     columns = ["cantidad", *[f"lag_{k}" for k in LAGS], *[f"media_movil_{w}" for w in MEANS]]
     return scaled(chronological_split(series), columns)
 

@@ -11,6 +11,7 @@ from wastelens.asof import in_period, today
 from wastelens.functions import constants as K
 from wastelens.operators import bi, cleaning, common, eda, footprint, listing, metrics, naive, plan, replenish, rules, series, tests_stat
 from wastelens.plans.model_queries import MODELS
+from wastelens.session import cut_lineage
 from wastelens.sources.trade_tables import CO2_BY_WORD, WATER_BY_WORD
 
 BI: dict[str, Callable[..., DataFrame]] = {
@@ -190,12 +191,20 @@ def _scores(wh) -> DataFrame:
     return metrics.score(_holdout(wh), ["serie", "modelo"])
 
 
-def _best(wh) -> DataFrame:
-    return metrics.winners(_scores(wh), ["serie"]).select("serie", F.col("modelo").alias("ganador"))
+def _best_of(predictions: DataFrame) -> DataFrame:
+    scores = metrics.score(predictions, ["serie", "modelo"])
+    return metrics.winners(scores, ["serie"]).select("serie", F.col("modelo").alias("ganador"))
 
 
 def _pairs(wh) -> DataFrame:
-    return tests_stat.pairs_with_best(tests_stat.errors(_holdout(wh)), _best(wh))
+    """The predictions are written once: winner, pairs and ranks all read them."""
+    predictions = cut_lineage(_holdout(wh), "pronosticos")
+    return tests_stat.pairs_with_best(tests_stat.errors(predictions), _best_of(predictions))
+
+
+def _tests(wh) -> DataFrame:
+    predictions = cut_lineage(_holdout(wh), "pronosticos")
+    return tests_stat.all_tests(predictions, _best_of(predictions))
 
 
 def _fold_scores(wh) -> DataFrame:
@@ -238,7 +247,7 @@ FORECAST: dict[str, Callable[..., DataFrame]] = {
     "m16_window_search": _window_search,
     "m18_fold_predictions": lambda wh: _rounded(naive.fold_predictions(_daily(wh)), "y", "yhat", "previo"),
     "w10_model_ranking": lambda wh: metrics.ranked(_scores(wh), ["serie"]).select("serie", "modelo", "mae", "posicion"),
-    "w11_winners": _best,
+    "w11_winners": lambda wh: _best_of(_holdout(wh)),
     "w13_friedman_ranks": lambda wh: tests_stat.friedman_ranks(tests_stat.errors(_holdout(wh))).select(
         "serie", "modelo", "fecha", "rango"),
     "w15_dm_statistic": lambda wh: _rounded(tests_stat.dm_statistic(_pairs(wh)).drop("sin_varianza"), "dm"),
@@ -249,7 +258,7 @@ FORECAST: dict[str, Callable[..., DataFrame]] = {
     "e09_wilcoxon": lambda wh: tests_stat.wilcoxon(_pairs(wh)),
     "e10_holm": _holm_over_folds,
     "e11_winner_text": lambda wh: plan.winner_text(metrics.winners(_scores(wh), ["serie"])),
-    "u04_all_tests": lambda wh: tests_stat.all_tests(_holdout(wh), _best(wh)),
+    "u04_all_tests": _tests,
     "f12_naive_plan": lambda wh: plan.production_plan(_holdout(wh), _scores(wh), ["serie", "modelo"]),
 }
 

@@ -26,9 +26,15 @@ def daily(wh) -> DataFrame:
     return series.continuous(series.daily_series(wh))
 
 
+def daily_table(wh) -> DataFrame:
+    """The same, written once: a model passes over its series several times, and that must not
+    read the facts again."""
+    return cut_lineage(daily(wh), "series")
+
+
 def _split(wh):
     """Training rows and horizons of the hold-out split of every category series."""
-    rows = series.holdout_split(daily(wh))
+    rows = series.holdout_split(daily_table(wh))
     train = rows.filter(~F.col("es_test")).select("serie", "fecha", "cantidad")
     heads = rows.filter("es_test").groupBy("serie").agg(F.count("*").cast("int").alias("h"))
     return train, heads
@@ -120,25 +126,25 @@ def dish_forecast(wh, kind: str = "regresion_lineal", horizon: int = 7) -> DataF
 def three_models(wh) -> DataFrame:
     models = {"arima": arima.fit_predict, "tendencia": trend.fit_predict,
               "hibrido": partial(_stacked, folds=2, stack=LINEAR_STACK)}
-    return experiment.compare(cut_lineage(daily(wh), "series"), models).scores
+    return experiment.compare(daily_table(wh), models).scores
 
 
 def five_models(wh) -> DataFrame:
-    return experiment.compare(cut_lineage(daily(wh), "series")).scores
+    return experiment.compare(daily_table(wh)).scores
 
 
 def statistical_future(wh) -> DataFrame:
-    rows = cut_lineage(daily(wh), "series")
+    rows = daily_table(wh)
     compared = experiment.compare(rows, experiment.STATISTICAL)
     return experiment.future(rows, compared.best, 7, experiment.STATISTICAL)
 
 
 def statistical_folds(wh) -> DataFrame:
-    return experiment.walk_forward(cut_lineage(daily(wh), "series"), experiment.STATISTICAL)
+    return experiment.walk_forward(daily_table(wh), experiment.STATISTICAL)
 
 
 def tuned_smoothing(wh) -> DataFrame:
-    return experiment.tune(cut_lineage(daily(wh), "series"), "holt_winters")
+    return experiment.tune(daily_table(wh), "holt_winters")
 
 
 def experiment_tests(wh) -> DataFrame:
@@ -221,14 +227,14 @@ def seed_missing(wh) -> DataFrame:
 
 def saved_parameters_forecast(wh) -> DataFrame:
     """Fit, save, list, and forecast from the stored parameters only."""
-    root, rows = shared_dir(wh.spark, "modelos"), cut_lineage(daily(wh), "series")
+    root, rows = shared_dir(wh.spark, "modelos"), daily_table(wh)
     runs.save_parameters(root, "r1", "holt_winters", holt_winters.fit(rows, KEY), series.signature(rows, KEY))
     return runs.saved_forecast(wh.spark, root, "holt_winters").withColumn("yhat", F.round("yhat", 4))
 
 
 def stale_models(wh) -> DataFrame:
     """Signatures of the series one week ago against the signatures now."""
-    rows = cut_lineage(daily(wh), "series")
+    rows = daily_table(wh)
     before = rows.filter(F.col("fecha") < wh.as_of.get(lambda d: F.date_sub(d, 7))).filter("serie <> 'PROMO'")
     same = rows.filter("serie = 'PROMO'")
     saved = series.signature(before.unionByName(same), KEY).filter("serie <> 'LARGE'")
@@ -290,9 +296,9 @@ MODELS: dict[str, Callable[..., DataFrame]] = {
     "s14_read_back": read_back,
     "a35_stale_models": stale_models,
     "p12_forecast_history": lambda wh: listing.forecast_history(predictions_table(wh), wh.platos),
-    "m01_stationarity": lambda wh: arima.stationarity(daily(wh), KEY).select("serie", F.round("t", 4).alias("t"), "d"),
+    "m01_stationarity": lambda wh: arima.stationarity(daily_table(wh), KEY).select("serie", F.round("t", 4).alias("t"), "d"),
     "m02_lag_sums": lag_sums,
-    "m02_arima_order": lambda wh: arima.fit(daily(wh), KEY).select("serie", "p", "d", "q", F.round("aic", 4).alias("aic")),
+    "m02_arima_order": lambda wh: arima.fit(daily_table(wh), KEY).select("serie", "p", "d", "q", F.round("aic", 4).alias("aic")),
     "m03_first_order": first_order,
     "m03_arima_forecast": lambda wh: _forecast(arima, wh),
     "m04_design_sums": design_sums,
