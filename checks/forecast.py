@@ -44,7 +44,7 @@ SCORES = PRED + f", puntos AS ({score('pred', 'serie, modelo')})"
 BEST = SCORES + """,
 rank AS (SELECT *, CAST(row_number() OVER (PARTITION BY serie ORDER BY mae, coalesce(rmse, 0), coalesce(smape, 0), modelo) AS INTEGER) AS posicion FROM puntos),
 mejor AS (SELECT serie, modelo AS ganador FROM rank WHERE posicion = 1),
-err AS (SELECT serie, modelo, fecha, abs(y - greatest(0, yhat)) AS e FROM pred),
+err AS (SELECT serie, modelo, fecha, CAST(CAST(abs(y - greatest(0, yhat)) AS DECIMAL(38,9)) AS DOUBLE) AS e FROM pred),
 par AS (SELECT a.serie, a.modelo, ganador, a.fecha, a.e AS ec, b.e AS eg FROM err a JOIN mejor USING (serie)
    JOIN err b ON b.serie = a.serie AND b.modelo = ganador AND b.fecha = a.fecha WHERE a.modelo <> ganador)"""
 DM = BEST + """,
@@ -66,7 +66,7 @@ chip AS (SELECT *, exp(-chi2 / 2) * (1 + chi2 / 2) AS p FROM chi)"""
 
 
 WIL = BEST + """,
-wd AS (SELECT *, eg - ec AS d, abs(eg - ec) AS a FROM par),
+wd AS (SELECT *, abs(d) AS a FROM (SELECT *, CAST(CAST(eg - ec AS DECIMAL(38,9)) AS DOUBLE) AS d FROM par)),
 wr AS (SELECT *, rank() OVER (PARTITION BY serie, modelo ORDER BY a) + (count(*) OVER (PARTITION BY serie, modelo, a) - 1) / 2.0::DOUBLE AS r,
    count(*) OVER (PARTITION BY serie, modelo, a) AS t FROM wd WHERE d <> 0),
 ws AS (SELECT serie, modelo, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS mas, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS menos, CAST(sum(t * t - 1) AS BIGINT) AS empates FROM wr GROUP BY 1, 2),
@@ -75,7 +75,7 @@ METRICS = ["mae", "rmse", "mape", "smape", "u_theil", "r2"]
 ACROSS = ", ".join(f"{rnd(f'avg({m})')} AS {m}_promedio, {rnd(f'stddev_samp({m})')} AS {m}_desviacion, min({m}) AS {m}_minimo, max({m}) AS {m}_maximo"
                    for m in METRICS)
 FSCORES = FOLDS + f", fpuntos AS ({score('fpred', 'serie, modelo, fold')})"
-FHOLM = FOLDS + ", ferr AS (SELECT serie, fold, modelo, fecha, abs(y - greatest(0, yhat)) AS e FROM fpred)," + friedman("ferr", "serie, fold") + """,
+FHOLM = FOLDS + ", ferr AS (SELECT serie, fold, modelo, fecha, CAST(CAST(abs(y - greatest(0, yhat)) AS DECIMAL(38,9)) AS DOUBLE) AS e FROM fpred)," + friedman("ferr", "serie, fold") + """,
 pr AS (SELECT serie, fold, round(p, 4) AS p_valor FROM chip),
 esc AS (SELECT *, least(1, (count(*) OVER (PARTITION BY serie) - row_number() OVER (PARTITION BY serie ORDER BY p_valor, fold) + 1) * p_valor) AS s FROM pr)"""
 TUNE = STATES + """,

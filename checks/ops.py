@@ -18,6 +18,10 @@ def render(template, **slots):
     return " || ".join(parts)
 
 
+def dec(expr, digits):
+    return f"CAST(round(CAST({expr} AS DECIMAL(38,9)), {digits}) AS DOUBLE)"
+
+
 def factor(name, factors, default):
     folded = f"translate(lower({name}), 'áéíóúñ', 'aeioun')"
     cases = " ".join(f"WHEN contains({folded}, '{k}') THEN {v}::DOUBLE" for k, v in factors.items())
@@ -225,11 +229,11 @@ SELECT id_plato FROM detalle JOIN ventas USING (id_venta) WHERE {D30}"""),
     "a08_purchase_totals": sql("""SELECT 7 AS dias_proyeccion, (SELECT n FROM dias) AS dias_base_calculo, count(*) AS total_items,
 coalesce(CAST(sum(CAST(costo_estimado AS DECIMAL(18,2))) AS DOUBLE), 0) AS total_costo_estimado FROM ped""", NEED),
     "a09_orders_by_supplier": sql("SELECT proveedor, count(*) AS items, CAST(sum(CAST(costo_estimado AS DECIMAL(18,2))) AS DOUBLE) AS subtotal FROM ped GROUP BY 1", NEED),
-    "a10_footprint_totals": sql(f"""SELECT 30 AS periodo_dias, round(c, 2) AS total_co2_kg, round(a, 0) AS total_agua_litros, round(k, 3) AS total_kg_desperdiciado,
-round(s, 2) AS total_costo_soles, round(c / 22, 1) AS arboles_anuales, round(c / 0.21::DOUBLE, 1) AS km_en_auto, round(a / 65, 0) AS duchas_perdidas
+    "a10_footprint_totals": sql(f"""SELECT 30 AS periodo_dias, {dec('c', 2)} AS total_co2_kg, {dec('a', 0)} AS total_agua_litros, {dec('k', 3)} AS total_kg_desperdiciado,
+{dec('s', 2)} AS total_costo_soles, {dec('c / 22', 1)} AS arboles_anuales, {dec('c / 0.21::DOUBLE', 1)} AS km_en_auto, {dec('a / 65', 0)} AS duchas_perdidas
 FROM (SELECT {tot('co2')} AS c, {tot('agua')} AS a, {tot('kg')} AS k, {tot('costo_estimado')} AS s FROM huella)""", FOOT),
-    "a11_footprint_by_category": sql(f"""SELECT array_to_string(list_transform(string_split(categoria, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS categoria, round({tot('co2')}, 2) AS co2_kg, round({tot('agua')}, 0) AS agua_litros,
-round({tot('kg')}, 3) AS kg_desperdiciado, round({tot('costo_estimado')}, 2) AS costo FROM huella GROUP BY 1""", FOOT),
+    "a11_footprint_by_category": sql(f"""SELECT array_to_string(list_transform(string_split(categoria, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS categoria,
+{dec(tot('co2'), 2)} AS co2_kg, {dec(tot('agua'), 0)} AS agua_litros, {dec(tot('kg'), 3)} AS kg_desperdiciado, {dec(tot('costo_estimado'), 2)} AS costo FROM huella GROUP BY 1""", FOOT),
     # rules
     "r01_overproduction": sql(rules()["r1"], MEASURES),
     "r02_expiring_soon": sql(rules()["r2"], MEASURES),

@@ -185,6 +185,8 @@ def test_month_layout_round_trip(spark, wh, tmp_path):
     write_warehouse(wh, str(tmp_path), names)
     stored = ParquetWarehouse(spark, str(tmp_path), AsOf(HOY), AsOf(NOW), tables=names)
     assert sorted(map(tuple, bi.top_dishes(stored).collect())) == sorted(map(tuple, bi.top_dishes(wh).collect()))
+    plan = bi.daily_sales(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "mes" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
     assert "ventas" not in bi.top_dishes(stored)._jdf.queryExecution().optimizedPlan().toString().replace("detalle_ventas", "")
 
 

@@ -1,8 +1,9 @@
 """The reporting clock.
 
-Every operator that needs "today" or "now" takes it from an :class:`AsOf`, which is either an
-explicit value (folds to a literal, so date predicates prune files at planning time) or the
-latest value found in a frame (one scalar subquery; Spark hands its value to the Parquet scan).
+Every operator that needs "today" or "now" takes it from an :class:`AsOf`: an explicit value, or
+the latest value found in a frame. The latter is read once, on first use, and is a literal from
+then on: one column scan serves every bound of every query of a warehouse, and date predicates
+with literals prune month directories and Parquet row groups at planning time.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class AsOf:
@@ -20,6 +22,7 @@ class AsOf:
             raise ValueError("give either a value or a one-row, one-column frame")
         self._value = value
         self._frame = frame
+        self._kind: T.DataType | None = None
 
     @classmethod
     def latest(cls, df: DataFrame, column: Column | str) -> AsOf:
@@ -27,10 +30,12 @@ class AsOf:
         return cls(frame=df.agg(F.max(column).alias("as_of")))
 
     def get(self, fn: Callable[[Column], Column] = lambda d: d) -> Column:
-        """``fn`` applied to the clock, as a scalar column usable in any expression."""
-        if self._frame is None:
-            return fn(F.lit(self._value))
-        return self._frame.select(fn(F.col("as_of")).alias("v")).scalar()
+        """``fn`` applied to the clock, usable in any expression. An empty source gives null."""
+        if self._frame is not None:
+            self._value, self._kind = self._frame.first()[0], self._frame.schema[0].dataType
+            self._frame = None
+        clock = F.lit(self._value)
+        return fn(clock.cast(self._kind) if self._kind is not None else clock)
 
 
 def days_before(n: int) -> Callable[[Column], Column]:
@@ -63,16 +68,23 @@ def in_period(
     """Keep rows with ``first <= fecha <= last`` and ``fecha < before``; each bound is optional.
 
     Frames whose stored column is a timestamp expose it as ``momento``; the bounds are then
-    put on that column, so that they reach the Parquet scan instead of a cast of it.
+    put on that column, so that they reach the Parquet scan instead of a cast of it. Facts stored
+    by month carry ``mes``; the same bounds then also skip whole directories.
     """
     stored = "momento" if "momento" in df.columns else "fecha"
     kind = df.schema[stored].dataType
+    month = F.col("mes").cast("string") if "mes" in df.columns else None
     if first is not None:
         df = df.filter(F.col(stored) >= as_of.get(lambda d: first(d).cast(kind)))
-    if last is not None:
-        df = df.filter(F.col(stored) < as_of.get(lambda d: F.date_add(last(d), 1).cast(kind)))
-    if before is not None:
-        df = df.filter(F.col(stored) < as_of.get(lambda d: before(d).cast(kind)))
+        if month is not None:
+            df = df.filter(month >= as_of.get(lambda d: F.date_format(first(d), "yyyy-MM")))
+    for bound in (last, before):
+        if bound is None:
+            continue
+        limit = (lambda d: F.date_add(last(d), 1)) if bound is last else before
+        df = df.filter(F.col(stored) < as_of.get(lambda d: limit(d).cast(kind)))
+        if month is not None:
+            df = df.filter(month <= as_of.get(lambda d: F.date_format(limit(d), "yyyy-MM")))
     return df
 
 

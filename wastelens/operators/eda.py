@@ -32,7 +32,7 @@ def descriptive(series: DataFrame) -> DataFrame:
 
 
 def outliers(series: DataFrame, first: int = 20) -> DataFrame:
-    """1.5 IQR outliers: count, bounds and the first dates."""
+    """1.5 IQR outliers: count, bounds and the first dates (a series has at most one row per day)."""
     q1, q3 = F.col("q")[0], F.col("q")[2]
     bounds = quartiles(series).select(
         "serie", (q1 - 1.5 * (q3 - q1)).alias("lo"), (q3 + 1.5 * (q3 - q1)).alias("hi"))

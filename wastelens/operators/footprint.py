@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wastelens.asof import trailing
 from wastelens.functions import constants as K
-from wastelens.functions.scalar import keyword_factor, rd, to_kg
+from wastelens.functions.scalar import keyword_factor, steady_round, to_kg
 from wastelens.operators.common import total
 
 
@@ -44,19 +44,19 @@ def footprint_totals(wh, days: int = 30, co2=K.CO2_FACTORS, water=K.WATER_FACTOR
     c, a = F.col("co2"), F.col("agua")
     return sums.select(
         F.lit(days).alias("periodo_dias"),
-        rd(c, 2).alias("total_co2_kg"), rd(a, 0).alias("total_agua_litros"),
-        rd(F.col("kg"), 3).alias("total_kg_desperdiciado"), rd(F.col("costo"), 2).alias("total_costo_soles"),
-        rd(c / K.KG_CO2_PER_TREE_YEAR, 1).alias("arboles_anuales"),
-        rd(c / K.KG_CO2_PER_CAR_KM, 1).alias("km_en_auto"),
-        rd(a / K.LITRES_PER_SHOWER, 0).alias("duchas_perdidas"))
+        steady_round(c, 2).alias("total_co2_kg"), steady_round(a, 0).alias("total_agua_litros"),
+        steady_round(F.col("kg"), 3).alias("total_kg_desperdiciado"), steady_round(F.col("costo"), 2).alias("total_costo_soles"),
+        steady_round(c / K.KG_CO2_PER_TREE_YEAR, 1).alias("arboles_anuales"),
+        steady_round(c / K.KG_CO2_PER_CAR_KM, 1).alias("km_en_auto"),
+        steady_round(a / K.LITRES_PER_SHOWER, 0).alias("duchas_perdidas"))
 
 
 def footprint_by_category(wh, days: int = 30, co2=K.CO2_FACTORS, water=K.WATER_FACTORS) -> DataFrame:
     return (
         footprint_lines(wh, days, co2, water).groupBy(F.initcap("categoria").alias("categoria"))
         .agg(
-            rd(total("co2"), 2).alias("co2_kg"), rd(total("agua"), 0).alias("agua_litros"),
-            rd(total("kg"), 3).alias("kg_desperdiciado"), rd(total("costo"), 2).alias("costo"))
+            steady_round(total("co2"), 2).alias("co2_kg"), steady_round(total("agua"), 0).alias("agua_litros"),
+            steady_round(total("kg"), 3).alias("kg_desperdiciado"), steady_round(total("costo"), 2).alias("costo"))
         .orderBy(F.desc("co2_kg"), "categoria")
     )
 

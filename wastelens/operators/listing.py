@@ -91,21 +91,15 @@ def latest_tickets(wh, limit: int = 200) -> DataFrame:
         "id_venta", "fecha", "hora", F.col("total").cast("double").alias("total"), "metodo_pago")
 
 
-def ticket_views(wh, limit: int = 200) -> DataFrame:
-    """The latest tickets with their lines nested. ``limit`` tickets are a proven small side, so
-    they are broadcast and the lines are filtered where they lie."""
-    head = F.broadcast(latest_tickets(wh, limit))
-    lines = wh.detalle_ventas.join(head, "id_venta").join(wh.platos.select("id_plato", "nombre"), "id_plato", "left")
-    line = F.struct(F.col("id_plato"), F.coalesce("nombre", F.lit("")).alias("plato"), F.col("cantidad"),
-                    F.col("subtotal").cast("double").alias("subtotal"))
-    return lines.groupBy("id_venta", "fecha", "hora", "total", "metodo_pago").agg(
-        F.sort_array(F.collect_list(line)).alias("detalles"))
-
-
 def ticket_lines(wh, limit: int = 200) -> DataFrame:
-    """:func:`ticket_views`, one row per line."""
-    return ticket_views(wh, limit).select("id_venta", "fecha", "total", F.explode("detalles").alias("d")).select(
-        "id_venta", "fecha", "total", "d.*")
+    """The latest tickets with their lines and dish names, one row per line. ``limit`` tickets are
+    a proven small side: they are broadcast and the lines are filtered where they lie, so a ticket
+    with very many lines is never gathered."""
+    head = F.broadcast(latest_tickets(wh, limit))
+    lines = wh.detalle_ventas.select("id_venta", "id_plato", "cantidad", "subtotal").join(head, "id_venta")
+    return lines.join(wh.platos.select("id_plato", "nombre"), "id_plato", "left").select(
+        "id_venta", "fecha", "total", "id_plato", F.coalesce("nombre", F.lit("")).alias("plato"), "cantidad",
+        F.col("subtotal").cast("double").alias("subtotal"))
 
 
 def ticket_pricing(wh) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wastelens.functions.pvalues import chi2_tail, normal_two_sided, signed_rank_p
-from wastelens.functions.scalar import fixed_text
+from wastelens.functions.scalar import fixed_text, steady_round
 
 ALPHA = 0.05
 MIN_DM, MIN_WILCOXON, MIN_MODELS, MIN_FRIEDMAN = 3, 5, 3, 3
@@ -20,7 +20,9 @@ SCHEMA = ["serie", "prueba", "modelo_a", "modelo_b", "n", "estadistico", "p_valo
 
 
 def errors(predictions: DataFrame) -> DataFrame:
-    return predictions.select("serie", "modelo", "fecha", F.abs(F.col("y") - F.greatest(F.lit(0.0), F.col("yhat"))).alias("e"))
+    """Absolute errors at nine decimals, so that equal errors tie whatever the order of earlier sums."""
+    gap = F.abs(F.col("y") - F.greatest(F.lit(0.0), F.col("yhat")))
+    return predictions.select("serie", "modelo", "fecha", steady_round(gap, 9).alias("e"))
 
 
 def pairs_with_best(errs: DataFrame, best: DataFrame) -> DataFrame:
@@ -113,7 +115,7 @@ def friedman(errs: DataFrame) -> DataFrame:
 def wilcoxon_statistic(pairs: DataFrame) -> DataFrame:
     """Smaller signed-rank sum of the winner's error minus the competitor's; zeros are dropped."""
     key = ["serie", "modelo"]
-    diffs = pairs.withColumn("d", F.col("eg") - F.col("ec")).withColumn("a", F.abs("d"))
+    diffs = pairs.withColumn("d", steady_round(F.col("eg") - F.col("ec"), 9)).withColumn("a", F.abs("d"))
     size = diffs.groupBy("serie", "modelo", "ganador").agg(
         F.count("*").alias("n"), F.count(F.when(F.col("d") == 0, 1)).alias("ceros"))
     ranks = diffs.filter("d <> 0").withColumns({"rango": midrank(key, "a"), "empate": _tie_term(key, "a")})
