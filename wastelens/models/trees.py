@@ -31,7 +31,8 @@ def regressor(kind: str, **hp):
         subset = {None: "all", "sqrt": "sqrt", "log2": "log2"}[hp.get("max_features")]
         return RandomForestRegressor(
             numTrees=hp.get("n_estimators", 150), maxDepth=min(depth or 30, 30) if "max_depth" in hp else 10,
-            minInstancesPerNode=max(hp.get("min_samples_leaf", 1), 1), featureSubsetStrategy=subset, seed=SEED, maxMemoryInMB=NODE_MEMORY_MB)
+            minInstancesPerNode=max(hp.get("min_samples_leaf", 1), 1), featureSubsetStrategy=subset, seed=SEED,
+            maxMemoryInMB=NODE_MEMORY_MB, cacheNodeIds=True)
     if kind == "gradient_boosting":
         return GBTRegressor(
             maxIter=hp.get("n_estimators", 100), stepSize=hp.get("learning_rate", 0.08), maxDepth=depth or 4,
