@@ -247,3 +247,9 @@ def test_linear_model_on_dish_rows(spark, day):
                          "clima": 1, "evento": 0, "cat_enc": p, "ventas_7d": 3.0 * p} for p in range(1, 6) for i in range(30)])
     model, scored = trees.train_single(spark.createDataFrame(pdf), "regresion_lineal")
     assert scored.agg(F.avg(F.abs(F.col("y") - F.col("yhat")))).first()[0] < 0.5
+
+
+def test_random_search_on_time_folds(make_series):
+    space = {"n_estimators": [2, 3], "max_depth": [2]}
+    out = experiment.tune_on_folds(make_series(a=WEEKLY, b=WEEKLY + 4), "atencion_random_forest", n=2, k=2, space=space).collect()
+    assert len({r["hiperparametros"] for r in out}) == 2 and all(r["mae"] > 0 for r in out)
