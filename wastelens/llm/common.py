@@ -49,4 +49,12 @@ def running_before(rows: DataFrame, group: str, bucket: str, order: list[str], v
     return out_rows.drop("_g", "_b", "_offset", "_total")
 
 
-__all__ = ["BLANKS", "BUCKETS", "WORD", "cut_lineage", "running_before", "table", "text_or_empty", "whole_row"]
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that clashes with none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+__all__ = ["BLANKS", "BUCKETS", "WORD", "cut_lineage", "fresh", "running_before", "table", "text_or_empty", "whole_row"]
