@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wastelens.llm import decontaminate, exact_dedup, mixture, sharding, token_binary
+from wastelens.llm import decontaminate, exact_dedup, language, mixture, sharding, simhash, token_binary
 
-MODULES = [mixture, exact_dedup, sharding, decontaminate, token_binary]
+MODULES = [mixture, language, exact_dedup, simhash, sharding, decontaminate, token_binary]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: text for module in MODULES for name, text in module.ORACLES.items()}
