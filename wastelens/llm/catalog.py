@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wastelens.llm import decontaminate, exact_dedup, html_text, language, mixture, secrets, sharding, simhash, token_binary
+from wastelens.llm import decontaminate, exact_dedup, html_text, language, mixture, personal, secrets, sharding, simhash, token_binary
 
-MODULES = [mixture, html_text, language, exact_dedup, simhash, sharding, decontaminate, token_binary, secrets]
+MODULES = [mixture, html_text, language, exact_dedup, personal, simhash, sharding, decontaminate, token_binary, secrets]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: text for module in MODULES for name, text in module.ORACLES.items()}
