@@ -3,7 +3,8 @@
 * Base kinds are fixed by the contract: ``assign`` (a named value), ``access`` (key ids) and ``hex`` (long hexadecimal runs), leftmost and non-overlapping
   per kind, failing matches dropped without another try. Offsets count code points, the end is exclusive.
 * Labelled samples: the values that base patterns find are random strings, joined by ``SEEDED`` strings drawn from a seeded
-  generator over the alphabets keys are written in; tokens without a base match are ordinary identifiers. Transition counts of both cover the
+  generator over the alphabets keys are written in; tokens without a base match are ordinary identifiers, but for those that could
+  be a secret themselves, which have no label. Transition counts of both cover the
   whole corpus; they are sums over pairs of character classes, so a task sends one fixed-size row however much it read.
 * A token of ``TOKEN`` characters that no base span touches is a secret (kind ``random``) if the ratio is at least ``PER_STEP`` per
   transition, and it mixes digits with letters. So words and names stay alone.
@@ -38,7 +39,8 @@ WORDS = ("passw", "secret", "token", "api")  # one of them stands in every assig
 TOKEN = 16
 TOKENS = re.compile(rf"[A-Za-z0-9+/_=-]{{{TOKEN},}}")
 IDENTIFIERS = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
-PER_STEP = 1.5
+PER_STEP = 3.0
+PRIOR = 10.0  # transitions' worth of the single-character shares
 SEEDED = 400
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 SIZE = len(ALPHABET) + 2  # all other characters, and the edge of a token
@@ -76,6 +78,10 @@ def seeded(n: int = SEEDED) -> list[str]:
     return ["".join(draw.choices(alphabets[i % len(alphabets)], k=draw.randint(20, 48))) for i in range(n)]
 
 
+def is_mixed(token: str) -> bool:
+    return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, SIZE * SIZE), np.int64)
     for batch in batches:
@@ -90,6 +96,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = max(at, end)
             ordinary += IDENTIFIERS.findall(text, at)
         counts[0] += transitions(random_) if random_ else 0
+        ordinary = [t for t in ordinary if len(t) < TOKEN or not is_mixed(t)]  # candidates carry no label
         counts[1] += transitions(ordinary) if ordinary else 0
     model, step = np.nonzero(counts)
     yield pa.RecordBatch.from_arrays([
@@ -97,11 +104,16 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Ratio:
-    """log P(next | class) under random strings minus the same under ordinary identifiers."""
+    """log P(next | class) under random strings minus the same under ordinary identifiers.
+
+    Classes with few transitions lean on how often each character occurs at all.
+    """
 
     def __init__(self, counts: np.ndarray):
-        both = counts.reshape(2, SIZE, SIZE) + 0.5
-        logs = np.log(both / both.sum(axis=2, keepdims=True))
+        both = counts.reshape(2, SIZE, SIZE)
+        alone = both.sum(axis=1) + 0.5
+        alone = alone / alone.sum(axis=1, keepdims=True)
+        logs = np.log((both + PRIOR * alone[:, None, :]) / (both.sum(axis=2, keepdims=True) + PRIOR))
         self.steps = (logs[0] - logs[1]).ravel()
 
     def per_step(self, token: str) -> float:
@@ -109,8 +121,7 @@ class Ratio:
         return float(self.steps[classes[:-1] * SIZE + classes[1:]].mean())
 
     def is_secret(self, token: str) -> bool:
-        kinds = (any(c.isdigit() for c in token), any(c.isalpha() for c in token))
-        return all(kinds) and self.per_step(token) >= PER_STEP
+        return is_mixed(token) and self.per_step(token) >= PER_STEP
 
 
 def fit(docs: DataFrame) -> Ratio:
