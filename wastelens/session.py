@@ -18,12 +18,20 @@ CLUSTER_CONF = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+# Off one machine, shuffles start wide and AQE joins what is small, so that partitions stay near the
+# advisory size from gigabytes to terabytes.
+WIDE_CONF = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+}
+
 
 def build_session(app: str = "wastelens", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**CLUSTER_CONF, **conf}.items():
+    wide = {} if master and master.startswith("local") else WIDE_CONF
+    for key, value in {**CLUSTER_CONF, **wide, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -49,5 +57,5 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 def cut_lineage(df, purpose: str):
     """Write ``df`` to the shared folder and read it back: survives executor loss."""
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
