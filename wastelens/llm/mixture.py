@@ -71,7 +71,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = MAX
     rows = common.cut_lineage(
         rows.withColumn("_source", _key(F.col("source"))).withColumn(
             "_bucket", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int")), "mixture")
-    sizes = rows.groupBy("_source").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    sizes = rows.groupBy("_source").agg(F.sum("size").alias("source_size")).withColumn(
+        "source", F.when(F.col("_source") != "", F.substr("_source", F.lit(2))))
     if weights is None:
         sizes = cycled_weights(sizes)
     else:
