@@ -54,16 +54,16 @@ boletas AS (SELECT id_restaurante, fecha, dia, CAST(unnest(range(1, k + 1)) AS I
 menu AS (SELECT id_restaurante, id_plato, precio_venta, costo_estimado, row_number() OVER (PARTITION BY id_restaurante ORDER BY id_plato) - 1 AS puesto,
    count(*) OVER (PARTITION BY id_restaurante) AS platos FROM platos),
 cuantos AS (SELECT id_restaurante, max(platos) AS platos FROM menu GROUP BY 1)"""
-LATE = "(SELECT max(ts) FROM events) - INTERVAL 1 DAY"
 
 ORACLES = {
     "s01_scan": sql("SELECT id_venta, fecha, CAST(total AS DOUBLE) AS total, metodo_pago, id_cliente FROM ventas"),
+    "s01_stored_scan": sql("SELECT id_venta, fecha, CAST(total AS DOUBLE) AS total, metodo_pago, id_cliente FROM ventas"),
     "s04_evolved": sql("""SELECT id_venta, fecha, CAST(total AS DOUBLE) AS total, NULL AS metodo_pago, CAST(NULL AS BIGINT) AS id_restaurante FROM ventas
 UNION ALL SELECT id_venta, fecha, CAST(total AS DOUBLE) AS total, metodo_pago, id_restaurante FROM ventas_por_local"""),
     "s05_csv_export": sql("""SELECT fecha, CAST(sum(total) AS DOUBLE) AS total, count(*) AS num_ventas FROM ventas
 WHERE fecha >= (SELECT d FROM hoy) - 30 GROUP BY 1"""),
     "s06_bundle_export": sql("""SELECT 'Desperdicio por motivo' AS hoja, count(DISTINCT motivo) AS filas FROM desperdicios WHERE fecha >= (SELECT d FROM hoy) - 30
-UNION ALL SELECT 'Platos sin categoria registrada', 1"""),
+UNION ALL SELECT 'Platos sin categoria registrada en el menu', 1"""),
     "s07_run_rows": sql(f"""SELECT {_RID}, serie, ganador AS modelo_ganador, 'menor MAE (empate -> menor RMSE -> menor SMAPE)' AS criterio_seleccion,
 ini AS fecha_inicio_datos, fin AS fecha_fin_datos, n AS numero_registros, 'completado' AS estado, '{{"origen":"experimento"}}' AS metadata_json
 FROM mejor JOIN (SELECT serie, min(fecha) AS ini, max(fecha) AS fin, count(*) AS n FROM cont GROUP BY 1) USING (serie)""", BEST),
@@ -76,11 +76,11 @@ QUALIFY row_number() OVER (PARTITION BY serie, fold ORDER BY mae, coalesce(rmse,
     "s11_json_properties": """SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) END AS k FROM events""",
     "s12_generated_tickets": sql(f"""SELECT id_restaurante, fecha, ticket, {pick(PAYMENTS, 'p')} AS metodo_pago,
 lpad(CAST(([{', '.join(map(str, HOURS))}])[p % 6 + 1] AS VARCHAR), 2, '0') || ':' || lpad(CAST(p % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(p // 60 % 60 AS VARCHAR), 2, '0') AS hora
-FROM (SELECT *, {draw(2, 'id_restaurante', 'dia', 'ticket')} AS p FROM boletas)""", GEN.replace("$N", "30")),
+FROM (SELECT *, {draw(2, 'id_restaurante', 'dia', 'ticket')} AS p FROM boletas)""", GEN.replace("$N", "90")),
     "s12_generated_lines": sql(f"""SELECT id_restaurante, fecha, ticket, linea, id_plato, 1 + {draw(5, 'id_restaurante', 'dia', 'ticket', 'linea')} % 3 AS cantidad,
 CAST(precio_venta * (1 + {draw(5, 'id_restaurante', 'dia', 'ticket', 'linea')} % 3) AS DOUBLE) AS subtotal
 FROM (SELECT b.*, c.platos AS total_platos, CAST(unnest(range(1, 2 + {draw(3, 'id_restaurante', 'dia', 'ticket')} % 4)) AS INTEGER) AS linea FROM boletas b JOIN cuantos c USING (id_restaurante)) x
-JOIN menu m USING (id_restaurante) WHERE m.puesto = {draw(4, 'id_restaurante', 'dia', 'ticket', 'linea')} % total_platos""", GEN.replace("$N", "30")),
+JOIN menu m USING (id_restaurante) WHERE m.puesto = {draw(4, 'id_restaurante', 'dia', 'ticket', 'linea')} % total_platos""", GEN.replace("$N", "90")),
     "s12_generated_waste": sql(f"""SELECT id_restaurante, fecha, id_plato, 'plato' AS tipo, s AS cantidad, 'porción' AS unidad_medida,
 ({sql_list(K.REASONS)})[{draw(10, 'id_restaurante', 'dia')} % 5 + 1] AS motivo, CAST(s * costo_estimado AS DOUBLE) AS costo_estimado
 FROM (SELECT *, prep - (prep * 6 // 10 + {draw(9, 'id_restaurante', 'dia')} % (prep - prep * 6 // 10 + 1)) AS s FROM
@@ -112,14 +112,30 @@ rec AS (SELECT serie, 0 AS paso, l0 AS l, b0 AS b, list_transform(s, lambda v: v
    list_append(r.s[2:7], 0.05::DOUBLE * (y - r.l - 0.9::DOUBLE * r.b) + 0.95::DOUBLE * r.s[1]),
    r.sse + (y - r.l - 0.9::DOUBLE * r.b - r.s[1]) ** 2
   FROM rec r JOIN num ON num.serie = r.serie AND num.idx = r.paso + 1)""").replace("WITH ", "WITH RECURSIVE ", 1),
-    "x01_stream_daily": f"""SELECT CAST(ts AS DATE) AS dia, event_type, count(*) AS eventos, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS valor
-FROM events WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= {LATE} GROUP BY 1, 2""",
-    "x02_stream_weekly": f"""SELECT desde, CAST(desde + 7 AS DATE) AS hasta, event_type, count(*) AS eventos, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS valor
-FROM (SELECT *, CAST(CAST(ts AS DATE) - k AS DATE) AS desde FROM events, (SELECT CAST(unnest(range(7)) AS INTEGER) AS k)) WHERE desde + INTERVAL 7 DAY <= {LATE} GROUP BY 1, 2, 3""",
-    "x03_stream_cooldown": "SELECT DISTINCT event_type, user_id FROM events",
+    "m05_grid_fit": sql("""SELECT serie, alpha, beta, gamma, phi, round(sse, 4) AS sse, round(l, 4) AS nivel FROM rec JOIN ini USING (serie) WHERE paso = n
+QUALIFY row_number() OVER (PARTITION BY serie ORDER BY sse, alpha, beta, gamma, phi) = 1""", SMOOTH + """,
+grid AS (SELECT unnest([0.05, 0.2, 0.5])::DOUBLE AS alpha, beta, g AS gamma0, phi, amort FROM
+  (SELECT unnest([0.01, 0.1])::DOUBLE AS beta, g, phi, amort FROM (SELECT unnest([0.05, 0.2])::DOUBLE AS g, phi, amort FROM
+    (SELECT unnest([0.9, 0.98])::DOUBLE AS phi, true AS amort UNION ALL SELECT 1.0::DOUBLE, false)))),
+rec AS (SELECT serie, alpha, beta, CASE WHEN n >= 14 THEN gamma0 ELSE 0.0 END AS gamma, phi, 0 AS paso,
+   CASE WHEN n >= 14 THEN l0 ELSE s[1] END AS l, CASE WHEN n >= 14 THEN b0 ELSE 0.0 END AS b,
+   CASE WHEN n >= 14 THEN list_transform(s, lambda v: v - l0) ELSE [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0] END AS s, 0.0::DOUBLE AS sse
+   FROM ini JOIN grid ON grid.amort = (ini.n >= 30)
+  UNION ALL
+  SELECT r.serie, alpha, beta, gamma, phi, r.paso + 1, alpha * (y - r.s[1]) + (1 - alpha) * (r.l + phi * r.b),
+   beta * (alpha * (y - r.s[1]) + (1 - alpha) * (r.l + phi * r.b) - r.l) + (1 - beta) * phi * r.b,
+   list_append(r.s[2:7], gamma * (y - (r.l + phi * r.b)) + (1 - gamma) * r.s[1]), r.sse + (y - (r.l + phi * r.b) - r.s[1]) ** 2
+  FROM rec r JOIN num ON num.serie = r.serie AND num.idx = r.paso + 1)""").replace("WITH ", "WITH RECURSIVE ", 1),
+    "x01_stream_daily": """SELECT CAST(ts AS DATE) AS dia, event_type, count(*) AS eventos, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS valor
+FROM events GROUP BY 1, 2""",
+    "x02_stream_weekly": """SELECT desde, CAST(desde + 7 AS DATE) AS hasta, event_type, count(*) AS eventos, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS valor
+FROM (SELECT *, CAST(CAST(ts AS DATE) - k AS DATE) AS desde FROM events, (SELECT CAST(unnest(range(7)) AS INTEGER) AS k)) GROUP BY 1, 2, 3""",
+    "x03_stream_cooldown": """WITH RECURSIVE acc AS (SELECT event_type, user_id, min(ts) AS ts FROM events GROUP BY 1, 2
+UNION ALL SELECT a.event_type, a.user_id, min(e.ts) FROM acc a JOIN events e ON e.event_type = a.event_type AND e.user_id = a.user_id
+  AND e.ts >= a.ts + INTERVAL 24 HOUR GROUP BY a.event_type, a.user_id)
+SELECT event_type, user_id, ts FROM acc""",
     "x04_stream_outbox": "SELECT event_id, user_id FROM events WHERE event_type = 'error' AND user_id % 2 = 1",
-    "x05_stream_sessions": f"""SELECT user_id, inicio, fin, eventos FROM (SELECT user_id, min(ts) AS inicio, max(ts) + INTERVAL 30 MINUTE AS fin, count(*) AS eventos
+    "x05_stream_sessions": """SELECT user_id, inicio, fin, eventos FROM (SELECT user_id, min(ts) AS inicio, max(ts) + INTERVAL 30 MINUTE AS fin, count(*) AS eventos
 FROM (SELECT *, sum(nueva) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM
- (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS nueva FROM events)) GROUP BY user_id, s)
-WHERE fin <= {LATE}""",
+ (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS nueva FROM events)) GROUP BY user_id, s)""",
 }

@@ -79,7 +79,7 @@ desperdicios AS (
   SELECT l_suppkey % 25 AS id_restaurante,
          CASE WHEN l_linenumber % 3 <> 0 THEN l_partkey END AS id_plato,
          CASE WHEN l_linenumber % 3 = 0 THEN l_suppkey END AS id_insumo,
-         CAST(l_shipdate AS DATE) AS fecha,
+         CAST(l_shipdate AS DATE) AS fecha, l_shipdate AS momento,
          CASE WHEN l_linenumber % 3 = 0 THEN 'insumo' ELSE 'plato' END AS tipo,
          CAST(l_quantity AS BIGINT) AS cantidad,
          {pick(K.UNITS[:4], 'l_linenumber')} AS unidad_medida,

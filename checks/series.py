@@ -97,7 +97,11 @@ ORACLES = {
     "a22_brand_series": sql("SELECT marca AS serie, fecha, CAST(sum(cantidad) AS DOUBLE) AS cantidad FROM lineas GROUP BY 1, 2", LINES),
     "a23_descriptive": sql("SELECT * FROM descr", STATS),
     "a24_null_counts": sql(" UNION ALL ".join(
-        f"SELECT id_restaurante, '{c}' AS columna, count(*) - count({c}) AS nulos FROM desperdicios GROUP BY 1" for c in ("id_plato", "id_insumo", "motivo"))),
+        f"SELECT id_restaurante, '{c}' AS columna, count(*) - count({c}) AS nulos FROM desperdicios GROUP BY 1" for c in
+        ("id_plato", "id_insumo", "fecha", "momento", "tipo", "cantidad", "unidad_medida", "motivo", "costo_estimado"))),
+    "a24_null_counts_lines": sql(" UNION ALL ".join(
+        f"SELECT categoria, '{c}' AS columna, count(*) - count({c}) AS nulos FROM lineas GROUP BY 1" for c in
+        ("id_venta", "id_plato", "fecha", "cantidad", "precio")), LINES),
     "a25_duplicates": sql("""SELECT categoria, CAST(sum(n - 1) AS BIGINT) AS duplicados, CAST(sum(n) AS BIGINT) AS filas
 FROM (SELECT categoria, id_venta, id_plato, count(*) AS n FROM lineas GROUP BY ALL) GROUP BY 1""", LINES),
     "a26_histogram": sql("""SELECT serie, bin, round(lo + (hi - lo) / bins * bin, 2) AS rango_inicio, round(lo + (hi - lo) / bins * (bin + 1), 2) AS rango_fin,

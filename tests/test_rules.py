@@ -192,7 +192,9 @@ def test_month_layout_round_trip(spark, wh, tmp_path):
 
 def test_exports(spark, wh, tmp_path):
     out = export.export_bundle({"Un nombre de hoja con mas de treinta y un letras": bi.daily_sales(wh), "vacio": wh.bitacora}, str(tmp_path))
-    assert [len(n) for n in out] == [31, 5]
+    assert list(out) == ["Un nombre de hoja con mas de treinta y un letras", "vacio"]
+    with pytest.raises(ValueError):
+        export.export_bundle({"a/b": wh.bitacora, "a_b": wh.bitacora}, str(tmp_path))
     assert spark.read.option("header", True).csv(out["vacio"]).first()["info"] == "Sin datos"
     assert spark.read.option("header", True).csv(list(out.values())[0]).count() == 2
 

@@ -1,7 +1,8 @@
 """Exponential smoothing with additive (damped) trend and additive weekly season.
 
 The recursion is a fold over the ordered daily values of a key (at most the days of the
-calendar), evaluated for every parameter candidate; the smallest squared error wins."""
+calendar) that carries one state per parameter candidate; the smallest squared error wins and is
+refined between its neighbours."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PERIOD = 7
+REFINE = 3
 ALPHAS, BETAS, GAMMAS, PHIS = (0.05, 0.2, 0.5), (0.01, 0.1), (0.05, 0.2), (0.9, 0.98)
 
 
@@ -24,34 +26,42 @@ def _mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
 
 
-def smoothed(series: DataFrame, alpha: Column, beta: Column, gamma: Column, phi: Column) -> DataFrame:
-    """Final level, trend, season and squared error of each row's ``y`` for its parameters.
+def started(series: DataFrame, seasonal: bool = True) -> DataFrame:
+    """Add the state before the first value: level ``l0``, slope ``b0``, season ``s0``, and ``estacional``.
 
-    Without a season (fewer than two weeks) the season starts at zero and gamma is zero.
+    Without a season (fewer than two weeks, or as told) the season is zero and stays zero; level and slope
+    start from the first values alone.
     """
     y = F.col("y")
-    seasonal = F.size(y) >= 2 * PERIOD
-    first = F.when(seasonal, _mean(F.slice(y, 1, PERIOD))).otherwise(F.get(y, F.lit(0)))
-    slope = F.when(seasonal, (_mean(F.slice(y, PERIOD + 1, PERIOD)) - _mean(F.slice(y, 1, PERIOD))) / PERIOD).otherwise(F.lit(0.0))
-    season = F.when(seasonal, F.transform(F.slice(y, 1, PERIOD), lambda v: v - F.col("l0"))).otherwise(
-        F.array_repeat(F.lit(0.0), PERIOD))
-    started = series.withColumns({"alpha": alpha, "beta": beta, "phi": phi, "gamma": F.when(seasonal, gamma).otherwise(F.lit(0.0)),
-                                  "l0": first, "b0": slope}).withColumn("s0", season)
-    zero = F.struct(F.col("l0").alias("l"), F.col("b0").alias("b"), F.col("s0").alias("s"), F.lit(0.0).alias("sse"))
-
-    def step(acc, v):
-        a, b, g, phi_ = F.col("alpha"), F.col("beta"), F.col("gamma"), F.col("phi")
-        season_now = F.get(acc["s"], F.lit(0))
-        base = acc["l"] + phi_ * acc["b"]
-        level = a * (v - season_now) + (1 - a) * base
-        trend = b * (level - acc["l"]) + (1 - b) * phi_ * acc["b"]
-        fresh = g * (v - base) + (1 - g) * season_now
-        error = v - base - season_now
-        return F.struct(level.alias("l"), trend.alias("b"),
-                        F.concat(F.slice(acc["s"], 2, PERIOD - 1), F.array(fresh)).alias("s"),
-                        (acc["sse"] + error * error).alias("sse"))
-
-    return started.withColumn("f", F.aggregate(y, zero, step)).drop("l0", "b0", "s0")
+    use = (F.size(y) >= 2 * PERIOD) & F.lit(seasonal)
+    first = F.when(use, _mean(F.slice(y, 1, PERIOD))).otherwise(F.get(y, F.lit(0)))
+    slope = F.when(use, (_mean(F.slice(y, PERIOD + 1, PERIOD)) - _mean(F.slice(y, 1, PERIOD))) / PERIOD).otherwise(F.lit(0.0))
+    season = F.when(use, F.transform(F.slice(y, 1, PERIOD), lambda v: v - F.col("l0"))).otherwise(F.array_repeat(F.lit(0.0), PERIOD))
+    return series.withColumns({"estacional": use, "l0": first, "b0": slope}).withColumn("s0", season)
+
+
+def _step(acc: Column, v: Column, a: Column, b: Column, g: Column, phi: Column) -> Column:
+    """State after one value: level, trend, season (oldest first) and squared error so far."""
+    season_now = F.get(acc["s"], F.lit(0))
+    base = acc["l"] + phi * acc["b"]
+    level = a * (v - season_now) + (1 - a) * base
+    trend = b * (level - acc["l"]) + (1 - b) * phi * acc["b"]
+    fresh = g * (v - base) + (1 - g) * season_now
+    error = v - base - season_now
+    return F.struct(level.alias("l"), trend.alias("b"), F.concat(F.slice(acc["s"], 2, PERIOD - 1), F.array(fresh)).alias("s"),
+                    (acc["sse"] + error * error).alias("sse"))
+
+
+def _zero() -> Column:
+    return F.struct(F.col("l0").alias("l"), F.col("b0").alias("b"), F.col("s0").alias("s"), F.lit(0.0).alias("sse"))
+
+
+def smoothed(series: DataFrame, alpha: Column, beta: Column, gamma: Column, phi: Column) -> DataFrame:
+    """Final level, trend, season and squared error of each row's ``y`` for its parameters."""
+    rows = started(series)
+    rows = rows.withColumns({"alpha": alpha, "beta": beta, "phi": phi, "gamma": F.when(F.col("estacional"), gamma).otherwise(F.lit(0.0))})
+    fold = F.aggregate("y", _zero(), lambda acc, v: _step(acc, v, F.col("alpha"), F.col("beta"), F.col("gamma"), F.col("phi")))
+    return rows.withColumn("f", fold).drop("l0", "b0", "s0", "estacional")
 
 
 def candidates(damped: Column | bool | None = None) -> Column:
@@ -64,14 +74,40 @@ def candidates(damped: Column | bool | None = None) -> Column:
     return F.when(flag, grid(PHIS)).otherwise(grid((1.0,)))
 
 
-def fit(train: DataFrame, keys: list[str], damped: bool | None = None, seasonal: bool = True) -> DataFrame:
-    """The best candidate per key with its final state."""
-    tried = values(train, keys).withColumn("g", F.explode(candidates(damped)))
-    gamma = F.col("g.g") if seasonal else F.lit(0.0)
-    runs = smoothed(tried, F.col("g.a"), F.col("g.b"), gamma, F.col("g.p"))
-    best = F.min(F.struct(F.col("f.sse").alias("sse"), "alpha", "beta", "gamma", "phi", F.col("f.l").alias("l"),
-                          F.col("f.b").alias("b"), F.col("f.s").alias("s"), F.size("y").alias("n"), "fin"))
-    return runs.groupBy(*keys).agg(best.alias("m")).select(*keys, "m.*")
+def _best(rows: DataFrame, grid: Column) -> DataFrame:
+    """Add ``m``: the parameters and final state with the smallest squared error, ties to the smaller parameters.
+
+    One fold over the values carries the states of all candidates, so a history is held once.
+    """
+    rows = rows.withColumn("grid", grid).withColumn("grid", F.transform("grid", lambda c: F.struct(
+        c["a"].alias("a"), c["b"].alias("b"), F.when(F.col("estacional"), c["g"]).otherwise(F.lit(0.0)).alias("g"), c["p"].alias("p"))))
+    states = F.aggregate(
+        "y", F.transform("grid", lambda c: _zero()),
+        lambda acc, v: F.zip_with(acc, F.col("grid"), lambda state, c: _step(state, v, c["a"], c["b"], c["g"], c["p"])))
+    runs = F.zip_with(F.col("grid"), states, lambda c, state: F.struct(
+        state["sse"].alias("sse"), c["a"].alias("alpha"), c["b"].alias("beta"), c["g"].alias("gamma"), c["p"].alias("phi"),
+        state["l"].alias("l"), state["b"].alias("b"), state["s"].alias("s")))
+    return rows.withColumn("m", F.array_min(runs)).drop("grid")
+
+
+def _around(reach: float) -> Column:
+    """Candidates around the best one: each parameter as it is, smaller or larger, all within their bounds."""
+    def near(name: str, low: float, high: float) -> list[Column]:
+        value = F.col(f"m.{name}")
+        return [F.greatest(F.lit(low), F.least(F.lit(high), value * (1 + step))) for step in (-reach, 0.0, reach)]
+
+    phis = lambda value: F.when(value < 1, F.least(F.lit(0.995), value)).otherwise(value)
+    return F.array(*[
+        F.struct(a.alias("a"), b.alias("b"), g.alias("g"), phis(F.col("m.phi")).alias("p"))
+        for a, b, g in product(near("alpha", 0.001, 0.999), near("beta", 0.0001, 0.999), near("gamma", 0.0001, 0.999))])
+
+
+def fit(train: DataFrame, keys: list[str], damped: bool | None = None, seasonal: bool = True, refine: int = REFINE) -> DataFrame:
+    """The best candidate per key with its final state: a coarse grid, then ``refine`` rounds of ever closer neighbours."""
+    rows = _best(started(values(train, keys), seasonal), candidates(damped))
+    for i in range(refine):
+        rows = _best(rows.withColumnRenamed("m", "previo").withColumn("m", F.col("previo")), _around(0.5 / 2**i)).drop("previo")
+    return rows.select(*keys, "m.*", F.size("y").alias("n"), "fin")
 
 
 def forecast(fitted: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,10 @@ series of any level share the trees and the number of series does not multiply t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
@@ -20,23 +24,31 @@ from wastelens.session import cut_lineage
 
 SEED = 42
 MIN_ROWS = 5
-ROWS_PER_PARTITION = 1_500
+PARTITIONS = 8  # of a training set; a setting, since bagging is seeded per partition
+PARALLEL_FITS = 4  # independent fits that the driver keeps in flight
+DEEPEST = 30  # MLlib's limit
+SERIES_CODES = 4_096
 NODE_MEMORY_MB = 128  # per-task statistics of one group of tree nodes
 
 
 def regressor(kind: str, **hp):
-    """A regressor by name; ``hp`` uses the names of the search spaces."""
+    """A regressor by name; ``hp`` uses the names of the search spaces.
+
+    No ``max_depth`` (None) means MLlib's deepest tree, 30. MLlib bounds the rows of children, not of the node
+    that is split: ``min_samples_split`` asks half as many of each child, which no smaller node can give.
+    """
     depth = hp.get("max_depth")
+    leaf = max(hp.get("min_samples_leaf", 1), -(-hp.get("min_samples_split", 2) // 2), 1)
     if kind == "random_forest":
         subset = {None: "all", "sqrt": "sqrt", "log2": "log2"}[hp.get("max_features")]
         return RandomForestRegressor(
-            numTrees=hp.get("n_estimators", 150), maxDepth=min(depth or 30, 30) if "max_depth" in hp else 10,
-            minInstancesPerNode=max(hp.get("min_samples_leaf", 1), 1), featureSubsetStrategy=subset, seed=SEED,
+            numTrees=hp.get("n_estimators", 150), maxDepth=min(depth or DEEPEST, DEEPEST) if "max_depth" in hp else 10,
+            minInstancesPerNode=leaf, featureSubsetStrategy=subset, seed=SEED,
             maxMemoryInMB=NODE_MEMORY_MB, cacheNodeIds=True)
     if kind == "gradient_boosting":
         return GBTRegressor(
             maxIter=hp.get("n_estimators", 100), stepSize=hp.get("learning_rate", 0.08), maxDepth=depth or 4,
-            minInstancesPerNode=hp.get("min_samples_leaf", 1), subsamplingRate=hp.get("subsample", 1.0), seed=SEED)
+            minInstancesPerNode=leaf, subsamplingRate=hp.get("subsample", 1.0), seed=SEED)
     if kind == "decision_tree":
         return DecisionTreeRegressor(maxDepth=depth or 8, seed=SEED)
     if kind == "regresion_lineal":
@@ -65,10 +77,15 @@ def ahead_features(train: DataFrame, heads: DataFrame, keys: list[str], weather:
 
 
 def attended(train: DataFrame, heads: DataFrame, keys: list[str], weather: int = 2, event: int = 0) -> DataFrame:
-    """Past and future rows with their expanded features as a vector and the relative target."""
+    """Past and future rows with their expanded features as a vector and the relative target.
+
+    Attention works inside one series, where a code is constant; the code of the series is a feature of the
+    pooled regressor, behind the expanded ones.
+    """
     rows = series_features(train, keys).unionByName(ahead_features(train, heads, keys, weather, event))
+    code = F.pmod(F.xxhash64(F.lit(SEED), keys[0]), F.lit(SERIES_CODES)).cast("double")
     return attention.expanded(rows, keys).select(
-        *keys, "fecha", "futuro", "y", "media", array_to_vector("x").alias("features"),
+        *keys, "fecha", "futuro", "y", "media", array_to_vector(F.concat("x", F.array(code))).alias("features"),
         (F.col("y") / F.when(F.col("media") > 0, F.col("media"))).alias("label"))
 
 
@@ -77,18 +94,25 @@ def _steps(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return rows.withColumn("paso", step).select(*keys, "paso", F.greatest(F.lit(0.0), value * F.col("media")).alias("yhat"))
 
 
-def _training_set(rows: DataFrame) -> DataFrame:
-    """Written features with few enough partitions that each holds a useful number of rows: the
-    node statistics of a tree fit are sent once per partition. Never more than the files give."""
+def _training_set(rows: DataFrame, keys: list[str], partitions: int = PARTITIONS) -> DataFrame:
+    """Written features, dealt by series to a set number of partitions: forests are seeded per partition, so
+    the same rows give the same model on any cluster. Large sets want more partitions; that is the caller's setting."""
     rows = cut_lineage(rows, "rasgos")
-    useful = -(-rows.count() // ROWS_PER_PARTITION)
-    return rows.coalesce(max(1, useful))
+    return rows.repartition(partitions, *keys).sortWithinPartitions(*keys, "fecha")
 
 
-def fit_predict(train: DataFrame, heads: DataFrame, keys: list[str], kind: str = "random_forest", **hp) -> DataFrame:
+def in_parallel(jobs: list[Callable[[], DataFrame]], workers: int = PARALLEL_FITS) -> list[DataFrame]:
+    """Results of independent driver-side fits, in their order. A fit is a long row of short jobs, so a few at a
+    time keep the cluster busy; an error of one is raised once the others have ended."""
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        return list(pool.map(lambda job: job(), jobs))
+
+
+def fit_predict(train: DataFrame, heads: DataFrame, keys: list[str], kind: str = "random_forest",
+                partitions: int = PARTITIONS, **hp) -> DataFrame:
     """Attention features, then one pooled regressor. The features are written once: the fit
     passes over them many times, and a lost executor costs a re-read, not a re-computation."""
-    rows = _training_set(attended(train, heads, keys))
+    rows = _training_set(attended(train, heads, keys), keys, partitions)
     model = regressor(kind, **hp).fit(rows.filter(~F.col("futuro") & F.col("label").isNotNull()))
     return _steps(model.transform(rows.filter("futuro")), keys, F.col("prediction"))
 
@@ -99,11 +123,14 @@ STACK = {"rf": ("random_forest", {"n_estimators": 150, "max_depth": 10}),
 
 
 def stacked(train: DataFrame, heads: DataFrame, keys: list[str], folds: int = 5, stack=None,
-            ridge: float = 0.5) -> tuple[DataFrame, DataFrame]:
+            ridge: float = 0.5, partitions: int = PARTITIONS) -> tuple[DataFrame, DataFrame]:
     """Four regressors combined by a ridge meta-learner that is fitted on out-of-fold predictions
-    (contiguous blocks of each series). Returns (predictions, meta weights)."""
+    (contiguous blocks of each series). Returns (predictions, meta weights).
+
+    Scaling and attention are part of the features and see a series' whole training history, also where a
+    block of it is predicted out of fold. The folds are fitted side by side."""
     stack = stack or STACK
-    rows = _training_set(attended(train, heads, keys))
+    rows = _training_set(attended(train, heads, keys), keys, partitions)
     position = F.row_number().over(W.partitionBy(*keys).orderBy("fecha")) - 1
     block = F.floor(position * folds / F.count("*").over(W.partitionBy(*keys))).cast("int")
     past = rows.filter(~F.col("futuro") & F.col("label").isNotNull()).withColumn("bloque", block)
@@ -115,10 +142,9 @@ def stacked(train: DataFrame, heads: DataFrame, keys: list[str], folds: int = 5,
             apply_to = model.transform(apply_to)
         return apply_to.withColumns({name: F.greatest(F.lit(0.0), F.col(name)) for name in stack})
 
-    oof = None
-    for f in range(folds):
-        part = predictions(past.filter(F.col("bloque") != f), past.filter(F.col("bloque") == f))
-        oof = part if oof is None else oof.unionByName(part)
+    fold = lambda f: predictions(past.filter(F.col("bloque") != f), past.filter(F.col("bloque") == f))
+    *parts, final = in_parallel([*[partial(fold, f) for f in range(folds)], partial(predictions, past, future)])
+    oof = reduce(DataFrame.unionByName, parts)
     names = list(stack)
     sums = gram_sums(oof.withColumn("todo", F.lit(1)), ["todo"], [F.lit(1.0), *[F.col(n) for n in names], F.col("label")])
     width = len(names) + 1
@@ -130,7 +156,7 @@ def stacked(train: DataFrame, heads: DataFrame, keys: list[str], folds: int = 5,
         value = value + F.get(weight, F.lit(i + 1)) * F.col(n)
     weights = meta.select(F.explode(F.array(*[
         F.struct(F.lit(n).alias("modelo"), F.get("c", F.lit(i + 1)).alias("peso")) for i, n in enumerate(names)])).alias("p")).select("p.*")
-    return _steps(predictions(past, future), keys, value), weights
+    return _steps(final, keys, value), weights
 
 
 def importances(model, names: list[str] = FEATURES) -> list[tuple[str, float]]:

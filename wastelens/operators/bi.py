@@ -309,10 +309,11 @@ def savings(wh, days: int = 30) -> DataFrame:
     """Waste cost of this period, the one before and since 2020-01-01, in one scan."""
     f, c = F.col("fecha"), F.col("costo_estimado")
     now, before = wh.as_of.get(days_before(days)), wh.as_of.get(days_before(2 * days))
-    sums = wh.desperdicios.agg(
+    history = F.lit("2020-01-01").cast("date")
+    sums = wh.desperdicios.filter(f >= F.least(history, before)).agg(
         total(F.when(f >= now, c)).alias("a"),
         total(F.when((f >= before) & (f < now), c)).alias("p"),
-        total(F.when(f >= F.lit("2020-01-01").cast("date"), c)).alias("h"))
+        total(F.when(f >= history, c)).alias("h"))
     a, p = F.col("a"), F.col("p")
     return sums.select(
         F.lit(days).alias("periodo_dias"), rd(a, 2).alias("costo_actual"), rd(p, 2).alias("costo_anterior"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wastelens.functions.scalar import parse_date, parse_number
 
 TRANSACTION_KEY = ["id_venta", "id_plato"]
+WHOLE = ("byte", "short", "integer")
 DAILY_KEY = ["fecha", "id_plato"]
 
 
@@ -30,12 +31,20 @@ def clean(raw: DataFrame, tie_break: list[str] | None = None) -> DataFrame:
 
     "First" is the smallest (tie-break columns, then date and quantity), so it does not depend on
     row order. The minimum is combined map-side: a key repeated very often moves as one row.
+    With one whole number as tie-break the order fits one decimal (quantities compare to six
+    digits after the point), so the minimum is a hash aggregation and raw rows are never sorted.
     """
     rows = parsed(raw).filter(~F.col("fecha_invalida")).drop("fecha_invalida", "nulo", "negativo")
     key = natural_key(rows)
     rest = [c for c in (tie_break or []) if c not in key]
     rest += [c for c in ("fecha", "cantidad") if c not in key + rest]
     rest += [c for c in rows.columns if c not in key + rest]
+    if rest == [*(tie_break or []), "fecha", "cantidad"] and len(rest) == 3 and rows.schema[rest[0]].dataType.typeName() in WHOLE:
+        part = lambda c, width: F.lpad(c.cast("string"), width, "0")
+        place = F.concat(  # non-negative parts of fixed width, nulls first
+            part(F.coalesce(F.col(rest[0]).cast("long") + 2_147_483_649, F.lit(0)), 10), part(F.datediff("fecha", F.lit("0001-01-01")) + 1, 7),
+            part(F.least(F.col("cantidad") * 1_000_000, F.lit(1e17)).cast("long"), 18)).cast("decimal(38,0)")
+        return rows.groupBy(*key).agg(*[F.min_by(c, place).alias(c) for c in rest]).select(*rows.columns)
     first = rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("r"))
     return first.select(*key, "r.*").select(*rows.columns)
 
@@ -60,8 +69,9 @@ def duplicate_count(df: DataFrame, by: list[str]) -> DataFrame:
     return per_key.groupBy(*by).agg(F.sum(F.col("n") - 1).cast("long").alias("duplicados"), F.sum("n").cast("long").alias("filas"))
 
 
-def null_counts(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """Nulls per column and group, long form, one pass."""
+def null_counts(df: DataFrame, by: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Nulls per column (all but the group's, if none are named) and group, long form, one pass."""
+    columns = columns or [c for c in df.columns if c not in by]
     counted = df.groupBy(*by).agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns])
     return counted.unpivot(by, columns, "columna", "nulos")
 

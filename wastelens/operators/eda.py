@@ -92,32 +92,20 @@ def by_month(series: DataFrame, min_days: int = 60) -> DataFrame:
 
 
 def correlations(rows: DataFrame, by: str, columns: list[str] | None = None) -> DataFrame:
-    """Pearson matrix per group in long form, null where a variance is zero.
+    """Pearson matrix per group in long form over pairwise complete rows, null where a variable is constant.
 
-    One pass of plain sums (n, sums and cross products), which combine map-side.
+    One pass of the built-in aggregate, whose co-moments merge map-side.
     """
     names = columns or CORRELATED
-    x = {c: F.col(c).cast("double") for c in names}
     pairs = list(combinations_with_replacement(range(len(names)), 2))
-    moments = rows.groupBy(by).agg(
-        F.count("*").cast("double").alias("n"), *[F.sum(x[c]).alias(f"s{i}") for i, c in enumerate(names)],
-        *[F.sum(x[names[i]] * x[names[j]]).alias(f"p{i}_{j}") for i, j in pairs])
-
-    place = {pair: k for k, pair in enumerate(pairs)}
+    x = [F.col(c).cast("double") for c in names]
+    sums = rows.groupBy(by).agg(*[F.corr(x[i], x[j]).alias(f"r{i}_{j}") for i, j in pairs])
     cells = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(i).alias("i"), F.lit(j).alias("j"),
-                 F.lit(place[i, i]).alias("ii"), F.lit(place[j, j]).alias("jj"),
-                 F.lit(place[min(i, j), max(i, j)]).alias("ij"))
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{min(i, j)}_{max(i, j)}").alias("r"))
         for i, a in enumerate(names) for j, b in enumerate(names)])
-    long = moments.select(
-        F.col(by).alias("serie"), "n", F.array(*[f"s{i}" for i in range(len(names))]).alias("s"),
-        F.array(*[f"p{i}_{j}" for i, j in pairs]).alias("p"), F.explode(cells).alias("c"))
-    at = lambda array, index: F.get(F.col(array), F.col(f"c.{index}"))
-    co = F.col("n") * at("p", "ij") - at("s", "i") * at("s", "j")
-    var_a = F.col("n") * at("p", "ii") - at("s", "i") * at("s", "i")
-    var_b = F.col("n") * at("p", "jj") - at("s", "j") * at("s", "j")
-    value = F.when((var_a > 0) & (var_b > 0), F.round(co / (F.sqrt(var_a) * F.sqrt(var_b)), 4))
-    return long.select("serie", F.col("c.a").alias("variable_a"), F.col("c.b").alias("variable_b"), value.alias("correlacion"))
+    value = F.round(F.when(~F.isnan("c.r"), F.col("c.r")), 4)
+    return sums.select(F.col(by).alias("serie"), F.explode(cells).alias("c")).select(
+        "serie", F.col("c.a").alias("variable_a"), F.col("c.b").alias("variable_b"), value.alias("correlacion"))
 
 
 def code_counts(rows: DataFrame, by: str) -> DataFrame:

@@ -143,14 +143,13 @@ def _future(wh) -> DataFrame:
 SERIES: dict[str, Callable[..., DataFrame]] = {
     "c01_clean": lambda wh: cleaning.clean(cleaning.raw_transactions(wh), ["linea"]),
     "c01_cleaning_warnings": lambda wh: cleaning.cleaning_warnings(cleaning.raw_transactions(wh)),
-    "t08_keep_first": lambda wh: wh.detalle_ventas.groupBy("id_venta", "id_plato").agg(
-        F.min(F.struct("linea", "cantidad", "subtotal")).alias("r")).select("id_venta", "id_plato", "r.linea"),
+    "t08_keep_first": lambda wh: wh.detalle_ventas.groupBy("id_venta", "id_plato").agg(F.min("linea").alias("linea")),
     "a21_daily_demand": series.daily_demand,
     "a22_daily_series": series.daily_series,
     "a22_brand_series": lambda wh: series.daily_series(wh, "marca"),
     "a23_descriptive": lambda wh: eda.descriptive(_daily(wh)),
-    "a24_null_counts": lambda wh: cleaning.null_counts(
-        wh.desperdicios, ["id_plato", "id_insumo", "motivo"], ["id_restaurante"]),
+    "a24_null_counts": lambda wh: cleaning.null_counts(wh.desperdicios, ["id_restaurante"]),
+    "a24_null_counts_lines": lambda wh: cleaning.null_counts(listing.sales_lines(wh), ["categoria"]),
     "a25_duplicates": lambda wh: cleaning.duplicate_count(listing.sales_lines(wh), ["categoria"]),
     "a26_histogram": lambda wh: eda.histogram(_daily(wh)),
     "a27_by_weekday": lambda wh: eda.by_weekday(_daily(wh)),

@@ -29,6 +29,7 @@ TREES: dict[str, FitPredict] = {
     "atencion_gradient_boosting": partial(trees.fit_predict, kind="gradient_boosting")}
 ALL_MODELS: dict[str, FitPredict] = {**STATISTICAL, **TREES}
 CRITERION = "menor MAE (empate -> menor RMSE -> menor SMAPE)"
+ERROR_LENGTH = 255
 NO_FORECAST = "sin pronóstico: historia insuficiente o sistema sin solución"
 
 
@@ -51,13 +52,17 @@ def with_previous_value(series: DataFrame) -> DataFrame:
 
 
 def predict_all(train: DataFrame, heads: DataFrame, keys: list[str], models: dict[str, FitPredict]) -> tuple[DataFrame | None, dict[str, str]]:
-    """Forecasts of every model in long form. A model that fails is reported, the others go on."""
+    """Forecasts of every model in long form. A model that fails is reported, the others go on.
+
+    Each model's rows are written before the next begins, so that a failure in a task is that model's
+    failure; its message is cut to what a stored run keeps.
+    """
     out, failures = None, {}
     for name, fit_predict in models.items():
         try:
-            rows = fit_predict(train, heads, keys).withColumn("modelo", F.lit(name))
+            rows = cut_lineage(fit_predict(train, heads, keys).withColumn("modelo", F.lit(name)), "modelo")
         except Exception as exc:  # a failing model must not stop the comparison
-            failures[name] = str(exc)[:500]
+            failures[name] = str(exc)[:ERROR_LENGTH]
             continue
         out = rows if out is None else out.unionByName(rows)
     return out, failures
@@ -73,6 +78,13 @@ def full_scores(scores: DataFrame, ids: DataFrame, models: list[str], failures:
     return grid.join(scores, [*keys, "modelo"], "left").withColumn("error", F.when(F.col("mae").isNull(), message))
 
 
+def no_scores(series: DataFrame, keys: list[str]) -> DataFrame:
+    """The score table when no model gave a forecast."""
+    names = ", ".join(f"`{k}` {'string' if k == 'serie' else 'int'}" for k in keys)
+    measures = ", ".join(f"{m} double" for m in ("mae", "rmse", "mape", "smape", "u_theil", "r2"))
+    return series.sparkSession.createDataFrame([], f"{names}, modelo string, n long, {measures}")
+
+
 def compare(series: DataFrame, models: dict[str, FitPredict] | None = None, min_days: int = 30) -> Comparison:
     """Hold-out comparison of the models on every series of at least ``min_days`` days."""
     models = models or ALL_MODELS
@@ -81,6 +93,8 @@ def compare(series: DataFrame, models: dict[str, FitPredict] | None = None, min_
     test = split.filter("es_test")
     heads = test.groupBy("serie").agg(F.count("*").cast("int").alias("h"))
     forecasts, failures = predict_all(train, heads, ["serie"], models)
+    if forecasts is None:
+        forecasts = series.sparkSession.createDataFrame([], "serie string, paso int, yhat double, modelo string")
     joined = forecasts.join(actuals(test, ["serie"]), ["serie", "paso"]).select("serie", "modelo", "fecha", "y", "yhat", "previo")
     predictions = cut_lineage(joined, "pronosticos")
     scores = full_scores(metrics.score(predictions, ["serie", "modelo"]), heads, list(models), failures, ["serie"])
@@ -118,13 +132,17 @@ def walk_forward(series: DataFrame, models: dict[str, FitPredict] | None = None,
     heads = folds.select("serie", "fold", F.col("n_val").alias("h"))
     keys = ["serie", "fold"]
     forecasts, failures = predict_all(train, heads, keys, {m: f for m, f in models.items() if m not in TREES})
-    for name in [m for m in models if m in TREES]:
-        for i in range(1, k + 1):
-            at = F.col("fold") == i
-            rows_i, failed = predict_all(train.filter(at), heads.filter(at), keys, {name: models[name]})
-            failures.update(failed)
-            if rows_i is not None:
-                forecasts = rows_i if forecasts is None else forecasts.unionByName(rows_i)
+    def one_fold(name: str, i: int):
+        at = F.col("fold") == i
+        return predict_all(train.filter(at), heads.filter(at), keys, {name: models[name]})
+
+    pooled = [partial(one_fold, name, i) for name in models if name in TREES for i in range(1, k + 1)]
+    for rows_i, failed in trees.in_parallel(pooled):
+        failures.update(failed)
+        if rows_i is not None:
+            forecasts = rows_i if forecasts is None else forecasts.unionByName(rows_i)
+    if forecasts is None:
+        return full_scores(no_scores(series, keys), folds, list(models), failures, keys).join(folds.drop("k"), keys)
     scored = metrics.score(forecasts.join(actuals(val, keys), [*keys, "paso"]), [*keys, "modelo"])
     return full_scores(scored, folds, list(models), failures, keys).join(folds.drop("k"), keys)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -17,6 +16,7 @@ from wastelens.operators import bi, listing, metrics, naive, plan, series
 from wastelens.plans import experiment
 from wastelens.session import cut_lineage, shared_dir
 from wastelens.sources import export, generate, runs
+from wastelens.sources.warehouse import ParquetWarehouse, write_warehouse
 from wastelens.streaming import jobs
 
 KEY = ["serie"]
@@ -85,19 +85,13 @@ def attention_features(wh) -> DataFrame:
         "serie", "fecha", "futuro", *[F.round(F.get("x", F.lit(8 + i)), 4).alias(f"atencion_{i}") for i in range(8)])
 
 
-SMALL_STACK = {"rf": ("random_forest", {"n_estimators": 20, "max_depth": 6}),
-               "gbr": ("gradient_boosting", {"n_estimators": 10, "learning_rate": 0.08, "max_depth": 4}),
-               "lr": ("regresion_lineal", {}), "dt": ("decision_tree", {"max_depth": 7})}
-LINEAR_STACK = {name: trees.STACK[name] for name in ("lr", "dt")}
-
-
 def _stacked(train, heads, keys, **kw):
     return trees.stacked(train, heads, keys, **kw)[0]
 
 
 def stacked_forecast(wh) -> DataFrame:
     train, heads = _split(wh)
-    return _stacked(train, heads, KEY, folds=2, stack=SMALL_STACK).withColumn("yhat", F.round("yhat", 4))
+    return _stacked(train, heads, KEY).withColumn("yhat", F.round("yhat", 4))
 
 
 def _dish_features(wh) -> DataFrame:
@@ -107,7 +101,7 @@ def _dish_features(wh) -> DataFrame:
 def single_models(wh) -> DataFrame:
     features = cut_lineage(_dish_features(wh), "demanda")
     out = None
-    for kind, hp in (("random_forest", {"n_estimators": 20, "max_depth": 8}), ("regresion_lineal", {}), ("decision_tree", {})):
+    for kind, hp in (("random_forest", {}), ("regresion_lineal", {}), ("decision_tree", {})):
         scored = trees.train_single(features, kind, **hp)[1]
         out = scored if out is None else out.unionByName(scored)
     return metrics.score(out, ["modelo"]).select("modelo", "n", "mae", "r2")
@@ -125,7 +119,7 @@ def dish_forecast(wh, kind: str = "regresion_lineal", horizon: int = 7) -> DataF
 
 def three_models(wh) -> DataFrame:
     models = {"arima": arima.fit_predict, "tendencia": trend.fit_predict,
-              "hibrido": partial(_stacked, folds=2, stack=LINEAR_STACK)}
+              "hibrido": _stacked}
     return experiment.compare(daily_table(wh), models).scores
 
 
@@ -133,14 +127,14 @@ def five_models(wh) -> DataFrame:
     return experiment.compare(daily_table(wh)).scores
 
 
-def statistical_future(wh) -> DataFrame:
+def future_plan(wh) -> DataFrame:
     rows = daily_table(wh)
-    compared = experiment.compare(rows, experiment.STATISTICAL)
-    return experiment.future(rows, compared.best, 7, experiment.STATISTICAL)
+    compared = experiment.compare(rows)
+    return experiment.future(rows, compared.best, 7)
 
 
-def statistical_folds(wh) -> DataFrame:
-    return experiment.walk_forward(daily_table(wh), experiment.STATISTICAL)
+def folds(wh) -> DataFrame:
+    return experiment.walk_forward(daily_table(wh))
 
 
 def tuned_smoothing(wh) -> DataFrame:
@@ -148,7 +142,7 @@ def tuned_smoothing(wh) -> DataFrame:
 
 
 def experiment_tests(wh) -> DataFrame:
-    return experiment.run(daily(wh), experiment.STATISTICAL, k=3)["pruebas"]
+    return experiment.run(daily(wh))["pruebas"]
 
 
 def _naive_scores(wh) -> DataFrame:
@@ -251,23 +245,40 @@ def predictions_table(wh) -> DataFrame:
              F.lit("bajo").alias("riesgo_desperdicio"), "mae", F.lit(None).cast("double").alias("r2"), F.lit(0.5).alias("confianza"))
 
 
+def stored_scan(wh) -> DataFrame:
+    """Tickets written in the month layout and read back with the declared schema."""
+    root = shared_dir(wh.spark, "almacen")
+    write_warehouse(wh, root, ["ventas"])
+    stored = ParquetWarehouse(wh.spark, root, wh.as_of, wh.now, tables=["ventas"])
+    return stored.ventas.select("id_venta", "fecha", F.col("total").cast("double").alias("total"), "metodo_pago", "id_cliente")
+
+
 def generated_tickets(wh) -> DataFrame:
-    return generate.tickets(wh.restaurantes, wh.as_of.get(), 30).drop("dia")
+    return generate.tickets(wh.restaurantes, wh.as_of.get()).drop("dia")
 
 
 def generated_lines(wh) -> DataFrame:
-    heads = generate.tickets(wh.restaurantes, wh.as_of.get(), 30)
+    heads = generate.tickets(wh.restaurantes, wh.as_of.get())
     return generate.ticket_lines(heads, wh.platos).withColumn("subtotal", F.col("subtotal").cast("double"))
 
 
 def generated_waste(wh) -> DataFrame:
-    return generate.waste(generate.production(wh.restaurantes, wh.platos, wh.as_of.get(), 90))
+    return generate.waste(generate.production(wh.restaurantes, wh.platos, wh.as_of.get()))
 
 
 def _stream(wh):
     return jobs.event_stream(wh.spark, wh.root)
 
 
+def _drained(job: Callable[[DataFrame], DataFrame], purpose: str) -> Callable[..., DataFrame]:
+    """A stream job over the whole log, its end included."""
+    def run(wh) -> DataFrame:
+        marks = shared_dir(wh.spark, "marcas")
+        return jobs.drain(job(jobs.event_stream(wh.spark, wh.root, marks=marks)), purpose, marks)
+
+    return run
+
+
 def outbox_stream(wh) -> DataFrame:
     """Errors of the log appended to an outbox in micro-batches; the undelivered ones."""
     base = shared_dir(wh.spark, "buzon")
@@ -280,6 +291,7 @@ def outbox_stream(wh) -> DataFrame:
 
 MODELS: dict[str, Callable[..., DataFrame]] = {
     "s01_scan": lambda wh: wh.ventas.select("id_venta", "fecha", F.col("total").cast("double").alias("total"), "metodo_pago", "id_cliente"),
+    "s01_stored_scan": stored_scan,
     "s04_evolved": evolved,
     "s05_csv_export": csv_export,
     "s06_bundle_export": bundle_export,
@@ -304,6 +316,8 @@ MODELS: dict[str, Callable[..., DataFrame]] = {
     "m04_design_sums": design_sums,
     "m04_trend_forecast": lambda wh: _forecast(trend, wh),
     "m05_smoothing_fixed": smoothing_fixed,
+    "m05_grid_fit": lambda wh: holt_winters.fit(daily_table(wh), KEY, refine=0).select(
+        "serie", "alpha", "beta", "gamma", "phi", F.round("sse", 4).alias("sse"), F.round("l", 4).alias("nivel")),
     "m05_holt_winters": lambda wh: _forecast(holt_winters, wh),
     "m06_attention_features": attention_features,
     "m07_attention_forest": lambda wh: _forecast(trees, wh, kind="random_forest"),
@@ -313,13 +327,13 @@ MODELS: dict[str, Callable[..., DataFrame]] = {
     "m11_dish_forecast": dish_forecast,
     "m12_three_models": three_models,
     "m13_five_models": five_models,
-    "m13_future_plan": statistical_future,
+    "m13_future_plan": future_plan,
     "m16_tuned_smoothing": tuned_smoothing,
-    "m18_walk_forward": statistical_folds,
+    "m18_walk_forward": folds,
     "m19_experiment_tests": experiment_tests,
-    "x01_stream_daily": lambda wh: jobs.drain(jobs.daily_totals(_stream(wh)), "diario"),
-    "x02_stream_weekly": lambda wh: jobs.drain(jobs.weekly_totals(_stream(wh)), "semanal"),
-    "x03_stream_cooldown": lambda wh: jobs.drain(jobs.cooled_alerts(_stream(wh)), "pausa").select("event_type", "user_id"),
+    "x01_stream_daily": _drained(jobs.daily_totals, "diario"),
+    "x02_stream_weekly": _drained(jobs.weekly_totals, "semanal"),
+    "x03_stream_cooldown": lambda wh: _drained(jobs.cooled_alerts, "pausa")(wh).select("event_type", "user_id", "ts"),
     "x04_stream_outbox": outbox_stream,
-    "x05_stream_sessions": lambda wh: jobs.drain(jobs.sessions(_stream(wh)), "sesiones"),
+    "x05_stream_sessions": _drained(jobs.sessions, "sesiones"),
 }

@@ -16,7 +16,8 @@ _DDL = {
     "recetas": "id_plato long, id_insumo long, cantidad_usada decimal(10,3), unidad_medida string",
     "ventas": "id_venta long, fecha date, hora string, total decimal(12,2), metodo_pago string, "
     "id_cliente long, id_restaurante long",
-    "detalle_ventas": "id_venta long, id_plato long, cantidad long, subtotal decimal(12,2)",
+    "clientes": "id_cliente long, nombre string, id_restaurante long",
+    "detalle_ventas": "id_venta long, id_plato long, cantidad long, subtotal decimal(12,2), linea int",
     "producciones": "id_restaurante long, id_plato long, fecha date, preparada long, "
     "vendida long, sobrante long",
     "desperdicios": "id_restaurante long, id_plato long, id_insumo long, fecha date, tipo string, "
@@ -27,6 +28,7 @@ _DDL = {
     "descripcion string, recomendacion string, estado string, fecha_generacion timestamp, "
     "id_plato long, id_insumo long, valor_predicho double, valor_actual double, "
     "porcentaje_riesgo double",
+    "cambios_alerta": "id_alerta long, momento timestamp, estado string",
     "predicciones": "id_plato long, fecha_objetivo date, fecha_generacion timestamp, modelo string, "
     "demanda_estimada double, recomendacion_produccion long, riesgo_desperdicio string, "
     "mae double, r2 double, confianza double",
@@ -38,6 +40,15 @@ TABLES = tuple(_DDL)
 FACTS_BY_MONTH = ("ventas", "detalle_ventas", "producciones", "desperdicios", "bitacora")
 
 
+# Columns that the stored layout adds to a table.
+STORED = {"detalle_ventas": "fecha date, categoria string"}
+
+
+def stored_schema(table: str) -> T.StructType:
+    """The declared columns and those of the stored layout; a file without one of them gives nulls."""
+    return T.StructType([*schema_of(table).fields, *T.StructType.fromDDL(STORED.get(table, "")).fields] if table in STORED else schema_of(table).fields)
+
+
 def schema_of(table: str) -> T.StructType:
     """The declared schema (parsed by the running session)."""
     return T.StructType.fromDDL(_DDL[table])

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NAME_LENGTH = 31
-
-
 def write_csv(df: DataFrame, path: str) -> str:
     """UTF-8 CSV with header, one file per partition."""
     df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
@@ -15,10 +12,17 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 
 def export_bundle(frames: dict[str, DataFrame], path: str) -> dict[str, str]:
-    """One CSV dataset per name (cut to 31 characters); an empty frame leaves a placeholder row."""
+    """One CSV dataset per name; an empty frame leaves a placeholder row.
+
+    A dataset is a directory, so its whole name is kept; only path separators are replaced, and
+    two names that would share a directory are an error.
+    """
+    folders = {name: name.replace("/", "_").replace(":", "_") for name in frames}
+    if len(set(folders.values())) < len(folders):
+        raise ValueError(f"dataset names collide: {sorted(frames)}")
     out = {}
     for name, frame in frames.items():
-        sheet = name[:NAME_LENGTH]
+        sheet = folders[name]
         filled = frame
         if frame.isEmpty():
             filled = frame.sparkSession.range(1).select(F.lit("Sin datos").alias("info"))

@@ -6,6 +6,7 @@ manifest is written last, so a job that dies half way leaves no visible run.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -39,7 +40,7 @@ def model_rows(run_id: str, scores: DataFrame) -> DataFrame:
     error = F.col("error") if "error" in scores.columns else F.lit(None).cast("string")
     return scores.select(
         F.lit(run_id).alias("run_id"), run_key(run_id).alias("id_ejecucion"), "serie", "modelo", kind.alias("categoria"),
-        "mae", "rmse", "mape", "smape", "u_theil", "r2", "posicion", F.substring(error, 1, 255).alias("error_mensaje"))
+        "mae", "rmse", "mape", "smape", "u_theil", "r2", "posicion", error.alias("error_mensaje"))
 
 
 def fold_rows(run_id: str, folds: DataFrame) -> DataFrame:
@@ -134,8 +135,10 @@ def list_saved(spark: SparkSession, root: str) -> DataFrame:
     for model in PARAMETRIC:
         try:
             rows = load_parameters(spark, root, model)
-        except Exception:  # no readable folder for this type
-            continue
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue  # this type was never saved
         part = rows.select("serie", F.lit(model).alias("modelo"), "hash_datos", "n_registros", "guardado")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "serie string, modelo string, hash_datos string, n_registros long, guardado timestamp")

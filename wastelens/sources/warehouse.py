@@ -10,9 +10,12 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wastelens.asof import AsOf
-from wastelens.schemas import FACTS_BY_MONTH, TABLES, empty, evolve
+from wastelens.schemas import FACTS_BY_MONTH, TABLES, empty, evolve, stored_schema
+
+ROWS_PER_FILE = 20_000_000
 
 
 class Warehouse:
@@ -35,9 +38,17 @@ class Warehouse:
     def now(self) -> AsOf:
         return AsOf.latest(self.bitacora, "momento")
 
+    def holds(self, name: str) -> bool:
+        return name in self._frames or hasattr(type(self), name)
+
     def table(self, name: str) -> DataFrame:
+        """A declared table. One that this warehouse does not hold has no rows; an unknown name is an error."""
+        if name not in TABLES:
+            raise KeyError(f"unknown table {name!r}")
         if name in self._frames:
             return evolve(self._frames[name], name)
+        if hasattr(type(self), name):
+            return evolve(getattr(self, name), name)
         return empty(self.spark, name)
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -47,14 +58,18 @@ class Warehouse:
 
 
 class ParquetWarehouse(Warehouse):
-    """Domain tables stored one directory each; facts partitioned by ``mes``."""
+    """Domain tables stored one directory each; facts partitioned by ``mes``.
+
+    Files are read with the declared schema: columns added later are null in older files, and no
+    footer is opened to find that out. ``extra`` names further stored columns of a table as DDL.
+    """
 
     def __init__(self, spark: SparkSession, root: str, as_of: AsOf | None = None, now: AsOf | None = None,
-                 tables: list[str] | None = None):
-        frames = {
-            name: spark.read.option("mergeSchema", "true").parquet(f"{root}/{name}")
-            for name in (tables or list(TABLES))
-        }
+                 tables: list[str] | None = None, extra: dict[str, str] | None = None):
+        frames = {}
+        for name in tables or list(TABLES):
+            more = T.StructType.fromDDL(extra[name]).fields if extra and name in extra else []
+            frames[name] = spark.read.schema(T.StructType([*stored_schema(name).fields, *more])).parquet(f"{root}/{name}")
         super().__init__(spark, frames, as_of, now)
 
 
@@ -82,17 +97,23 @@ def write_warehouse(wh: Warehouse, root: str, tables: list[str]) -> None:
     """Write domain tables in the layout :class:`ParquetWarehouse` reads.
 
     Ticket lines get the ticket date and the dish category, so that the demand queries need no
-    join with tickets; facts are clustered into month directories before the write, by month and
-    a hash of the row, so that one heavy month is spread over several writers.
+    join with tickets or dishes. Facts are rebalanced by month before the write: small months
+    share a writer, and a heavy month is split into as many as its size asks for. A table that
+    the warehouse does not hold is an error, so nothing is overwritten with an empty one.
     """
+    absent = [name for name in tables if not wh.holds(name)]
+    if absent:
+        raise KeyError(f"not in this warehouse: {absent}")
     for name in tables:
         df = wh.table(name)
         if name == "detalle_ventas" and "fecha" not in df.columns:
             df = df.join(wh.ventas.select("id_venta", "fecha"), "id_venta")
+        if name == "detalle_ventas" and "categoria" not in df.columns:
+            df = df.join(wh.platos.select("id_plato", "categoria"), "id_plato", "left")
         df = df.drop("momento") if name != "bitacora" else df
         if name in FACTS_BY_MONTH:
             df = df.withColumn("mes", F.date_format("fecha", "yyyy-MM"))
-            df = df.repartition("mes", F.pmod(F.xxhash64(*df.columns), F.lit(16)))
-            df.write.mode("overwrite").partitionBy("mes").parquet(f"{root}/{name}")
+            df = df.hint("rebalance", F.col("mes"))
+            df.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("mes").parquet(f"{root}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{root}/{name}")

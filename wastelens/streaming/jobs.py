@@ -4,21 +4,31 @@ over everything available and returns what it wrote."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from wastelens.session import shared_dir
 
 
-def event_stream(spark: SparkSession, root: str, files_per_trigger: int = 100) -> DataFrame:
-    """The event log as a file stream, with an explicit schema."""
+END = dt.datetime(2200, 1, 1)
+HOUR = 3_600_000_000  # microseconds
+
+
+def event_stream(spark: SparkSession, root: str, files_per_trigger: int = 100, marks: str | None = None) -> DataFrame:
+    """The event log as a file stream, with an explicit schema.
+
+    ``marks`` is a folder of closing marks that :func:`drain` writes to when a log has ended.
+    """
     schema = spark.read.parquet(f"{root}/events.parquet").schema
-    stream = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger).parquet(root)
-    )
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    stream = files.option("pathGlobFilter", "events*.parquet").parquet(root)
+    if marks:
+        spark.createDataFrame([], schema).write.mode("append").parquet(marks)
+        stream = stream.union(spark.readStream.schema(schema).parquet(marks))
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -36,10 +46,50 @@ def weekly_totals(events: DataFrame, late: str = "1 day") -> DataFrame:
     ).select(F.to_date("v.start").alias("desde"), F.to_date("v.end").alias("hasta"), "event_type", "eventos", "valor")
 
 
-def cooled_alerts(events: DataFrame, hours: int = 24) -> DataFrame:
-    """First alert of a (type, user) and no other until the watermark has passed it by ``hours``."""
-    return events.withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark(["event_type", "user_id"]).select(
-        "event_id", "event_type", "user_id", "ts")
+def _accept(hours: int):
+    """Keyed state: the last accepted time, and the events that the watermark has not reached yet."""
+    import pandas as pd
+
+    pause = hours * HOUR
+
+    def run(key, batches, state):
+        last, times, ids = state.get if state.exists else (None, [], [])
+        waiting = list(zip(times, ids, strict=True))
+        if not state.hasTimedOut:
+            for rows in batches:
+                waiting += zip(rows["us"].tolist(), rows["event_id"].tolist(), strict=True)
+        reached = state.getCurrentWatermarkMs() * 1000
+        waiting.sort()
+        out, passed = [], 0
+        while passed < len(waiting) and waiting[passed][0] <= reached:
+            us, event_id = waiting[passed]
+            passed += 1
+            if last is None or us >= last + pause:
+                last = us
+                out.append((event_id, *key, us))
+        waiting = waiting[passed:]
+        if not waiting and last is not None and reached >= last + pause:
+            state.remove()  # an event from now on is accepted anyway
+        elif waiting or last is not None:
+            state.update((last, [w[0] for w in waiting], [w[1] for w in waiting]))
+            due = max(reached + 1, waiting[0][0] if waiting else last + pause)
+            state.setTimeoutTimestamp(due // 1000 + 1)
+        yield pd.DataFrame(out, columns=["event_id", "event_type", "user_id", "us"])
+
+    return run
+
+
+def cooled_alerts(events: DataFrame, hours: int = 24, late: str = "1 day") -> DataFrame:
+    """Alerts of a (type, user) in order of event time: one is accepted if the last accepted one is at least ``hours`` older.
+
+    Events wait in the state of their key until the watermark has passed them, so the result does not depend on
+    how they are dealt into files or batches; equal times are taken in order of id.
+    """
+    timed = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    out = timed.groupBy("event_type", "user_id").applyInPandasWithState(
+        _accept(hours), "event_id long, event_type string, user_id long, us long",
+        "ultimo long, tiempos array<long>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.filter(F.col("event_id").isNotNull()).select("event_id", "event_type", "user_id", F.timestamp_micros("us").alias("ts"))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
@@ -48,14 +98,26 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
         F.count("*").alias("eventos")).select("user_id", F.col("s.start").alias("inicio"), F.col("s.end").alias("fin"), "eventos")
 
 
-def drain(stream: DataFrame, purpose: str) -> DataFrame:
-    """Process all available input into a Parquet table of the shared folder and read it."""
+def drain(stream: DataFrame, purpose: str, marks: str | None = None) -> DataFrame:
+    """Process all available input into a Parquet table of the shared folder and read it.
+
+    With ``marks`` the log counts as ended: a second run reads a closing mark that moves the watermark past
+    everything, so that windows, sessions and waiting events still open are written too.
+    """
     spark, out = stream.sparkSession, shared_dir(stream.sparkSession, purpose)
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", f"{out}/datos")
-        .option("checkpointLocation", f"{out}/control").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+
+    def run() -> None:
+        stream.writeStream.format("parquet").outputMode("append").option("path", f"{out}/datos").option(
+            "checkpointLocation", f"{out}/control").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    if marks:
+        schema = spark.read.parquet(marks).schema
+        kind = schema["ts"].dataType
+        mark = spark.range(1).select(*[F.lit(END).cast(kind).alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name)
+                                       for f in schema.fields])
+        mark.write.mode("append").parquet(marks)
+        run()
     return spark.read.schema(stream.schema).parquet(f"{out}/datos")
 
 
