@@ -253,3 +253,40 @@ def test_random_search_on_time_folds(make_series):
     space = {"n_estimators": [2, 3], "max_depth": [2]}
     out = experiment.tune_on_folds(make_series(a=WEEKLY, b=WEEKLY + 4), "atencion_random_forest", n=2, k=2, space=space).collect()
     assert len({r["hiperparametros"] for r in out}) == 2 and all(r["mae"] > 0 for r in out)
+
+
+def test_smoothing_without_a_season_has_none(make_series):
+    """A weekly peak must not come back in a forecast that was told to have no season."""
+    peaks = [60.0 if i % 7 == 0 else 10.0 for i in range(28)]
+    heads = make_series(a=[1.0]).select("serie").withColumn("h", F.lit(14))
+    plain = [r["yhat"] for r in holt_winters.fit_predict(make_series(a=peaks), heads, KEY, seasonal=False).orderBy("paso").collect()]
+    assert max(abs(a - b) for a, b in zip(plain, plain[1:])) < 5
+    fitted = holt_winters.fit(make_series(a=peaks), KEY, seasonal=False).first()
+    assert fitted["gamma"] == 0 and set(fitted["s"]) == {0.0}
+
+
+def test_refinement_never_fits_worse(make_series):
+    noisy = make_series(a=[20 + i * 0.3 + (i % 7) * 2 + (i * 37 % 11) for i in range(60)])
+    errors = [holt_winters.fit(noisy, KEY, refine=n).first()["sse"] for n in (0, 1, 3)]
+    assert errors[0] > errors[1] >= errors[2]
+
+
+def test_failure_in_a_task_is_that_models_failure(make_series):
+    from wastelens.plans import experiment
+
+    def breaks(train, heads, keys):
+        return heads.select(*keys, F.lit(1).alias("paso"), F.raise_error(F.lit("roto")).cast("double").alias("yhat"))
+
+    series = make_series(a=[10 + i % 7 for i in range(40)])
+    scores = {r["modelo"]: r for r in experiment.compare(series, {"holt_winters": holt_winters.fit_predict, "roto": breaks}).scores.collect()}
+    assert "roto" in scores["roto"]["error"] and scores["holt_winters"]["mae"] is not None
+    alone = experiment.compare(series, {"roto": breaks})
+    assert alone.scores.count() == 1 and alone.predictions.count() == 0
+
+
+def test_series_code_reaches_the_pooled_trees(make_series):
+    train = make_series(a=[10 + i % 3 for i in range(30)], b=[50 + i % 5 for i in range(30)])
+    heads = train.select("serie").distinct().withColumn("h", F.lit(2))
+    rows = trees.attended(train, heads, KEY).collect()
+    codes = {(r["serie"], r["features"][len(r["features"]) - 1]) for r in rows}
+    assert len(codes) == 2 and len({c for _, c in codes}) == 2

@@ -7,7 +7,9 @@ from wastelens.asof import AsOf
 from wastelens.functions import constants as K
 from wastelens.functions import scalar as S
 from wastelens.operators import bi, footprint, listing, replenish, rules
+from wastelens.schemas import TABLES
 from wastelens.sources import export
+from wastelens.sources.trade_tables import TradeWarehouse
 from wastelens.sources.warehouse import ParquetWarehouse, Warehouse, write_warehouse
 
 HOY = dt.date(2026, 6, 30)
@@ -190,6 +192,27 @@ def test_month_layout_round_trip(spark, wh, tmp_path):
     assert "ventas" not in bi.top_dishes(stored)._jdf.queryExecution().optimizedPlan().toString().replace("detalle_ventas", "")
 
 
+def test_writer_stores_every_row_and_refuses_absent_tables(spark, tmp_path):
+    trade = TradeWarehouse(spark, "/root/testdata/sf0.001")
+    write_warehouse(trade, str(tmp_path), list(TABLES[:-1]))
+    stored = ParquetWarehouse(spark, str(tmp_path), trade.as_of, trade.now, tables=list(TABLES[:-1]))
+    for name in TABLES[:-1]:
+        assert getattr(stored, name).count() == trade.table(name).count() > 0, name
+    assert stored.detalle_ventas.filter("categoria IS NULL OR fecha IS NULL").count() == 0
+    assert rules.current_states(stored.cambios_alerta).count() == rules.current_states(trade.cambios_alerta).count()
+    with pytest.raises(KeyError):
+        write_warehouse(Warehouse(spark, {}), str(tmp_path), ["platos"])
+    with pytest.raises(KeyError):
+        trade.table("plato")
+
+
+def test_states_of_the_same_moment_do_not_depend_on_row_order(spark):
+    rows = [(1, NOW, "leida"), (1, NOW, "pendiente"), (1, NOW - dt.timedelta(hours=1), "resuelta")]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "id_alerta long, momento timestamp, estado string")
+        assert rules.current_states(frame).first()["estado"] == "pendiente"
+
+
 def test_exports(spark, wh, tmp_path):
     out = export.export_bundle({"Un nombre de hoja con mas de treinta y un letras": bi.daily_sales(wh), "vacio": wh.bitacora}, str(tmp_path))
     assert list(out) == ["Un nombre de hoja con mas de treinta y un letras", "vacio"]

@@ -179,3 +179,14 @@ def test_event_and_weekend_codes(spark):
     rows = {r["fecha"]: r for r in series.calendar_features(df).collect()}
     assert [rows[d]["evento"] for d in dates] == [2, 1, 0, 0]
     assert rows[dates[2]]["es_finde"] == 1 and rows[dates[3]]["dia_semana"] == 0
+
+
+def test_correlations_use_complete_pairs_and_leave_constants_null(spark):
+    rows = [("a", 1.0, 2.0, 33.33), ("a", 2.0, 4.0, 33.33), ("a", 3.0, 6.0, 33.33), ("a", 10.0, None, 33.33), ("b", 1.0, 1.0, 0.1)]
+    frame = spark.createDataFrame(rows, "g string, x double, y double, z double")
+    got = {(r["serie"], r["variable_a"], r["variable_b"]): r["correlacion"] for r in eda.correlations(frame, "g", ["x", "y", "z"]).collect()}
+    assert got["a", "x", "y"] == got["a", "y", "x"] == 1.0 and got["a", "x", "x"] == 1.0
+    assert all(v is None for k, v in got.items() if "z" in k or k[0] == "b")
+    far = spark.createDataFrame([("a", 1e9 + i, 1e9 + (i % 7)) for i in range(1000)], "g string, x double, y double")
+    value = [r["correlacion"] for r in eda.correlations(far, "g", ["x", "y"]).collect() if r["variable_a"] != r["variable_b"]][0]
+    assert value == round(float(np.corrcoef(np.arange(1000), np.arange(1000) % 7)[0, 1]), 4)

@@ -94,16 +94,22 @@ def by_month(series: DataFrame, min_days: int = 60) -> DataFrame:
 def correlations(rows: DataFrame, by: str, columns: list[str] | None = None) -> DataFrame:
     """Pearson matrix per group in long form over pairwise complete rows, null where a variable is constant.
 
-    One pass of the built-in aggregate, whose co-moments merge map-side.
+    One pass of built-in aggregates, whose co-moments merge map-side; those of a constant are exactly zero.
     """
     names = columns or CORRELATED
     pairs = list(combinations_with_replacement(range(len(names)), 2))
     x = [F.col(c).cast("double") for c in names]
-    sums = rows.groupBy(by).agg(*[F.corr(x[i], x[j]).alias(f"r{i}_{j}") for i, j in pairs])
+
+    def pearson(a, b):
+        both = a.isNotNull() & b.isNotNull()
+        spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+        return F.covar_pop(a, b) / F.when(spread > 0, spread)
+
+    sums = rows.groupBy(by).agg(*[pearson(x[i], x[j]).alias(f"r{i}_{j}") for i, j in pairs])
     cells = F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{min(i, j)}_{max(i, j)}").alias("r"))
         for i, a in enumerate(names) for j, b in enumerate(names)])
-    value = F.round(F.when(~F.isnan("c.r"), F.col("c.r")), 4)
+    value = F.round(F.col("c.r"), 4)
     return sums.select(F.col(by).alias("serie"), F.explode(cells).alias("c")).select(
         "serie", F.col("c.a").alias("variable_a"), F.col("c.b").alias("variable_b"), value.alias("correlacion"))
 

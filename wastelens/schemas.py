@@ -63,3 +63,9 @@ def evolve(df: DataFrame, table: str) -> DataFrame:
     have = set(df.columns)
     missing = [f for f in schema_of(table).fields if f.name not in have]
     return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else df
+
+
+def conform(df: DataFrame, table: str) -> DataFrame:
+    """The stored form of a table: declared columns in their declared types, missing ones null, extra ones kept."""
+    kinds = {f.name: f.dataType for f in stored_schema(table).fields}
+    return evolve(df, table).select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in evolve(df, table).columns])

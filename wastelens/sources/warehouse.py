@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wastelens.asof import AsOf
-from wastelens.schemas import FACTS_BY_MONTH, TABLES, empty, evolve, stored_schema
+from wastelens.schemas import FACTS_BY_MONTH, TABLES, conform, empty, evolve, stored_schema
 
 ROWS_PER_FILE = 20_000_000
 
@@ -110,7 +110,7 @@ def write_warehouse(wh: Warehouse, root: str, tables: list[str]) -> None:
             df = df.join(wh.ventas.select("id_venta", "fecha"), "id_venta")
         if name == "detalle_ventas" and "categoria" not in df.columns:
             df = df.join(wh.platos.select("id_plato", "categoria"), "id_plato", "left")
-        df = df.drop("momento") if name != "bitacora" else df
+        df = conform(df.drop("momento") if name not in ("bitacora", "cambios_alerta") else df, name)
         if name in FACTS_BY_MONTH:
             df = df.withColumn("mes", F.date_format("fecha", "yyyy-MM"))
             df = df.hint("rebalance", F.col("mes"))
