@@ -71,6 +71,55 @@ wr AS (SELECT *, rank() OVER (PARTITION BY serie, modelo ORDER BY a) + (count(*)
    count(*) OVER (PARTITION BY serie, modelo, a) AS t FROM wd WHERE d <> 0),
 ws AS (SELECT serie, modelo, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS mas, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS menos, CAST(sum(t * t - 1) AS BIGINT) AS empates FROM wr GROUP BY 1, 2),
 wn AS (SELECT serie, modelo, ganador, count(*) AS n, count(*) FILTER (d = 0) AS ceros FROM wd GROUP BY 1, 2, 3)"""
+
+
+def two_sided(z: str) -> str:
+    """P(|N(0,1)| >= |z|): one minus the error function, whose series has positive terms only."""
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    term = f"exp((2 * i + 1) * ln({x}) + 2 * i * ln(2.0::DOUBLE) + lgamma(i + 1.0::DOUBLE) - lgamma(2.0::DOUBLE * i + 2))"
+    return (f"CASE WHEN {z} IS NULL THEN NULL WHEN {z} = 0 THEN 1.0::DOUBLE WHEN abs({z}) > 8 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, "
+            f"1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * list_sum(list_transform(range(0, 200), lambda i: {term}))) END")
+
+
+def text4(p: str) -> str:
+    return f"CAST(CAST(round({p}, 4) AS DECIMAL(20,4)) AS VARCHAR)"
+
+
+NULLS = "CAST(NULL AS VARCHAR)"
+DM_TESTS = DM + f""",
+dmz AS (SELECT *, CASE WHEN n < 3 THEN NULL WHEN v > 0 THEN m / sqrt(v) ELSE 0.0::DOUBLE END AS z FROM dm),
+dmp AS (SELECT *, CASE WHEN z IS NULL THEN NULL WHEN v <= 0 THEN 1.0::DOUBLE ELSE {two_sided('z')} END AS p FROM dmz),
+dm_prueba AS (SELECT serie, 'diebold_mariano' AS prueba, modelo AS modelo_a, ganador AS modelo_b, n, round(z, 4) AS estadistico, round(p, 4) AS p_valor,
+   CAST(NULL AS DOUBLE) AS p_valor_ajustado, coalesce(p < 0.05, false) AS significativo, z IS NOT NULL AS aplicable,
+   CASE WHEN z IS NULL THEN 'Muestra insuficiente para la prueba DM (mín. 3 obs.)'
+        WHEN v <= 0 THEN 'Varianza nula — ambos modelos producen errores idénticos'
+        WHEN p < 0.05 THEN 'Diferencia significativa al 5 % — ' || CASE WHEN z > 0 THEN ganador ELSE modelo END || ' presenta mayor precisión predictiva'
+        ELSE 'Sin diferencia estadísticamente significativa entre ' || modelo || ' y ' || ganador || ' (p = ' || {text4('p')} || ')' END AS interpretacion FROM dmp)"""
+# The counts of subset sums of 1..n give the exact distribution of the signed-rank sum.
+WIL_TESTS = f""",
+modos AS (SELECT * FROM (WITH RECURSIVE m(k, ways) AS (SELECT 0, [1.0::DOUBLE] UNION ALL
+   SELECT k + 1, list_transform(range(1, (k + 1) * (k + 2) // 2 + 2), lambda i: CASE WHEN i <= len(ways) THEN ways[i] ELSE 0 END
+      + CASE WHEN i > k + 1 THEN ways[i - k - 1] ELSE 0 END) FROM m WHERE k < 50) SELECT k, ways FROM m)),
+wz AS (SELECT serie, modelo, ganador, n, ceros, n - ceros AS c, coalesce(empates, 0) AS empates,
+   CASE WHEN n < 5 THEN NULL ELSE coalesce(least(mas, menos), 0.0::DOUBLE) END AS w FROM wn LEFT JOIN ws USING (serie, modelo)),
+wy AS (SELECT *, (w - c * (c + 1) / 4.0::DOUBLE) / nullif(sqrt((c * (c + 1) * (2 * c + 1) - empates / 2.0::DOUBLE) / 24), 0) AS z FROM wz),
+wp AS (SELECT wy.*, round(CASE WHEN w IS NULL THEN NULL WHEN c = 0 THEN 1.0::DOUBLE
+   WHEN c <= 50 AND empates = 0 AND ceros = 0 THEN least(1.0::DOUBLE, 2 * list_sum(ways[1:CAST(floor(w) AS BIGINT) + 1]) / list_sum(ways))
+   ELSE {two_sided('z')} END, 4) AS p FROM wy LEFT JOIN modos ON k = c),
+wh AS (SELECT *, round(max(s) OVER (PARTITION BY serie ORDER BY p, modelo ROWS UNBOUNDED PRECEDING), 4) AS pa FROM
+   (SELECT *, least(1.0::DOUBLE, (count(*) OVER (PARTITION BY serie) - row_number() OVER (PARTITION BY serie ORDER BY p, modelo) + 1) * p) AS s FROM wp WHERE p IS NOT NULL)),
+wt AS (SELECT wp.*, pa, '(p original = ' || {text4('wp.p')} || ', p ajustado = ' || {text4('pa')} AS detalle_p FROM wp LEFT JOIN wh USING (serie, modelo)),
+wil_prueba AS (SELECT serie, 'wilcoxon' AS prueba, ganador AS modelo_a, modelo AS modelo_b, n, round(w, 4) AS estadistico, p AS p_valor, pa AS p_valor_ajustado,
+   coalesce(pa <= 0.05, false) AS significativo, w IS NOT NULL AS aplicable,
+   CASE WHEN w IS NULL THEN 'Muestra insuficiente (' || n || ' obs.) para Wilcoxon (mín. 5).' WHEN ceros = n THEN 'Errores idénticos entre ambos modelos en todas las observaciones.'
+        WHEN pa <= 0.05 THEN 'Diferencia significativa tras corrección Holm-Bonferroni ' || detalle_p || ' < 0.05).'
+        ELSE 'Sin diferencia significativa tras corrección Holm-Bonferroni ' || detalle_p || ' >= 0.05).' END AS interpretacion FROM wt)"""
+FR_TESTS = "," + friedman("err", "serie") + f""",
+fr_prueba AS (SELECT serie, 'friedman' AS prueba, {NULLS} AS modelo_a, {NULLS} AS modelo_b, n, round(chi2, 4) AS estadistico, round(p, 4) AS p_valor,
+   CAST(NULL AS DOUBLE) AS p_valor_ajustado, coalesce(p < 0.05, false) AS significativo, chi2 IS NOT NULL AS aplicable,
+   CASE WHEN chi2 IS NULL THEN 'Muestra insuficiente o menos de tres modelos para Friedman.'
+        WHEN p < 0.05 THEN 'Diferencia estadísticamente significativa entre los ' || k || ' modelos (p = ' || {text4('p')} || ' < 0.05).'
+        ELSE 'Sin diferencia estadísticamente significativa entre los ' || k || ' modelos (p = ' || {text4('p')} || ' >= 0.05).' END AS interpretacion FROM chip)"""
 METRICS = ["mae", "rmse", "mape", "smape", "u_theil", "r2"]
 ACROSS = ", ".join(f"{rnd(f'avg({m})')} AS {m}_promedio, {rnd(f'stddev_samp({m})')} AS {m}_desviacion, min({m}) AS {m}_minimo, max({m}) AS {m}_maximo"
                    for m in METRICS)
@@ -102,6 +151,10 @@ FROM folds JOIN lineas ON categoria = serie AND fecha BETWEEN fecha_inicio_train
                         BEST + "," + friedman("err", "serie")),
     "w14_wilcoxon_statistic": sql("""SELECT serie, modelo, ganador, n, ceros, coalesce(empates, 0) AS empates, coalesce(least(mas, menos), 0) AS w
 FROM wn LEFT JOIN ws USING (serie, modelo)""", WIL),
+    "e07_diebold_mariano": sql("SELECT * FROM dm_prueba", DM_TESTS),
+    "e09_wilcoxon": sql("SELECT * FROM wil_prueba", WIL + WIL_TESTS),
+    "u04_all_tests": sql("SELECT * FROM fr_prueba UNION ALL SELECT * FROM wil_prueba UNION ALL SELECT * FROM dm_prueba",
+                         DM_TESTS + FR_TESTS + WIL.removeprefix(BEST) + WIL_TESTS),
     "e10_holm": sql("""SELECT serie, fold, p_valor, round(max(s) OVER (PARTITION BY serie ORDER BY p_valor, fold ROWS UNBOUNDED PRECEDING), 4) AS p_valor_ajustado FROM esc""", FHOLM),
     "e11_winner_text": sql("""SELECT serie, 'El modelo ' || modelo || ' fue seleccionado automáticamente por presentar el menor error absoluto medio (MAE = ' ||
 CAST(CAST(mae AS DECIMAL(20,4)) AS VARCHAR) || ').' AS texto FROM rank WHERE posicion = 1""", BEST),

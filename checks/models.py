@@ -55,7 +55,15 @@ menu AS (SELECT id_restaurante, id_plato, precio_venta, costo_estimado, row_numb
    count(*) OVER (PARTITION BY id_restaurante) AS platos FROM platos),
 cuantos AS (SELECT id_restaurante, max(platos) AS platos FROM menu GROUP BY 1)"""
 
+SAVED = CONT + """,
+firma AS (SELECT serie, count(*) AS n_registros, substr(sha256(count(*) || '|' || min(fecha) || '|' || max(fecha) || '|' ||
+   CAST(CAST(sum(cantidad) AS DECIMAL(20,2)) AS VARCHAR)), 1, 16) AS hash_datos FROM cont GROUP BY 1)"""
+FOLD_TO = "aeiounuAEIOUNUo--\"\"" + "''''"  # the last two are quotes, doubled as SQL wants them
+
 ORACLES = {
+    "s10_saved_models": sql("""SELECT serie, modelo, hash_datos, n_registros
+FROM firma, (SELECT unnest(['arima', 'tendencia', 'holt_winters']) AS modelo)""", SAVED),
+    "f07_wide_fold": f"SELECT doc_id, translate(text, 'áéíóúñüÁÉÍÓÚÑÜ°–—“”‘’', '{FOLD_TO}') AS texto FROM documents",
     "s01_scan": sql("SELECT id_venta, fecha, CAST(total AS DOUBLE) AS total, metodo_pago, id_cliente FROM ventas"),
     "s01_stored_scan": sql("SELECT id_venta, fecha, CAST(total AS DOUBLE) AS total, metodo_pago, id_cliente FROM ventas"),
     "s04_evolved": sql("""SELECT id_venta, fecha, CAST(total AS DOUBLE) AS total, NULL AS metodo_pago, CAST(NULL AS BIGINT) AS id_restaurante FROM ventas

@@ -148,3 +148,25 @@ FROM (SELECT *, CAST(n - (k - fold + 1) * n_val AS INTEGER) AS n_train FROM
   (SELECT serie, count(*) AS n, min(fecha) AS ini, CAST(least(5, count(*) - 1) AS INTEGER) AS k FROM cont GROUP BY serie) WHERE k >= 2))""", CONT),
     "w09_last_week_mean": sql("SELECT serie, round(ventas_7d, 4) AS ventas_7d, fin FROM ult", FUT),
 }
+
+
+def _tall(part: str, query: str, serie: str, keys: list[str], numbers: list[str], texts: list[str]) -> str:
+    """The long form of one part, from the twin of its own query."""
+    key = f"concat_ws('|', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)})" if keys else "''"
+    rows = [f"('{n}', CAST({n} AS DOUBLE), CAST(NULL AS VARCHAR))" for n in numbers] + [f"('{t}', CAST(NULL AS DOUBLE), CAST({t} AS VARCHAR))" for t in texts]
+    return (f"SELECT {serie} AS serie, '{part}' AS parte, {key} AS clave, medida, valor, texto FROM ({ORACLES[query]}) AS p, "
+            f"LATERAL (VALUES {', '.join(rows)}) AS m(medida, valor, texto)")
+
+
+_statistics = ["media", "mediana", "desviacion_estandar", "minimo", "maximo", "q1", "q3", "rango_intercuartilico"]
+ORACLES["c08_eda_complete"] = " UNION ALL ".join([
+    _tall("cobertura", "a31_coverage", "serie", [], ["registros_transacciones", "dias_con_venta", "dias_cubiertos"], ["fecha_inicio", "fecha_fin"]),
+    _tall("nulos", "a24_null_counts_lines", "categoria", ["columna"], ["nulos"], []),
+    _tall("duplicados", "a25_duplicates", "categoria", [], ["duplicados", "filas"], []),
+    _tall("descriptivas", "a23_descriptive", "serie", [], _statistics, []),
+    _tall("atipicos", "c09_outliers", "serie", [], ["cantidad", "limite_inferior", "limite_superior"], ["fechas"]),
+    _tall("dia_semana", "a27_by_weekday", "serie", ["dia_semana"], ["demanda_promedio", "demanda_total", "n"], []),
+    _tall("mes", "a28_by_month", "serie", ["mes"], ["demanda_promedio", "demanda_total", "n"], []),
+    _tall("histograma", "a26_histogram", "serie", ["bin"], ["rango_inicio", "rango_fin", "frecuencia"], []),
+    _tall("correlaciones", "a29_correlations", "serie", ["variable_a", "variable_b"], ["correlacion"], []),
+    _tall("codigos", "a30_code_counts", "serie", ["variable", "codigo"], ["n"], [])])

@@ -253,6 +253,7 @@ def test_random_search_on_time_folds(make_series):
     space = {"n_estimators": [2, 3], "max_depth": [2]}
     out = experiment.tune_on_folds(make_series(a=WEEKLY, b=WEEKLY + 4), "atencion_random_forest", n=2, k=2, space=space).collect()
     assert len({r["hiperparametros"] for r in out}) == 2 and all(r["mae"] > 0 for r in out)
+    assert [r["mae"] for r in out if r["mejor"]] == [min(r["mae"] for r in out)]
 
 
 def test_smoothing_without_a_season_has_none(make_series):
@@ -290,3 +291,54 @@ def test_series_code_reaches_the_pooled_trees(make_series):
     rows = trees.attended(train, heads, KEY).collect()
     codes = {(r["serie"], r["features"][len(r["features"]) - 1]) for r in rows}
     assert len(codes) == 2 and len({c for _, c in codes}) == 2
+
+
+def test_short_histories_are_fitted(make_series):
+    """Folds of a month leave few days; every model but the shortest ARIMA still forecasts."""
+    for n in (8, 10, 15, 25):
+        short = make_series(a=WEEKLY[:n])
+        for model in (arima, trend):
+            out = [r["yhat"] for r in model.fit_predict(short, heads(short, 3), KEY).orderBy("paso").collect()]
+            assert len(out) == 3 and all(v is not None and 0 <= v < 100 for v in out), (n, model.__name__, out)
+    alone = make_series(a=[4.0])
+    assert [r["yhat"] for r in arima.fit_predict(alone, heads(alone, 2), KEY).collect()] == [None, None]
+
+
+def test_long_histories_keep_the_full_first_step(spark, make_series):
+    """From 44 days on, the residuals are those of a plain autoregression of order ten."""
+    y = np.concatenate([WEEKLY, WEEKLY[::-1]])
+    rows = arima.innovations(make_series(a=y), KEY, spark.createDataFrame([("a", 0)], "serie string, d int")).orderBy("fecha").collect()
+    x = np.array([[1.0, *y[i - 10:i][::-1]] for i in range(10, len(y))])
+    beta = np.linalg.lstsq(x, y[10:], rcond=None)[0]
+    assert [r["e"] for r in rows[10:]] == pytest.approx((y[10:] - x @ beta).tolist(), abs=1e-6)
+    assert all(r["e"] is None for r in rows[:10])
+
+
+def test_saved_winners_forecast_like_fresh_ones(spark, make_series, tmp_path):
+    rows = make_series(a=WEEKLY, b=WEEKLY + 2, c=WEEKLY * 2)
+    best = spark.createDataFrame([("a", "holt_winters"), ("b", "atencion_gradient_boosting"), ("c", "atencion_gradient_boosting")], "serie string, modelo string")
+    scores = best.withColumns({"mae": F.lit(1.0), "rmse": F.lit(1.0), "r2": F.lit(0.5)})
+    experiment.retrain(rows, best, str(tmp_path), "r1", 3)
+    saved = {(r["serie"], r["modelo"], r["fecha"]): r["yhat"] for r in experiment.saved_future(rows, str(tmp_path), 3).collect()}
+    fresh = experiment.future(rows, scores, 3).collect()
+    assert {(r["serie"], r["modelo"], r["fecha"]) for r in fresh} == set(saved) and len(saved) == 9
+    for r in fresh:
+        assert r["demanda_estimada"] == pytest.approx(saved[r["serie"], r["modelo"], r["fecha"]], abs=0.006)
+    # a later run of another type takes a series over
+    experiment.retrain(rows, best.filter("serie = 'b'").withColumn("modelo", F.lit("tendencia")), str(tmp_path), "r2", 3)
+    now = {r["serie"]: r["modelo"] for r in experiment.saved_future(rows, str(tmp_path), 3).select("serie", "modelo").distinct().collect()}
+    assert now == {"a": "holt_winters", "b": "tendencia", "c": "atencion_gradient_boosting"}
+    with pytest.raises(ValueError):
+        runs.saved_tree_forecast(spark, str(tmp_path), "../otro", rows)
+
+
+def test_experiment_tunes_every_kind_of_model(make_series):
+    space = {"atencion_random_forest": {"n_estimators": [2, 3], "max_depth": [2]}}
+    models = {m: experiment.ALL_MODELS[m] for m in ("holt_winters", "atencion_random_forest")}
+    small = {**models, "atencion_random_forest": experiment._configured("atencion_random_forest", {"n_estimators": 2, "max_depth": 2})}
+    out = experiment.run(make_series(a=WEEKLY, b=WEEKLY + 4), small, 3, 2, tuning=2, spaces=space)
+    found = out["busqueda"].collect()
+    assert {(r["serie"], r["modelo"]) for r in found if r["mejor"]} == {
+        ("a", "holt_winters"), ("b", "holt_winters"), (None, "atencion_random_forest")}
+    folds = out["folds"].collect()
+    assert {(r["modelo"], r["fold"]) for r in folds} == {(m, f) for m in models for f in (1, 2)} and len(folds) == 8

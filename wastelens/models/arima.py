@@ -40,14 +40,21 @@ def stationarity(train: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def innovations(train: DataFrame, keys: list[str], order: DataFrame) -> DataFrame:
-    """The differenced series ``w`` with its long-autoregression residuals ``e``."""
+    """The differenced series ``w`` with its long-autoregression residuals ``e``.
+
+    The long order is a quarter of the history, ``LONG_AR`` at most, so that folds of a few days are fitted too.
+    Lags beyond it are zero and not solved for.
+    """
     y, y1, y2 = F.col("cantidad"), F.lag("cantidad", 1).over(_by(keys)), F.lag("cantidad", 2).over(_by(keys))
     diff = F.when(F.col("d") == 0, y).when(F.col("d") == 1, y - y1).otherwise(y - 2 * y1 + y2)
     w = train.join(order.select(*keys, "d"), keys).withColumns({"w": diff, "dy": y - y1})
-    w = w.withColumn("x", F.array(F.lit(1.0), *_lags("w", keys, LONG_AR)))
+    size = F.count("*").over(W.partitionBy(*keys)) - F.col("d")
+    w = w.withColumn("largo", F.least(F.lit(LONG_AR), F.greatest(F.lit(1), F.floor(size / 4))).cast("int"))
+    used = [F.when(F.col("largo") >= k, lag).otherwise(0.0) for k, lag in enumerate(_lags("w", keys, LONG_AR), 1)]
+    w = w.withColumn("x", F.array(F.lit(1.0), *used))
     design = [F.get("x", F.lit(i)) for i in range(LONG_AR + 1)] + [F.col("w")]
-    width = LONG_AR + 1
-    coef = gram_sums(w, keys, design).withColumn("fit", solve("gram", int_array(range(width)), double_array([0.0] * width)))
+    solved = solve("gram", F.sequence(F.lit(0), F.col("largo")), double_array([0.0] * (LONG_AR + 1)))
+    coef = gram_sums(w, [*keys, "largo"], design).withColumn("fit", solved)
     return w.join(coef.select(*keys, F.col("fit.coef").alias("c")), keys, "left").withColumn(
         "e", F.col("w") - dot(F.col("c"), F.col("x"))).select(*keys, "fecha", "cantidad", "d", "dy", "w", "e")
 

@@ -29,6 +29,7 @@ def gram_sums(rows: DataFrame, keys: list[str], design: list[Column]) -> DataFra
     return z.groupBy(*keys).agg(Summarizer.sum(F.col("v")).alias("s")).select(*keys, vector_to_array("s").alias("gram"))
 
 
+FREE_BELOW = 1e-6  # smaller penalties only keep a system solvable
 _FIT = T.StructType([
     T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("t", T.ArrayType(T.DoubleType())),
     T.StructField("sse", T.DoubleType()), T.StructField("n", T.DoubleType())])
@@ -42,9 +43,11 @@ def _solve_one(gram, take, ridge):
     full = full + np.triu(full, 1).T
     take = np.asarray(take, dtype=int)
     n, target = full[0, 0], size - 1
-    if n <= len(take):
+    penalty = np.asarray(ridge, dtype=float)[take]
+    free = int((penalty < FREE_BELOW).sum())  # a penalised column needs no row of its own
+    if n <= free or n == 0:
         return None, None, None, n
-    xx = full[np.ix_(take, take)] + np.diag(np.asarray(ridge, dtype=float)[take])
+    xx = full[np.ix_(take, take)] + np.diag(penalty)
     xy = full[take, target]
     if not np.isfinite(xx).all():
         return None, None, None, n
@@ -52,7 +55,7 @@ def _solve_one(gram, take, ridge):
     inverse = np.linalg.pinv(xx, rcond=1e-12, hermitian=True)
     beta = inverse @ xy
     sse = float(full[target, target] - 2 * beta @ xy + beta @ full[np.ix_(take, take)] @ beta)
-    spread = np.sqrt(np.maximum(max(sse, 0.0) / (n - len(take)) * np.diag(inverse), 0))
+    spread = np.sqrt(np.maximum(max(sse, 0.0) / max(n - len(take), 1) * np.diag(inverse), 0))
     coef, t = np.zeros(size - 1), np.zeros(size - 1)
     coef[take] = beta
     t[take] = np.divide(beta, spread, out=np.zeros_like(beta), where=spread > 0)

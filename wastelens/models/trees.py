@@ -117,6 +117,17 @@ def fit_predict(train: DataFrame, heads: DataFrame, keys: list[str], kind: str =
     return _steps(model.transform(rows.filter("futuro")), keys, F.col("prediction"))
 
 
+def fit(train: DataFrame, heads: DataFrame, keys: list[str], kind: str = "random_forest", partitions: int = PARTITIONS, **hp):
+    """The pooled model alone, to be stored; ``predict`` with the same history and horizons gives what ``fit_predict`` gives."""
+    rows = _training_set(attended(train, heads, keys), keys, partitions)
+    return regressor(kind, **hp).fit(rows.filter(~F.col("futuro") & F.col("label").isNotNull()))
+
+
+def predict(model, train: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
+    """Forecast of a fitted model for the days after each history; nothing is refitted."""
+    return _steps(model.transform(attended(train, heads, keys).filter("futuro")), keys, F.col("prediction"))
+
+
 STACK = {"rf": ("random_forest", {"n_estimators": 150, "max_depth": 10}),
          "gbr": ("gradient_boosting", {"n_estimators": 100, "learning_rate": 0.08, "max_depth": 4}),
          "lr": ("regresion_lineal", {}), "dt": ("decision_tree", {"max_depth": 7})}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wastelens.functions.scalar import weekday_name
+from wastelens.operators import cleaning
 
 CORRELATED = ["cantidad", "precio", "dia_semana", "mes", "es_finde", "clima", "evento", "ventas_7d"]
 
@@ -147,3 +150,29 @@ def bundle(lines: DataFrame, series: DataFrame, by: str) -> DataFrame:
     """Coverage, descriptive statistics and outliers of every series in one row."""
     out = outliers(series).withColumnRenamed("cantidad", "outliers").drop("fechas")
     return coverage(lines, by).join(descriptive(series), "serie").join(out, "serie")
+
+
+def tall(frame: DataFrame, part: str, keys: list[str]) -> DataFrame:
+    """One row per measure: serie, parte, clave, medida, valor (numbers) or texto (anything else)."""
+    kinds = {f.name: f.dataType for f in frame.schema.fields}
+    measures = []
+    for name in [c for c in frame.columns if c not in ("serie", *keys)]:
+        numeric = isinstance(kinds[name], T.NumericType)
+        value = F.col(name).cast("double") if numeric else F.lit(None).cast("double")
+        text = F.lit(None).cast("string") if numeric else F.col(name).cast("string")
+        measures.append(F.struct(F.lit(name).alias("medida"), value.alias("valor"), text.alias("texto")))
+    key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    return frame.select("serie", F.lit(part).alias("parte"), key.alias("clave"), F.explode(F.array(*measures)).alias("m")).select(
+        "serie", "parte", "clave", "m.*")
+
+
+def complete_bundle(lines: DataFrame, series: DataFrame, features: DataFrame, by: str) -> DataFrame:
+    """All parts of the exploration as one long table: coverage, quality, statistics, outliers with their dates, weekdays,
+    months, histogram, correlations, weather and event codes."""
+    parts = [
+        ("cobertura", coverage(lines, by), []), ("nulos", cleaning.null_counts(lines, [by]).withColumnRenamed(by, "serie"), ["columna"]),
+        ("duplicados", cleaning.duplicate_count(lines, [by]).withColumnRenamed(by, "serie"), []),
+        ("descriptivas", descriptive(series), []), ("atipicos", outliers(series), []), ("dia_semana", by_weekday(series), ["dia_semana"]),
+        ("mes", by_month(series), ["mes"]), ("histograma", histogram(series), ["bin"]),
+        ("correlaciones", correlations(features, by), ["variable_a", "variable_b"]), ("codigos", code_counts(features, by), ["variable", "codigo"])]
+    return reduce(DataFrame.unionByName, [tall(frame, name, keys) for name, frame, keys in parts])

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -19,6 +19,7 @@ from wastelens.functions.constants import SEARCH_SPACES
 from wastelens.models import arima, holt_winters, trees, trend
 from wastelens.operators import metrics, plan, series as S, tests_stat
 from wastelens.session import cut_lineage
+from wastelens.sources import runs
 
 FitPredict = Callable[[DataFrame, DataFrame, list[str]], DataFrame]
 
@@ -194,14 +195,19 @@ def tune(series: DataFrame, model: str, n: int = 4, seed: int = 42, space: dict[
 
 
 def tune_on_folds(series: DataFrame, model: str, n: int = 4, k: int = 5, seed: int = 42, space: dict[str, list] | None = None) -> DataFrame:
-    """Random search scored by the mean MAE over the time folds, for the pooled regressors."""
+    """Random search scored by the mean error over the time folds, for the pooled regressors.
+
+    One row per candidate; ``mejor`` marks the smallest MAE, at ties the first text. No candidate is best where none has a score.
+    """
     combos = sample_space(series.sparkSession, space or SEARCH_SPACES[model], n, seed)
     out = None
     for combo in combos:
         cv = walk_forward(series, {model: _configured(model, combo)}, k)
-        row = cv.agg(F.avg("mae").alias("mae")).select(F.lit(json.dumps(combo, sort_keys=True)).alias("hiperparametros"), "mae")
+        row = cv.agg(F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.max("error").alias("error")).select(
+            F.lit(model).alias("modelo"), F.lit(json.dumps(combo, sort_keys=True)).alias("hiperparametros"), "mae", "rmse", "error")
         out = row if out is None else out.unionByName(row)
-    return out
+    place = F.row_number().over(W.orderBy(F.col("mae").asc_nulls_last(), "hiperparametros"))  # one row per candidate
+    return cut_lineage(out.withColumn("mejor", (place == 1) & F.col("mae").isNotNull()), "busqueda")
 
 
 def tuned_walk_forward(series: DataFrame, model: str, tuned: DataFrame, k: int = 5) -> DataFrame:
@@ -217,8 +223,10 @@ def tuned_walk_forward(series: DataFrame, model: str, tuned: DataFrame, k: int =
 
 
 def run(series: DataFrame, models: dict[str, FitPredict] | None = None, horizon: int = 7, k: int = 5,
-        tuning: int = 0) -> dict[str, DataFrame]:
-    """The whole experiment. ``tuning`` candidates per statistical model (0: none)."""
+        tuning: int = 0, spaces: dict[str, dict[str, list]] | None = None) -> dict[str, DataFrame]:
+    """The whole experiment. ``tuning`` candidates per model (0: none): statistical models on the tuning split of each
+    series, pooled regressors on the time folds; ``busqueda`` then lists them, and the folds are scored with the best.
+    ``spaces`` replaces the search spaces of pooled regressors."""
     series = cut_lineage(series, "series")
     models = models or ALL_MODELS
     compared = compare(series, models)
@@ -232,14 +240,53 @@ def run(series: DataFrame, models: dict[str, FitPredict] | None = None, horizon:
     if not tuning:
         result["folds"] = walk_forward(series, models, k)
         return result
-    searches, folds = None, None
-    for model in [m for m in models if m in STATISTICAL]:
-        found = cut_lineage(tune(series, model, tuning), "busqueda")
-        cv = tuned_walk_forward(series, model, found, k)
-        searches = found if searches is None else searches.unionByName(found)
-        folds = cv if folds is None else folds.unionByName(cv)
-    rest = {m: f for m, f in models.items() if m not in STATISTICAL}
-    if rest:
-        cv = walk_forward(series, rest, k)
-        folds = cv if folds is None else folds.unionByName(cv)
-    return {**result, "busqueda": searches, "folds": folds}
+    searches, folds = [], []
+    for model in models:
+        if model in STATISTICAL:  # every series has its own best candidate
+            found = cut_lineage(tune(series, model, tuning), "busqueda")
+            cv = tuned_walk_forward(series, model, found, k)
+        elif model in TREES:  # one candidate for the pool, searched on the folds
+            found = tune_on_folds(series, model, tuning, k, space=(spaces or {}).get(model))
+            best_text = found.filter("mejor").select("hiperparametros").collect()
+            tuned = _configured(model, json.loads(best_text[0][0])) if best_text else models[model]
+            cv = walk_forward(series, {model: tuned}, k)
+            found = found.withColumn("serie", F.lit(None).cast("string"))
+        else:
+            found, cv = None, walk_forward(series, {model: models[model]}, k)
+        searches += [found] if found is not None else []
+        folds += [cv] if cv is not None else []
+    result["folds"] = reduce(DataFrame.unionByName, folds)
+    if searches:
+        result["busqueda"] = reduce(DataFrame.unionByName, searches)
+    return result
+
+
+# ---- saved winners ----
+def retrain(series: DataFrame, best: DataFrame, root: str, run_id: str, horizon: int = 7) -> None:
+    """Refit the winner of every series on all of its history and store it under ``run_id`` with the signature of its data."""
+    for name in ALL_MODELS:
+        own = series.join(best.filter(F.col("modelo") == name).select("serie"), "serie", "left_semi").select("serie", "fecha", "cantidad")
+        if own.isEmpty():
+            continue
+        marks = S.signature(own, ["serie"])
+        if name in STATISTICAL:
+            runs.save_parameters(root, run_id, name, runs.PARAMETRIC[name].fit(own, ["serie"]), marks)
+            continue
+        heads = own.select("serie").distinct().withColumn("h", F.lit(horizon))
+        kind = name.removeprefix("atencion_")
+        runs.save_pooled(trees.fit(own, heads, ["serie"], kind), root, run_id, name, marks)
+
+
+def saved_future(series: DataFrame, root: str, horizon: int = 7) -> DataFrame:
+    """Forecast of every series by its active saved model, the one stored last of whatever type; nothing is refitted."""
+    spark = series.sparkSession
+    saved = cut_lineage(runs.list_saved(spark, root), "guardados")
+    active = runs.active_models(saved.withColumnRenamed("guardado", "fecha")).filter("activo").select("serie", "modelo")
+    out = None
+    for name in [r[0] for r in saved.select("modelo").distinct().collect()]:  # at most one per model type
+        rows = (runs.saved_forecast(spark, root, name, horizon) if name in STATISTICAL
+                else runs.saved_tree_forecast(spark, root, name, series, horizon))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        return spark.createDataFrame([], "serie string, modelo string, fecha date, yhat double")
+    return out.join(active, ["serie", "modelo"], "left_semi")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wastelens import schemas
-from wastelens.functions.scalar import steady_round
+from wastelens.functions.scalar import fold_latin, steady_round
 from wastelens.models import arima, attention, holt_winters, trees, trend
 from wastelens.models.gram import double_array, gram_sums, int_array, solve
 from wastelens.operators import bi, listing, metrics, naive, plan, series
@@ -226,6 +226,28 @@ def saved_parameters_forecast(wh) -> DataFrame:
     return runs.saved_forecast(wh.spark, root, "holt_winters").withColumn("yhat", F.round("yhat", 4))
 
 
+def retrained_forecast(wh) -> DataFrame:
+    """Compare all models, refit each winner on all history, store it, and forecast from what was stored."""
+    root, rows = shared_dir(wh.spark, "ganadores"), daily_table(wh)
+    experiment.retrain(rows, experiment.compare(rows).best, root, "r1")
+    return experiment.saved_future(rows, root).withColumn("yhat", F.round("yhat", 4))
+
+
+def saved_models(wh) -> DataFrame:
+    """Every closed-form model of every series stored, then listed with the signature of its data."""
+    root, rows = shared_dir(wh.spark, "modelos"), daily_table(wh)
+    marks = series.signature(rows, KEY)
+    for name, model in runs.PARAMETRIC.items():
+        runs.save_parameters(root, "r1", name, model.fit(rows, KEY), marks)
+    return runs.list_saved(wh.spark, root).drop("guardado")
+
+
+def wide_fold(wh) -> DataFrame:
+    """Texts with their letters folded for plain exports."""
+    docs = wh.spark.read.parquet(f"{wh.root}/documents.parquet")
+    return docs.select("doc_id", fold_latin(F.col("text")).alias("texto"))
+
+
 def stale_models(wh) -> DataFrame:
     """Signatures of the series one week ago against the signatures now."""
     rows = daily_table(wh)
@@ -300,6 +322,7 @@ MODELS: dict[str, Callable[..., DataFrame]] = {
     "s07_run_folds": run_folds,
     "s08_active_models": model_log,
     "s09_saved_parameters": saved_parameters_forecast,
+    "s10_saved_models": saved_models,
     "s11_json_properties": json_properties,
     "s12_generated_tickets": generated_tickets,
     "s12_generated_lines": generated_lines,
@@ -331,6 +354,8 @@ MODELS: dict[str, Callable[..., DataFrame]] = {
     "m16_tuned_smoothing": tuned_smoothing,
     "m18_walk_forward": folds,
     "m19_experiment_tests": experiment_tests,
+    "m20_retrained_forecast": retrained_forecast,
+    "f07_wide_fold": wide_fold,
     "x01_stream_daily": _drained(jobs.daily_totals, "diario"),
     "x02_stream_weekly": _drained(jobs.weekly_totals, "semanal"),
     "x03_stream_cooldown": lambda wh: _drained(jobs.cooled_alerts, "pausa")(wh).select("event_type", "user_id", "ts"),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wastelens.models import arima, holt_winters, trend
+from wastelens.models import arima, holt_winters, trees, trend
 from wastelens.operators.series import signature
 
 RUN_TABLES = ("ejecuciones", "resultados_modelo", "resultados_fold", "resultados_prueba")
@@ -101,9 +101,7 @@ def load_parameters(spark: SparkSession, root: str, model: str) -> DataFrame:
     """The active (latest) parameter row of every series."""
     if model not in PARAMETRIC:
         raise ValueError(f"unknown model type {model!r}")
-    rows = spark.read.parquet(f"{root}/parametros/{model}")
-    latest = W.partitionBy("serie").orderBy(F.desc("guardado"), F.desc("run_id"))
-    return rows.withColumn("r", F.row_number().over(latest)).filter("r = 1").drop("r")
+    return _active(spark.read.parquet(f"{root}/parametros/{model}"))
 
 
 def saved_forecast(spark: SparkSession, root: str, model: str, horizon: int = 7) -> DataFrame:
@@ -129,12 +127,42 @@ def load_tree(root: str, name: str):
     return TREE_MODELS[name].load(f"{root}/arboles/{name}")
 
 
+def save_pooled(model, root: str, run_id: str, name: str, metadata: DataFrame) -> None:
+    """A pooled model of one run, beside the signature of every series that it was fitted on."""
+    save_tree(model, f"{root}/ajustes/{run_id}", name)
+    metadata.withColumns({"run_id": F.lit(run_id), "guardado": F.current_timestamp()}).write.mode("append").parquet(f"{root}/agrupados/{name}")
+
+
+def _active(rows: DataFrame) -> DataFrame:
+    latest = W.partitionBy("serie").orderBy(F.desc("guardado"), F.desc("run_id"))
+    return rows.withColumn("r", F.row_number().over(latest)).filter("r = 1").drop("r")
+
+
+def saved_tree_forecast(spark: SparkSession, root: str, name: str, rows: DataFrame, horizon: int = 7) -> DataFrame:
+    """Forecast of every series by the pooled model of the latest run that holds it; ``rows`` is the history its features need.
+
+    The driver steps over the stored runs that are still active, not over series.
+    """
+    if name not in TREE_MODELS:
+        raise ValueError(f"unknown model type {name!r}")
+    active = _active(spark.read.parquet(f"{root}/agrupados/{name}"))
+    out = None
+    for run_id in [r[0] for r in active.select("run_id").distinct().orderBy("run_id").collect()]:
+        own = rows.join(active.filter(F.col("run_id") == run_id).select("serie"), "serie", "left_semi").select("serie", "fecha", "cantidad")
+        heads = own.groupBy("serie").agg(F.max("fecha").alias("fin")).withColumn("h", F.lit(horizon))
+        part = trees.predict(load_tree(f"{root}/ajustes/{run_id}", name), own, heads, ["serie"]).join(heads.select("serie", "fin"), "serie")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "serie string, modelo string, fecha date, yhat double")
+    return out.select("serie", F.lit(name).alias("modelo"), F.date_add("fin", F.col("paso").cast("int")).alias("fecha"), "yhat")
+
+
 def list_saved(spark: SparkSession, root: str) -> DataFrame:
-    """Saved series per closed-form model type; types never saved are left out."""
+    """Saved series per model type, closed-form and pooled; types never saved are left out."""
     out = None
-    for model in PARAMETRIC:
+    for model in [*PARAMETRIC, *TREE_MODELS]:
         try:
-            rows = load_parameters(spark, root, model)
+            rows = load_parameters(spark, root, model) if model in PARAMETRIC else _active(spark.read.parquet(f"{root}/agrupados/{model}"))
         except AnalysisException as exc:
             if exc.getCondition() != "PATH_NOT_FOUND":
                 raise
