@@ -10,6 +10,7 @@ from wastelens.session import cut_lineage
 BLANKS = r"\x20\x09-\x0D"  # fixed by the contracts: the characters between words
 WORD = rf"[^{BLANKS}]+"
 BUCKETS = 4096
+HOT_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,25 @@ def running_before(rows: DataFrame, group: str, bucket: str, order: list[str], v
     return out_rows.drop("_g", "_b", "_offset", "_total")
 
 
+def skew_join(many: DataFrame, few: DataFrame, keys: list[str], weight: str, total: int | None = None,
+              wanted: Column | None = None) -> DataFrame:
+    """Inner join of ``many`` with ``few`` on keys that are unique in ``few`` and never null; ``weight`` is the number of rows a key has in ``many``.
+
+    Keys that hold at least 1 / ``HOT_KEYS`` of all rows are broadcast: their weights add up to at most the total, so there
+    are at most ``HOT_KEYS`` of them. Their rows never meet in one task, and no key of the shuffled rest is hot.
+    ``wanted`` may thin out the rest; hot keys are matched whether wanted or not, as their rows must not be shuffled.
+    Both sides are read twice, so hand in written tables.
+    """
+    if total is None:
+        total = few.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) * HOT_KEYS >= total
+    hot, rest = few.filter(is_hot), few.filter(~is_hot)
+    if wanted is not None:
+        rest = rest.filter(wanted)
+    return many.join(F.broadcast(hot), keys).unionByName(
+        many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys))
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A column name that clashes with none of ``columns``."""
     taken = {c.lower() for c in columns}
@@ -57,4 +77,4 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
-__all__ = ["BLANKS", "BUCKETS", "WORD", "cut_lineage", "fresh", "running_before", "table", "text_or_empty", "whole_row"]
+__all__ = ["BLANKS", "BUCKETS", "WORD", "cut_lineage", "fresh", "running_before", "skew_join", "table", "text_or_empty", "whole_row"]
