@@ -19,6 +19,7 @@ A byte-level BPE of the tokenizers library (A) reads space + text; a sentencepie
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -135,7 +136,14 @@ class Aligner:
         return (ids, ends) if b"".join([self.b_bytes[i] for i in ids]) == raw else None
 
     def learn(self, new: list[str]) -> None:
-        """Align parts that the cache does not hold."""
+        """Align parts that the cache does not hold. The table holds no cycles, so the collector rests while it grows."""
+        gc.disable()
+        try:
+            self._learn(new)
+        finally:
+            gc.enable()
+
+    def _learn(self, new: list[str]) -> None:
         whole = [p if p[0] in " \n" else " " + p for p in new]
         encoded = self.a.encode_batch(whole, add_special_tokens=False)
         protos = self.b.encode([p[1:] if p[0] == " " else p for p in whole], return_type="proto", num_threads=1)
