@@ -199,11 +199,15 @@ def test_chunks_stay_bounded(table, monkeypatch):
     import pyarrow as pa
     monkeypatch.setattr(alignment, "CHUNK_PARTS", 50)
     monkeypatch.setattr(alignment, "CACHE_PARTS", 30)
-    rows = [f"word{i} and word{i + 1} of the" for i in range(400)]
+    rows = [f"word{i} and ▁odd{i % 3} word{i + 1} of the" if i % 9 == 4 else f"word{i} and word{i + 1} of the" for i in range(400)]
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(400)), "text": rows})
     run = alignment._chunker(token_binary.tokenizer_path(alignment.PATH_A), token_binary.tokenizer_path(alignment.PATH_B))
     out = list(run(iter([batch])))
     assert len(out) > 5 and sum(sum(len(x) for x in b.column("doc_id").to_pylist()) for b in out) == 400
+    digests = [d for b in out for d in b.column("groups_sha256").to_pylist()[0]]
+    assert [bool(d) for d in digests] == [i % 9 != 4 for i in range(400)]  # bad parts stay bad when the table shrinks
+    want = [";".join(brute_alignment(table, t)[2]) for t in rows]
+    assert [d for d in digests if d] == [H([w]) for w in want if w]
     assert len(alignment.aligner(token_binary.tokenizer_path(alignment.PATH_A), token_binary.tokenizer_path(alignment.PATH_B)).rows) < 200
 
 

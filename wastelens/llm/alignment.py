@@ -26,7 +26,6 @@ import re
 import uuid
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +35,8 @@ from pyspark.sql import functions as F
 from wastelens.llm import common, token_binary
 
 PATH_A, PATH_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-CACHE_PARTS = 800_000  # parts a worker remembers
-CACHE_CHARS = 16_000_000  # and their characters
+CACHE_PARTS = 500_000  # parts a worker remembers, some 400 bytes each
+CACHE_CHARS = 9_000_000  # and their characters
 CHUNK_PARTS = 1_000_000  # parts of a chunk's documents, 4 bytes each, unless one document alone has more
 CHUNK_DOCS = 50_000
 SLICE = 32  # documents whose new parts are learnt together
@@ -87,9 +86,31 @@ class Aligner:
         self.rows: dict[str, int] = {}
         self.chars = 0
         self.groups: list[str] = []
-        self.sizes: list[tuple[int, int, int, int]] = []  # n_a, n_b, n_groups, n_links
-        self.pairs: list[tuple[int, ...]] = []
+        self.sizes = array("i")  # n_a, n_b, n_groups, n_links of every row
+        self.pairs: list[bytes] = []  # linked ids, 8 bytes each
         self.bad: set[int] = set()
+        self.uses = np.zeros(0, "i8")  # of every row, as far as packed
+
+    def count(self, rows: np.ndarray, times: np.ndarray) -> None:
+        uses = np.zeros(len(self.groups), "i8")
+        uses[:len(self.uses)] = self.uses
+        uses[rows] += times
+        self.uses = uses
+
+    def shrink(self) -> None:
+        """Forget the parts that were met once, or all if that leaves the table half full. Rows change their numbers."""
+        rows, groups, sizes, pairs, bad, uses = self.rows, self.groups, self.sizes, self.pairs, self.bad, self.uses
+        kept = [(name, i) for name, i in rows.items() if i < len(uses) and uses[i] > 1]
+        self.clear()
+        if len(kept) <= CACHE_PARTS // 2 and (chars := sum(len(name) for name, _ in kept)) <= CACHE_CHARS // 2:
+            self.chars = chars
+            for name, i in kept:
+                if i in bad:
+                    self.bad.add(len(self.groups))
+                self.rows[name] = len(self.groups)
+                self.groups.append(groups[i])
+                self.sizes.extend(sizes[4 * i:4 * i + 4])
+                self.pairs.append(pairs[i])
 
     def full(self) -> bool:
         return len(self.rows) >= CACHE_PARTS or self.chars >= CACHE_CHARS
@@ -156,8 +177,8 @@ class Aligner:
             if a is None or b is None:
                 self.bad.add(len(self.groups))
                 self.groups.append("")
-                self.sizes.append((0, 0, 0, 0))
-                self.pairs.append(())
+                self.sizes.extend((0, 0, 0, 0))
+                self.pairs.append(b"")
                 continue
             (a_ids, a_ends), (b_ids, b_ends) = a, b
             pairs, ends = links(a_ends, b_ends)
@@ -166,8 +187,8 @@ class Aligner:
                 groups.append(",".join([names[x] for x in a_ids[i:i2]]) + "|" + ",".join([names[x] for x in b_ids[j:j2]]))
                 i, j = i2, j2
             self.groups.append(";".join(groups))
-            self.sizes.append((len(a_ids), len(b_ids), len(groups), len(pairs)))
-            self.pairs.append(tuple([a_ids[i] << 32 | b_ids[j] for i, j in pairs]))
+            self.sizes.extend((len(a_ids), len(b_ids), len(groups), len(pairs)))
+            self.pairs.append(array("q", [a_ids[i] << 32 | b_ids[j] for i, j in pairs]).tobytes())
 
     def __call__(self, texts: list[str | None]) -> list[list[int]]:
         """Table rows of each text's parts in order; none if it has no tokens. Parts new to the table are learnt together."""
@@ -202,13 +223,15 @@ OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long
 def _packed(table: Aligner, ids: list, digests: list, n_parts: list, parts: array) -> pa.RecordBatch:
     """One chunk: its parts numbered anew, their sizes and linked ids, and how often every pair of ids is linked."""
     used, local = np.unique(np.frombuffer(parts, "i4"), return_inverse=True)
-    at = used.tolist()
-    counts = np.array([len(table.pairs[i]) for i in at], "i4")
-    pairs = np.fromiter(chain.from_iterable([table.pairs[i] for i in at]), "<i8")
+    raw = [table.pairs[i] for i in used.tolist()]
+    counts = np.array([len(r) // 8 for r in raw], "i4")
+    pairs = np.frombuffer(b"".join(raw), "<i8")
     distinct, place = np.unique(pairs, return_inverse=True)
-    times = np.repeat(np.bincount(local, minlength=len(used)), counts)
+    uses = np.bincount(local, minlength=len(used))
+    table.count(used, uses)
+    times = np.repeat(uses, counts)
     totals = np.bincount(place, weights=times, minlength=len(distinct)).astype("i8")  # below 2**53 in one chunk
-    sizes = np.array([table.sizes[i] for i in used.tolist()], "<i8").reshape(-1, 4).T
+    sizes = np.array(table.sizes, "<i8").reshape(-1, 4)[used].T
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([
         uuid.uuid4().hex, ids, digests, n_parts, local.astype("<i4").tobytes(), sizes.tobytes(), counts.tobytes(), pairs.tobytes(),
         distinct, totals], CHUNK_KINDS, strict=True)], schema=CHUNK_KINDS)
@@ -234,7 +257,7 @@ def _chunker(path_a: str, path_b: str):
                 yield _packed(table, ids, digests, n_parts, parts)
                 ids, digests, n_parts, parts = [], [], [], array("i")
                 if table.full():
-                    table.clear()
+                    table.shrink()
         if ids:
             yield _packed(table, ids, digests, n_parts, parts)
 
