@@ -116,7 +116,8 @@ def best_splits(sums: np.ndarray, s: Spec, may: np.ndarray | None) -> tuple:
 class Tree:
     """Arrays of one tree that grows; node 0 is the root."""
 
-    def __init__(self, value: float):
+    def __init__(self, value: float, width: int = 0):
+        self.width = width  # features
         self.feature, self.cut, self.left, self.value, self.gain = [-1], [0], [-1], [value], [0.0]
 
     def split(self, node: int, feature: int, cut: int, gain: float, left: float, right: float) -> int:
@@ -163,7 +164,7 @@ def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, s: Spec, tree: int, pat
 
 
 def route(bins: np.ndarray, feature, cut, left) -> np.ndarray:
-    """The node of every row at the end of its way down."""
+    """The node of every row at the end of its way down; cuts are bins or values, as the rows are."""
     feature, cut, left = (np.asarray(a) for a in (feature, cut, left))
     node = np.zeros(len(bins), "i8")
     while True:
@@ -342,9 +343,7 @@ def _wide_trees(rows: DataFrame, keys: list[tuple], specs: dict[str, Spec], cuts
     """Grow the trees ``keys`` (candidate, pool, number) over sets of any size."""
     upper = {}
     for key in keys:
-        tree = Tree(0.0)
-        tree.width = len(cuts[key[1]])
-        upper[key] = Upper(tree, {0: (1, 0)}, {})
+        upper[key] = Upper(Tree(0.0, len(cuts[key[1]])), {0: (1, 0)}, {})
     while any(u.open for u in upper.values()):
         found = {(r["candidate"], r["pool"], r["tree"], r["node"]): r for r in _level(rows, upper, specs)}
         for key, u in upper.items():
@@ -479,7 +478,7 @@ def predict(rows: DataFrame, trees: DataFrame, carried: list[str]) -> DataFrame:
         sums: dict[str, np.ndarray] = {}
         if len(left):
             for t in sorted(right.to_pylist(), key=lambda t: (t["candidate"], t["tree"])):
-                value = np.array(t["value"])[route_real(x, t["feature"], t["cut"], t["left"])] * t["weight"]
+                value = np.array(t["value"])[route(x, t["feature"], t["cut"], t["left"])] * t["weight"]
                 sums[t["candidate"]] = sums.get(t["candidate"], 0.0) + value
         own = left.select(carried)
         parts = [own.append_column("candidate", pa.array([c] * len(own), pa.string())).append_column("prediction", pa.array(v)) for c, v in sums.items()]
@@ -489,11 +488,6 @@ def predict(rows: DataFrame, trees: DataFrame, carried: list[str]) -> DataFrame:
     return rows.groupBy("pool", "bucket").cogroup(dealt.groupBy("pool", "bucket")).applyInArrow(run, schema)
 
 
-def route_real(x: np.ndarray, feature, cut, left) -> np.ndarray:
-    """Like ``route``, by the features themselves."""
-    return route(x, feature, cut, left)
-
-
 def importances(trees: DataFrame) -> DataFrame:
     """Share of each feature in the gains of a candidate's trees, as (candidate, pool, feature, importance); a tree's shares add up to one first."""
     cells = trees.select("candidate", "pool", "tree", F.explode(F.arrays_zip("feature", "gain")).alias("g")).filter("g.feature >= 0")

@@ -1,15 +1,12 @@
-"""MLlib regressors on daily features, pooled over all series.
+"""Tree models on daily features, pooled over all series.
 
 One model serves every series: the target is demand relative to the series' own training mean, so
-series of any level share the trees and the number of series does not multiply the fits.
+series of any level share the trees and the number of series does not multiply the fits. Folds and candidates are
+fitted together by ``forest``; models of single dishes are MLlib's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from functools import partial, reduce
-
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
@@ -17,17 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wastelens.models import attention
+from wastelens.models import attention, forest
 from wastelens.models.gram import double_array, gram_sums, int_array, solve
 from wastelens.operators.series import FEATURES, calendar_features
 from wastelens.session import cut_lineage
 
 SEED = 42
 MIN_ROWS = 5
-PARTITIONS = 8  # of a training set; a setting, since bagging is seeded per partition
-PARALLEL_FITS = 4  # independent fits that the driver keeps in flight
 DEEPEST = 30  # MLlib's limit
-SERIES_CODES = 4_096
+SERIES_CODES = 1 << 31  # series of equal code cannot be told apart by the trees
 NODE_MEMORY_MB = 128  # per-task statistics of one group of tree nodes
 
 
@@ -76,16 +71,17 @@ def ahead_features(train: DataFrame, heads: DataFrame, keys: list[str], weather:
         "y": F.lit(None).cast("double")}).select(*keys, "fecha", "futuro", "y", *FEATURES)
 
 
-def attended(train: DataFrame, heads: DataFrame, keys: list[str], weather: int = 2, event: int = 0) -> DataFrame:
-    """Past and future rows with their expanded features as a vector and the relative target.
+def attended(train: DataFrame, heads: DataFrame, keys: list[str], weather: int = 2, event: int = 0, codes: int = SERIES_CODES) -> DataFrame:
+    """Past and future rows with their expanded features, as an array and as a vector, and the relative target.
 
-    Attention works inside one series, where a code is constant; the code of the series is a feature of the
+    Attention works inside one series, where a code is constant; the code of the series (a hash below ``codes``) is a feature of the
     pooled regressor, behind the expanded ones.
     """
     rows = series_features(train, keys).unionByName(ahead_features(train, heads, keys, weather, event))
-    code = F.pmod(F.xxhash64(F.lit(SEED), keys[0]), F.lit(SERIES_CODES)).cast("double")
-    return attention.expanded(rows, keys).select(
-        *keys, "fecha", "futuro", "y", "media", array_to_vector(F.concat("x", F.array(code))).alias("features"),
+    code = F.pmod(F.xxhash64(F.lit(SEED), keys[0]), F.lit(codes)).cast("double")
+    rows = attention.expanded(rows, keys).withColumn("x", F.concat("x", F.array(code)))
+    return rows.select(
+        *keys, "fecha", "futuro", "y", "media", "x", array_to_vector("x").alias("features"),
         (F.col("y") / F.when(F.col("media") > 0, F.col("media"))).alias("label"))
 
 
@@ -94,70 +90,87 @@ def _steps(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return rows.withColumn("paso", step).select(*keys, "paso", F.greatest(F.lit(0.0), value * F.col("media")).alias("yhat"))
 
 
-def _training_set(rows: DataFrame, keys: list[str], partitions: int = PARTITIONS) -> DataFrame:
-    """Written features, dealt by series to a set number of partitions: forests are seeded per partition, so
-    the same rows give the same model on any cluster. Large sets want more partitions; that is the caller's setting."""
-    rows = cut_lineage(rows, "rasgos")
-    return rows.repartition(partitions, *keys).sortWithinPartitions(*keys, "fecha")
+def _pooled(train: DataFrame, heads: DataFrame, keys: list[str], pool: list[str]) -> DataFrame:
+    """Features, written once, with the pool that fits them together and a number for every row."""
+    rows = attended(train, heads, keys).drop("features")
+    name = F.concat_ws("/", *[F.col(c).cast("string") for c in pool]) if pool else F.lit("")
+    return cut_lineage(rows.withColumns({"pool": name, "rid": F.xxhash64(*keys, "fecha")}), "rasgos")
+
+
+def _past(rows: DataFrame) -> DataFrame:
+    return rows.filter(~F.col("futuro") & F.col("label").isNotNull())
 
 
-def in_parallel(jobs: list[Callable[[], DataFrame]], workers: int = PARALLEL_FITS) -> list[DataFrame]:
-    """Results of independent driver-side fits, in their order. A fit is a long row of short jobs, so a few at a
-    time keep the cluster busy; an error of one is raised once the others have ended."""
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        return list(pool.map(lambda job: job(), jobs))
+def fit_predict_many(train: DataFrame, heads: DataFrame, keys: list[str], candidates: dict[str, tuple[str, dict]],
+                     pool: list[str] | None = None) -> DataFrame:
+    """Forecasts of every candidate, ``name: (kind, settings)``, as ``modelo``. One fit per candidate and value of ``pool`` (key
+    columns, such as the fold), all in the same jobs; no pool sees rows of another."""
+    rows = _pooled(train, heads, keys, pool or [])
+    grown = forest.fit(_past(rows), {name: forest.spec(kind, **hp) for name, (kind, hp) in candidates.items()})
+    found = forest.predict(rows.filter("futuro"), grown, [*keys, "fecha", "media"]).withColumnRenamed("candidate", "modelo")
+    return _steps(found, [*keys, "modelo"], F.col("prediction"))
 
 
 def fit_predict(train: DataFrame, heads: DataFrame, keys: list[str], kind: str = "random_forest",
-                partitions: int = PARTITIONS, **hp) -> DataFrame:
-    """Attention features, then one pooled regressor. The features are written once: the fit
-    passes over them many times, and a lost executor costs a re-read, not a re-computation."""
-    rows = _training_set(attended(train, heads, keys), keys, partitions)
-    model = regressor(kind, **hp).fit(rows.filter(~F.col("futuro") & F.col("label").isNotNull()))
-    return _steps(model.transform(rows.filter("futuro")), keys, F.col("prediction"))
+                pool: list[str] | None = None, **hp) -> DataFrame:
+    """Attention features, then one pooled regressor per value of ``pool``."""
+    return fit_predict_many(train, heads, keys, {kind: (kind, hp)}, pool).drop("modelo")
 
 
-def fit(train: DataFrame, heads: DataFrame, keys: list[str], kind: str = "random_forest", partitions: int = PARTITIONS, **hp):
-    """The pooled model alone, to be stored; ``predict`` with the same history and horizons gives what ``fit_predict`` gives."""
-    rows = _training_set(attended(train, heads, keys), keys, partitions)
-    return regressor(kind, **hp).fit(rows.filter(~F.col("futuro") & F.col("label").isNotNull()))
+def fit(train: DataFrame, heads: DataFrame, keys: list[str], kind: str = "random_forest", **hp) -> DataFrame:
+    """The trees alone, to be stored; ``predict`` with the same history and horizons gives what ``fit_predict`` gives."""
+    return forest.fit(_past(_pooled(train, heads, keys, [])), {kind: forest.spec(kind, **hp)})
 
 
-def predict(model, train: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
-    """Forecast of a fitted model for the days after each history; nothing is refitted."""
-    return _steps(model.transform(attended(train, heads, keys).filter("futuro")), keys, F.col("prediction"))
+def predict(trees: DataFrame, train: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
+    """Forecast of fitted trees for the days after each history; nothing is refitted."""
+    rows = _pooled(train, heads, keys, []).filter("futuro")
+    return _steps(forest.predict(rows, trees, [*keys, "fecha", "media"]), keys, F.col("prediction"))
 
 
 STACK = {"rf": ("random_forest", {"n_estimators": 150, "max_depth": 10}),
          "gbr": ("gradient_boosting", {"n_estimators": 100, "learning_rate": 0.08, "max_depth": 4}),
          "lr": ("regresion_lineal", {}), "dt": ("decision_tree", {"max_depth": 7})}
+X_WIDTH = 2 * len(FEATURES) + 1  # scaled, attended, code
+
+
+def linear_coefficients(rows: DataFrame, ridge: float = 0.0) -> DataFrame:
+    """Least squares of the label on the features for every pool: pool, coef (constant first)."""
+    x = [F.get("x", F.lit(i)) for i in range(X_WIDTH)]
+    sums = gram_sums(rows, ["pool"], [F.lit(1.0), *x, F.col("label")])
+    fitted = solve("gram", int_array(range(X_WIDTH + 1)), double_array([0.0, *[ridge] * X_WIDTH]))
+    return sums.select("pool", fitted.alias("f")).select("pool", "f.coef")
 
 
 def stacked(train: DataFrame, heads: DataFrame, keys: list[str], folds: int = 5, stack=None,
-            ridge: float = 0.5, partitions: int = PARTITIONS) -> tuple[DataFrame, DataFrame]:
+            ridge: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Four regressors combined by a ridge meta-learner that is fitted on out-of-fold predictions
     (contiguous blocks of each series). Returns (predictions, meta weights).
 
     Scaling and attention are part of the features and see a series' whole training history, also where a
-    block of it is predicted out of fold. The folds are fitted side by side."""
+    block of it is predicted out of fold. Every block, and the whole history, is a pool; all are fitted together."""
     stack = stack or STACK
-    rows = _training_set(attended(train, heads, keys), keys, partitions)
+    names, whole = list(stack), "todo"
+    rows = _pooled(train, heads, keys, [])
     position = F.row_number().over(W.partitionBy(*keys).orderBy("fecha")) - 1
-    block = F.floor(position * folds / F.count("*").over(W.partitionBy(*keys))).cast("int")
-    past = rows.filter(~F.col("futuro") & F.col("label").isNotNull()).withColumn("bloque", block)
-    future = rows.filter("futuro")
-
-    def predictions(fit_on: DataFrame, apply_to: DataFrame) -> DataFrame:
-        for name, (kind, hp) in stack.items():
-            model = regressor(kind, **hp).setPredictionCol(name).fit(fit_on)
-            apply_to = model.transform(apply_to)
-        return apply_to.withColumns({name: F.greatest(F.lit(0.0), F.col(name)) for name in stack})
-
-    fold = lambda f: predictions(past.filter(F.col("bloque") != f), past.filter(F.col("bloque") == f))
-    *parts, final = in_parallel([*[partial(fold, f) for f in range(folds)], partial(predictions, past, future)])
-    oof = reduce(DataFrame.unionByName, parts)
-    names = list(stack)
-    sums = gram_sums(oof.withColumn("todo", F.lit(1)), ["todo"], [F.lit(1.0), *[F.col(n) for n in names], F.col("label")])
+    block = F.floor(position * folds / F.count("*").over(W.partitionBy(*keys))).cast("int").cast("string")
+    past = cut_lineage(_past(rows).withColumn("bloque", block), "bloques")
+    pools = F.filter(F.array(*[F.lit(str(f)) for f in range(folds)], F.lit(whole)), lambda p: p != F.col("bloque"))
+    fit_on = past.withColumn("pool", F.explode(pools))
+    apply_to = past.withColumn("pool", F.col("bloque")).drop("bloque").unionByName(rows.filter("futuro").withColumn("pool", F.lit(whole)))
+    carried = [*keys, "fecha", "futuro", "pool", "label", "media"]
+    trees = {n: forest.spec(kind, **hp) for n, (kind, hp) in stack.items() if kind != "regresion_lineal"}
+    long = forest.predict(apply_to, forest.fit(fit_on, trees), carried) if trees else None
+    if len(trees) < len(stack):
+        line = apply_to.join(linear_coefficients(fit_on).withColumnRenamed("pool", "_p"), F.col("pool") == F.col("_p"))
+        terms = F.zip_with("x", F.slice("coef", 2, X_WIDTH), lambda x, c: x * c)
+        value = F.get("coef", F.lit(0)) + F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
+        for name in (n for n in names if n not in trees):
+            part = line.select(*carried, F.lit(name).alias("candidate"), value.alias("prediction"))
+            long = part if long is None else long.unionByName(part)
+    at = lambda n: F.greatest(F.lit(0.0), F.max(F.when(F.col("candidate") == n, F.col("prediction"))))
+    wide = cut_lineage(long.groupBy(*carried).agg(*[at(n).alias(n) for n in names]), "pila")
+    sums = gram_sums(wide.filter("NOT futuro").withColumn("todo", F.lit(1)), ["todo"], [F.lit(1.0), *[F.col(n) for n in names], F.col("label")])
     width = len(names) + 1
     meta = sums.withColumn("fit", solve("gram", int_array(range(width)), double_array([0.0, *[ridge] * len(names)]))).select(
         F.col("fit.coef").alias("c"))
@@ -167,7 +180,7 @@ def stacked(train: DataFrame, heads: DataFrame, keys: list[str], folds: int = 5,
         value = value + F.get(weight, F.lit(i + 1)) * F.col(n)
     weights = meta.select(F.explode(F.array(*[
         F.struct(F.lit(n).alias("modelo"), F.get("c", F.lit(i + 1)).alias("peso")) for i, n in enumerate(names)])).alias("p")).select("p.*")
-    return _steps(final, keys, value), weights
+    return _steps(wide.filter("futuro"), keys, value), weights
 
 
 def importances(model, names: list[str] = FEATURES) -> list[tuple[str, float]]:

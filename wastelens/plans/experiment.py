@@ -1,15 +1,15 @@
 """The forecast experiment: compare, tune, cross-validate, test and explain, for all series at once.
 
 Series and folds are keys of the data, so one job serves any number of them. The only loops on
-the driver run over the short lists of models and hyper-parameter candidates.
+the driver run over the short lists of models and of the candidates of closed-form models.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
-from functools import partial, reduce
+from functools import cache, partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,9 +25,8 @@ FitPredict = Callable[[DataFrame, DataFrame, list[str]], DataFrame]
 
 STATISTICAL: dict[str, FitPredict] = {
     "arima": arima.fit_predict, "tendencia": trend.fit_predict, "holt_winters": holt_winters.fit_predict}
-TREES: dict[str, FitPredict] = {
-    "atencion_random_forest": partial(trees.fit_predict, kind="random_forest"),
-    "atencion_gradient_boosting": partial(trees.fit_predict, kind="gradient_boosting")}
+POOLED_KINDS = {"atencion_random_forest": "random_forest", "atencion_gradient_boosting": "gradient_boosting"}
+TREES: dict[str, FitPredict] = {name: partial(trees.fit_predict, kind=kind) for name, kind in POOLED_KINDS.items()}
 ALL_MODELS: dict[str, FitPredict] = {**STATISTICAL, **TREES}
 CRITERION = "menor MAE (empate -> menor RMSE -> menor SMAPE)"
 ERROR_LENGTH = 255
@@ -52,16 +51,17 @@ def with_previous_value(series: DataFrame) -> DataFrame:
     return series.withColumn("previo", F.lag("cantidad").over(W.partitionBy("serie").orderBy("fecha")))
 
 
-def predict_all(train: DataFrame, heads: DataFrame, keys: list[str], models: dict[str, FitPredict]) -> tuple[DataFrame | None, dict[str, str]]:
+def predict_all(train: DataFrame, heads: DataFrame, keys: list[str], models: dict[str, FitPredict], named: bool = False) -> tuple[DataFrame | None, dict[str, str]]:
     """Forecasts of every model in long form. A model that fails is reported, the others go on.
 
     Each model's rows are written before the next begins, so that a failure in a task is that model's
-    failure; its message is cut to what a stored run keeps.
+    failure; its message is cut to what a stored run keeps. ``named``: the rows say their model themselves.
     """
     out, failures = None, {}
     for name, fit_predict in models.items():
         try:
-            rows = cut_lineage(fit_predict(train, heads, keys).withColumn("modelo", F.lit(name)), "modelo")
+            rows = fit_predict(train, heads, keys)
+            rows = cut_lineage(rows if named else rows.withColumn("modelo", F.lit(name)), "modelo")
         except Exception as exc:  # a failing model must not stop the comparison
             failures[name] = str(exc)[:ERROR_LENGTH]
             continue
@@ -119,33 +119,43 @@ def future(series: DataFrame, best: DataFrame, horizon: int = 7, models: dict[st
     return plan.production_plan(out, best, ["serie", "modelo"])
 
 
+@dataclass
+class Folds:
+    table: DataFrame  # serie, fold and the bounds of its blocks
+    train: DataFrame
+    heads: DataFrame
+    scored: DataFrame  # the validation rows
+
+    KEYS = ["serie", "fold"]
+
+
+def time_folds(series: DataFrame, k: int = 5) -> Folds:
+    folds = S.fold_table(series, k)
+    rows = S.indexed(with_previous_value(series)).join(folds.select("serie", "fold", "n_train", "n_val"), "serie")
+    return Folds(folds, rows.filter("idx <= n_train").select("serie", "fold", "fecha", "cantidad"),
+                 folds.select("serie", "fold", F.col("n_val").alias("h")),
+                 actuals(rows.filter("idx > n_train AND idx <= n_train + n_val"), Folds.KEYS))
+
+
+def _fold_scores(folds: Folds, forecasts: DataFrame | None, models: list[str], failures: dict[str, str]) -> DataFrame:
+    if forecasts is None:
+        scored = no_scores(folds.table, Folds.KEYS)
+    else:
+        scored = metrics.score(forecasts.join(folds.scored, [*Folds.KEYS, "paso"]), [*Folds.KEYS, "modelo"])
+    return full_scores(scored, folds.table, models, failures, Folds.KEYS).join(folds.table.drop("k"), Folds.KEYS)
+
+
 def walk_forward(series: DataFrame, models: dict[str, FitPredict] | None = None, k: int = 5) -> DataFrame:
     """Scores per series, model and expanding-window fold, failed folds included.
 
-    Closed-form models take all folds in one job. A pooled regressor must not see rows of another
-    fold's validation block, so it is fitted once per fold (k fits, whatever the number of series).
+    Every model takes all folds in one go. A pooled regressor must not see rows of another fold's validation block, so
+    it is told to fit each fold on its own rows.
     """
     models = models or ALL_MODELS
-    folds = S.fold_table(series, k)
-    rows = S.indexed(with_previous_value(series)).join(folds.select("serie", "fold", "n_train", "n_val"), "serie")
-    train = rows.filter("idx <= n_train").select("serie", "fold", "fecha", "cantidad")
-    val = rows.filter("idx > n_train AND idx <= n_train + n_val")
-    heads = folds.select("serie", "fold", F.col("n_val").alias("h"))
-    keys = ["serie", "fold"]
-    forecasts, failures = predict_all(train, heads, keys, {m: f for m, f in models.items() if m not in TREES})
-    def one_fold(name: str, i: int):
-        at = F.col("fold") == i
-        return predict_all(train.filter(at), heads.filter(at), keys, {name: models[name]})
-
-    pooled = [partial(one_fold, name, i) for name in models if name in TREES for i in range(1, k + 1)]
-    for rows_i, failed in trees.in_parallel(pooled):
-        failures.update(failed)
-        if rows_i is not None:
-            forecasts = rows_i if forecasts is None else forecasts.unionByName(rows_i)
-    if forecasts is None:
-        return full_scores(no_scores(series, keys), folds, list(models), failures, keys).join(folds.drop("k"), keys)
-    scored = metrics.score(forecasts.join(actuals(val, keys), [*keys, "paso"]), [*keys, "modelo"])
-    return full_scores(scored, folds, list(models), failures, keys).join(folds.drop("k"), keys)
+    folds = time_folds(series, k)
+    by_fold = {m: partial(f, pool=["fold"]) if m in TREES else f for m, f in models.items()}
+    forecasts, failures = predict_all(folds.train, folds.heads, Folds.KEYS, by_fold)
+    return _fold_scores(folds, forecasts, list(models), failures)
 
 
 # ---- hyper-parameter search ----
@@ -174,8 +184,7 @@ def _configured(model: str, combo: dict) -> FitPredict:
             multiplicative=combo["seasonality_mode"] == "multiplicative", weekly=combo["weekly_seasonality"])
     if model == "holt_winters":
         return partial(holt_winters.fit_predict, damped=combo["damped_trend"], seasonal=combo["seasonal"] is not None)
-    kind = {"atencion_random_forest": "random_forest", "atencion_gradient_boosting": "gradient_boosting"}[model]
-    return partial(trees.fit_predict, kind=kind, **combo)
+    return partial(trees.fit_predict, kind=POOLED_KINDS[model], **combo)
 
 
 def tune(series: DataFrame, model: str, n: int = 4, seed: int = 42, space: dict[str, list] | None = None) -> DataFrame:
@@ -188,77 +197,98 @@ def tune(series: DataFrame, model: str, n: int = 4, seed: int = 42, space: dict[
     combos = sample_space(series.sparkSession, space or SEARCH_SPACES[model], n, seed)
     named = {json.dumps(c, sort_keys=True): _configured(model, c) for c in combos}
     forecasts, failures = predict_all(train, heads, ["serie"], named)
-    scored = metrics.score(forecasts.join(actuals(val, ["serie"]), ["serie", "paso"]), ["serie", "modelo"])
+    scored = no_scores(series, ["serie"]) if forecasts is None else metrics.score(
+        forecasts.join(actuals(val, ["serie"]), ["serie", "paso"]), ["serie", "modelo"])
     rows = metrics.ranked(full_scores(scored, heads, list(named), failures, ["serie"]), ["serie"])
     return rows.select("serie", F.lit(model).alias("modelo"), F.col("modelo").alias("hiperparametros"), "mae", "rmse", "error",
                        F.coalesce(F.col("posicion") == 1, F.lit(False)).alias("mejor"))
 
 
 def tune_on_folds(series: DataFrame, model: str, n: int = 4, k: int = 5, seed: int = 42, space: dict[str, list] | None = None) -> DataFrame:
-    """Random search scored by the mean error over the time folds, for the pooled regressors.
+    """Random search scored by the mean error over the time folds, for the pooled regressors. All candidates of all folds are fitted together.
 
     One row per candidate; ``mejor`` marks the smallest MAE, at ties the first text. No candidate is best where none has a score.
     """
     combos = sample_space(series.sparkSession, space or SEARCH_SPACES[model], n, seed)
-    out = None
-    for combo in combos:
-        cv = walk_forward(series, {model: _configured(model, combo)}, k)
-        row = cv.agg(F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.max("error").alias("error")).select(
-            F.lit(model).alias("modelo"), F.lit(json.dumps(combo, sort_keys=True)).alias("hiperparametros"), "mae", "rmse", "error")
-        out = row if out is None else out.unionByName(row)
+    kind = POOLED_KINDS[model]
+    named = {json.dumps(c, sort_keys=True): (kind, c) for c in combos}
+    folds = time_folds(series, k)
+    search = {model: partial(trees.fit_predict_many, candidates=named, pool=["fold"])}
+    forecasts, failures = predict_all(folds.train, folds.heads, Folds.KEYS, search, named=True)
+    cv = _fold_scores(folds, forecasts, list(named), {name: text for text in failures.values() for name in named})
+    out = cv.groupBy("modelo").agg(F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.max("error").alias("error")).select(
+        F.lit(model).alias("modelo"), F.col("modelo").alias("hiperparametros"), "mae", "rmse", "error")
     place = F.row_number().over(W.orderBy(F.col("mae").asc_nulls_last(), "hiperparametros"))  # one row per candidate
     return cut_lineage(out.withColumn("mejor", (place == 1) & F.col("mae").isNotNull()), "busqueda")
 
 
 def tuned_walk_forward(series: DataFrame, model: str, tuned: DataFrame, k: int = 5) -> DataFrame:
     """Walk-forward scores with each series' own best candidate. The search is not repeated in the
-    folds; a candidate is fitted only on the series that chose it."""
+    folds; a candidate is fitted only on the series that chose it. Series without a best candidate keep null scores."""
     best = tuned.filter("mejor").select("serie", "hiperparametros")
-    out = None
+    without = series.join(best.select("serie"), "serie", "left_anti")
+    out = _fold_scores(time_folds(without, k), None, [model], {})
     for text in [r[0] for r in best.select("hiperparametros").distinct().collect()]:
         own = series.join(best.filter(F.col("hiperparametros") == text).select("serie"), "serie", "left_semi")
-        cv = walk_forward(own, {model: _configured(model, json.loads(text))}, k)
-        out = cv if out is None else out.unionByName(cv)
+        out = out.unionByName(walk_forward(own, {model: _configured(model, json.loads(text))}, k))
     return out
 
 
+class Run(Mapping):
+    """The parts of an experiment by name, each computed when it is first asked for and kept."""
+
+    def __init__(self, parts: dict[str, Callable[[], DataFrame]]):
+        self._parts = {name: cache(part) for name, part in parts.items()}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._parts[name]()
+
+    def __iter__(self):
+        return iter(self._parts)
+
+    def __len__(self) -> int:
+        return len(self._parts)
+
+
 def run(series: DataFrame, models: dict[str, FitPredict] | None = None, horizon: int = 7, k: int = 5,
-        tuning: int = 0, spaces: dict[str, dict[str, list]] | None = None) -> dict[str, DataFrame]:
+        tuning: int = 0, spaces: dict[str, dict[str, list]] | None = None) -> Run:
     """The whole experiment. ``tuning`` candidates per model (0: none): statistical models on the tuning split of each
     series, pooled regressors on the time folds; ``busqueda`` then lists them, and the folds are scored with the best.
-    ``spaces`` replaces the search spaces of pooled regressors."""
-    series = cut_lineage(series, "series")
+    ``spaces`` replaces the search spaces of pooled regressors. Nothing is fitted before a part that needs it is asked for."""
     models = models or ALL_MODELS
-    compared = compare(series, models)
-    best = compared.best
-    result = {
-        "series": series, "predicciones": compared.predictions, "modelos": compared.scores, "ganadores": best,
-        "futuro": future(series, best, horizon, models),
-        "pruebas": tests_stat.all_tests(compared.predictions, best.select("serie", F.col("modelo").alias("ganador"))),
-        "interpretacion": plan.winner_text(best),
-    }
-    if not tuning:
-        result["folds"] = walk_forward(series, models, k)
-        return result
-    searches, folds = [], []
-    for model in models:
-        if model in STATISTICAL:  # every series has its own best candidate
-            found = cut_lineage(tune(series, model, tuning), "busqueda")
-            cv = tuned_walk_forward(series, model, found, k)
-        elif model in TREES:  # one candidate for the pool, searched on the folds
-            found = tune_on_folds(series, model, tuning, k, space=(spaces or {}).get(model))
-            best_text = found.filter("mejor").select("hiperparametros").collect()
-            tuned = _configured(model, json.loads(best_text[0][0])) if best_text else models[model]
-            cv = walk_forward(series, {model: tuned}, k)
-            found = found.withColumn("serie", F.lit(None).cast("string"))
-        else:
-            found, cv = None, walk_forward(series, {model: models[model]}, k)
-        searches += [found] if found is not None else []
-        folds += [cv] if cv is not None else []
-    result["folds"] = reduce(DataFrame.unionByName, folds)
-    if searches:
-        result["busqueda"] = reduce(DataFrame.unionByName, searches)
-    return result
+    rows = cache(lambda: cut_lineage(series, "series"))
+    compared = cache(lambda: compare(rows(), models))
+
+    @cache
+    def searched() -> tuple[list[DataFrame], list[DataFrame]]:
+        """Searches and fold scores of every model."""
+        searches, folds = [], []
+        for model in models:
+            if model in STATISTICAL:  # every series has its own best candidate
+                found = cut_lineage(tune(rows(), model, tuning), "busqueda")
+                cv = tuned_walk_forward(rows(), model, found, k)
+            elif model in TREES:  # one candidate for the pool, searched on the folds
+                found = tune_on_folds(rows(), model, tuning, k, space=(spaces or {}).get(model))
+                best_text = found.filter("mejor").select("hiperparametros").collect()
+                tuned = _configured(model, json.loads(best_text[0][0])) if best_text else models[model]
+                cv = walk_forward(rows(), {model: tuned}, k)
+                found = found.withColumn("serie", F.lit(None).cast("string"))
+            else:
+                found, cv = None, walk_forward(rows(), {model: models[model]}, k)
+            searches += [found] if found is not None else []
+            folds.append(cv)
+        return searches, folds
+
+    winners = lambda: compared().best
+    parts = {
+        "series": rows, "predicciones": lambda: compared().predictions, "modelos": lambda: compared().scores, "ganadores": winners,
+        "futuro": lambda: future(rows(), winners(), horizon, models),
+        "pruebas": lambda: tests_stat.all_tests(compared().predictions, winners().select("serie", F.col("modelo").alias("ganador"))),
+        "interpretacion": lambda: plan.winner_text(winners()),
+        "folds": lambda: reduce(DataFrame.unionByName, searched()[1]) if tuning else walk_forward(rows(), models, k)}
+    if tuning and any(m in STATISTICAL or m in TREES for m in models):
+        parts["busqueda"] = lambda: reduce(DataFrame.unionByName, searched()[0])
+    return Run(parts)
 
 
 # ---- saved winners ----

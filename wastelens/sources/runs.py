@@ -127,9 +127,11 @@ def load_tree(root: str, name: str):
     return TREE_MODELS[name].load(f"{root}/arboles/{name}")
 
 
-def save_pooled(model, root: str, run_id: str, name: str, metadata: DataFrame) -> None:
-    """A pooled model of one run, beside the signature of every series that it was fitted on."""
-    save_tree(model, f"{root}/ajustes/{run_id}", name)
+def save_pooled(model: DataFrame, root: str, run_id: str, name: str, metadata: DataFrame) -> None:
+    """The trees of a pooled model of one run, beside the signature of every series that it was fitted on."""
+    if name not in TREE_MODELS:
+        raise ValueError(f"unknown model type {name!r}")
+    model.write.mode("overwrite").parquet(f"{root}/ajustes/{run_id}/{name}")
     metadata.withColumns({"run_id": F.lit(run_id), "guardado": F.current_timestamp()}).write.mode("append").parquet(f"{root}/agrupados/{name}")
 
 
@@ -150,7 +152,7 @@ def saved_tree_forecast(spark: SparkSession, root: str, name: str, rows: DataFra
     for run_id in [r[0] for r in active.select("run_id").distinct().orderBy("run_id").collect()]:
         own = rows.join(active.filter(F.col("run_id") == run_id).select("serie"), "serie", "left_semi").select("serie", "fecha", "cantidad")
         heads = own.groupBy("serie").agg(F.max("fecha").alias("fin")).withColumn("h", F.lit(horizon))
-        part = trees.predict(load_tree(f"{root}/ajustes/{run_id}", name), own, heads, ["serie"]).join(heads.select("serie", "fin"), "serie")
+        part = trees.predict(spark.read.parquet(f"{root}/ajustes/{run_id}/{name}"), own, heads, ["serie"]).join(heads.select("serie", "fin"), "serie")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "serie string, modelo string, fecha date, yhat double")
