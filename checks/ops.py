@@ -254,7 +254,9 @@ LEFT JOIN (SELECT id_plato, CAST(sum(costo_estimado) AS DOUBLE) AS c FROM desper
     "r09_active_alerts": sql("""SELECT id_alerta, tipo_alerta, nivel_riesgo, fecha_generacion, a.estado, a.id_plato, a.id_insumo, p.nombre AS plato, i.nombre AS insumo, valor_actual
 FROM (SELECT * FROM alertas WHERE estado = 'pendiente' ORDER BY fecha_generacion DESC, id_alerta DESC LIMIT 50) a
 LEFT JOIN platos p ON p.id_plato = a.id_plato LEFT JOIN insumos i ON i.id_insumo = a.id_insumo"""),
-    "r10_current_states": sql("SELECT id_alerta, arg_max(estado, momento) AS estado, max(momento) AS momento, count(*) AS cambios FROM cambios_alerta GROUP BY 1"),
+    "r10_current_states": sql("""SELECT id_alerta, estado, momento, cambios FROM (
+SELECT *, count(*) OVER (PARTITION BY id_alerta) AS cambios, row_number() OVER (PARTITION BY id_alerta
+  ORDER BY momento DESC, list_position(['pendiente', 'leida', 'resuelta'], estado) DESC) AS r FROM cambios_alerta) WHERE r = 1"""),
     "a38_counts_by_level": sql("""SELECT count(*) AS total, count(*) FILTER (nivel_riesgo = 'CRITICO') AS critico, count(*) FILTER (nivel_riesgo = 'ALTO') AS alto,
 count(*) FILTER (nivel_riesgo = 'MEDIO') AS medio, count(*) FILTER (nivel_riesgo = 'BAJO') AS bajo FROM alertas WHERE estado = 'pendiente'"""),
     "r11_recommendations": sql(ADVICE, MEASURES),

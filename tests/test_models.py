@@ -199,6 +199,38 @@ def test_run_is_stored_and_read_back(spark, make_series, tmp_path, day):
     assert runs.stored(spark, str(tmp_path), "ejecuciones").select("run_id").distinct().count() == 1
 
 
+def small_run(spark, day, n_models=2):
+    """The parts of a run of one series, without fitting anything."""
+    series = spark.createDataFrame([("a", day(i), float(i)) for i in range(5)], "serie string, fecha date, cantidad double")
+    scores = spark.createDataFrame([("a", f"m{i}", 1.0, 1.0, 1.0, 1.0, 1.0, 0.5, i + 1) for i in range(n_models)],
+                                   "serie string, modelo string, mae double, rmse double, mape double, smape double, u_theil double, r2 double, posicion int")
+    folds = spark.createDataFrame([("a", "m0", i) for i in (1, 2)], "serie string, modelo string, fold int")
+    tests = spark.createDataFrame([("a", "friedman")], "serie string, prueba string")
+    return {"series": series, "ganadores": scores.filter("posicion = 1"), "modelos": scores, "folds": folds, "pruebas": tests}
+
+
+def counted(spark, root, run_id="007"):
+    return [runs.stored(spark, root, t).filter(F.col("run_id") == run_id).count() for t in runs.RUN_TABLES]
+
+
+def test_a_failed_attempt_leaves_nothing_that_counts(spark, tmp_path, day):
+    root, good = str(tmp_path / "s"), small_run(spark, day)
+    broken = {**good, "pruebas": good["pruebas"].withColumn("prueba", F.raise_error(F.lit("roto")).cast("string"))}
+    with pytest.raises(Exception, match="roto"):
+        runs.save_run(root, "007", broken, "c")
+    runs.save_run(root, "007", good, "c")
+    assert counted(spark, root) == [1, 2, 2, 1]
+    runs.save_run(root, "008", good, "c")
+    assert counted(spark, root) == counted(spark, root, "008") == [1, 2, 2, 1]
+
+
+def test_two_writers_of_one_run_leave_one(spark, tmp_path, day):
+    root = str(tmp_path / "d")
+    attempts = [runs.save_run(root, "007", small_run(spark, day, n), "c") for n in (2, 3)]
+    assert attempts[0] != attempts[1] and counted(spark, root) == [1, 3, 2, 1]
+    assert [r["intento"] for r in runs.committed(spark, root).collect()] == attempts[1:]
+
+
 def test_tuning_and_tuned_folds(make_series):
     rows = make_series(a=WEEKLY)
     found = experiment.tune(rows, "holt_winters", 4)
@@ -342,3 +374,39 @@ def test_experiment_tunes_every_kind_of_model(make_series):
         ("a", "holt_winters"), ("b", "holt_winters"), (None, "atencion_random_forest")}
     folds = out["folds"].collect()
     assert {(r["modelo"], r["fold"]) for r in folds} == {(m, f) for m in models for f in (1, 2)} and len(folds) == 8
+
+
+def test_a_search_of_failing_candidates_scores_none(make_series, monkeypatch):
+    rows = make_series(a=WEEKLY)
+    monkeypatch.setattr(experiment, "_configured", lambda model, combo: failing)
+    found = experiment.tune(rows, "holt_winters", 2)
+    assert [(r["mae"], r["error"], r["mejor"]) for r in found.collect()] == [(None, "sin memoria", False)] * 2
+    folds = experiment.tuned_walk_forward(rows, "holt_winters", found, 2).collect()
+    assert [(r["fold"], r["mae"]) for r in sorted(folds, key=lambda r: r["fold"])] == [(1, None), (2, None)]
+    out = experiment.run(rows, {"holt_winters": failing}, 3, 2, tuning=2)
+    assert out["busqueda"].count() == 2 and out["folds"].count() == 2
+
+
+def test_parts_of_a_run_are_computed_when_asked_for(make_series):
+    called = []
+
+    def counting(train, heads, keys):
+        called.append(keys)
+        return holt_winters.fit_predict(train, heads, keys)
+
+    out = experiment.run(make_series(a=WEEKLY), {"holt_winters": counting, "tendencia": trend.fit_predict}, 3, 2)
+    assert called == [] and set(out) >= {"pruebas", "folds", "futuro"}
+    out["pruebas"].count(), out["modelos"].count()
+    assert called == [["serie"]]
+
+
+def test_folds_and_candidates_share_their_fits(make_series):
+    """All folds in one call give what every fold alone gives."""
+    rows = make_series(a=WEEKLY, b=WEEKLY + 4)
+    folds = experiment.time_folds(rows, 2)
+    model = {"kind": "random_forest", "n_estimators": 4, "max_depth": 3}
+    together = trees.fit_predict(folds.train, folds.heads, ["serie", "fold"], pool=["fold"], **model).collect()
+    alone = [r for i in (1, 2) for r in trees.fit_predict(
+        folds.train.filter(F.col("fold") == i), folds.heads.filter(F.col("fold") == i), ["serie", "fold"], **model).collect()]
+    key = lambda r: (r["serie"], r["fold"], r["paso"])
+    assert [r["yhat"] for r in sorted(together, key=key)] == pytest.approx([r["yhat"] for r in sorted(alone, key=key)])

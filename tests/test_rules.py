@@ -210,7 +210,7 @@ def test_states_of_the_same_moment_do_not_depend_on_row_order(spark):
     rows = [(1, NOW, "leida"), (1, NOW, "pendiente"), (1, NOW - dt.timedelta(hours=1), "resuelta")]
     for order in (rows, rows[::-1]):
         frame = spark.createDataFrame(order, "id_alerta long, momento timestamp, estado string")
-        assert rules.current_states(frame).first()["estado"] == "pendiente"
+        assert rules.current_states(frame).first()["estado"] == "leida"
 
 
 def test_exports(spark, wh, tmp_path):
@@ -227,3 +227,11 @@ def test_seed_is_idempotent(spark, wh):
     missing = listing.seed_missing(wh.restaurantes, rows, ["nombre"])
     assert [r["nombre"] for r in missing.collect()] == ["Tres"]
     assert listing.seed_missing(wh.restaurantes.select("nombre").unionByName(missing.select("nombre")), rows, ["nombre"]).count() == 0
+
+
+def test_states_of_one_moment_follow_their_order(spark):
+    """Of several changes at one moment the last in the order of states counts, not the last by name."""
+    moment = dt.datetime(2026, 1, 1)
+    for states in (["pendiente", "leida"], ["leida", "pendiente"], ["resuelta", "leida", "pendiente"]):
+        rows = spark.createDataFrame([(1, s, moment) for s in states], "id_alerta long, estado string, momento timestamp")
+        assert rules.current_states(rows).first()["estado"] == max(states, key=["pendiente", "leida", "resuelta"].index)

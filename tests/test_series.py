@@ -1,6 +1,8 @@
 import datetime as dt
 
 import numpy as np
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +122,36 @@ def test_empty_input(spark):
     assert tuple(cleaning.cleaning_warnings(empty).first()) == (0, 0, 0, 0)
 
 
+@pytest.mark.parametrize("kind", ["int", "long", "double", "string"])
+def test_the_first_row_is_the_smallest_at_any_size(spark, kind):
+    """Quantities beyond any packed width, equal tie-breaks, nulls: the same row in any order and for any type."""
+    draw = random.Random(3)
+    rows = [(k, k % 3, draw.choice(["2026-01-01", "2026-01-02", "0001-01-01", "9999-12-31"]),
+             draw.choice(["900000000000", "200000000000", "1e300", "0.0000001", "0.0000002", "7", None, "-3"]), draw.choice([1, 2, None]))
+            for k in range(60) for _ in range(draw.randint(1, 6))]
+    df = spark.createDataFrame(rows, "id_venta long, id_plato long, fecha string, cantidad string, linea int").withColumn("linea", F.col("linea").cast(kind))
+    want = {}
+    for v, p, f, q, n in rows:
+        q = max(float(q or 0), 0.0)
+        place = ((n is not None, n or 0), f, q)
+        want[v] = min(want.get(v, place), place)
+    for order in (df, df.orderBy(F.desc("cantidad")), df.repartition(5)):
+        got = cleaning.clean(order, ["linea"]).collect()
+        assert {r["id_venta"]: ((r["linea"] is not None, int(float(r["linea"] or 0))), str(r["fecha"]), r["cantidad"]) for r in got} == want
+    two = spark.createDataFrame([(1, 1, "2026-01-01", "900000000000", 1), (1, 1, "2026-01-01", "200000000000", 1)], df.schema.simpleString()[7:-1].replace(":", " ")) \
+        if kind == "int" else None
+    if two is not None:
+        assert [r["cantidad"] for r in cleaning.clean(two, ["linea"]).collect()] == [2e11]
+
+
+def test_cleaning_counts_come_with_the_pass(spark):
+    frame, found = cleaning.clean_observed(raw_rows(spark))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") == 1
+    assert frame.count() == 4
+    assert found.get() == cleaning.cleaning_warnings(raw_rows(spark)).first().asDict()
+
+
 def test_hot_key_keeps_one_row(spark):
     hot = spark.range(20000).select(F.lit(1).alias("id_venta"), F.lit(1).alias("id_plato"), F.lit("2026-01-01").alias("fecha"),
                                     F.col("id").cast("string").alias("cantidad"))

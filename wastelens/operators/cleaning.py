@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wastelens.functions.scalar import parse_date, parse_number
 
 TRANSACTION_KEY = ["id_venta", "id_plato"]
-WHOLE = ("byte", "short", "integer")
 DAILY_KEY = ["fecha", "id_plato"]
 
 
@@ -29,24 +28,63 @@ def parsed(raw: DataFrame) -> DataFrame:
 def clean(raw: DataFrame, tie_break: list[str] | None = None) -> DataFrame:
     """Drop undated rows, impute missing and negative quantities with 0, keep the first row of a key.
 
-    "First" is the smallest (tie-break columns, then date and quantity), so it does not depend on
-    row order. The minimum is combined map-side: a key repeated very often moves as one row.
-    With one whole number as tie-break the order fits one decimal (quantities compare to six
-    digits after the point), so the minimum is a hash aggregation and raw rows are never sorted.
+    "First" is the smallest (tie-break columns, then date and quantity, then the rest; nulls first), compared as values of their own type, so
+    it does not depend on row order.
     """
-    rows = parsed(raw).filter(~F.col("fecha_invalida")).drop("fecha_invalida", "nulo", "negativo")
+    return _first(parsed(raw), tie_break)
+
+
+def _first(rows: DataFrame, tie_break: list[str] | None) -> DataFrame:
+    rows = rows.filter(~F.col("fecha_invalida")).drop("fecha_invalida", "nulo", "negativo")
     key = natural_key(rows)
     rest = [c for c in (tie_break or []) if c not in key]
     rest += [c for c in ("fecha", "cantidad") if c not in key + rest]
     rest += [c for c in rows.columns if c not in key + rest]
-    if rest == [*(tie_break or []), "fecha", "cantidad"] and len(rest) == 3 and rows.schema[rest[0]].dataType.typeName() in WHOLE:
-        part = lambda c, width: F.lpad(c.cast("string"), width, "0")
-        place = F.concat(  # non-negative parts of fixed width, nulls first
-            part(F.coalesce(F.col(rest[0]).cast("long") + 2_147_483_649, F.lit(0)), 10), part(F.datediff("fecha", F.lit("0001-01-01")) + 1, 7),
-            part(F.least(F.col("cantidad") * 1_000_000, F.lit(1e17)).cast("long"), 18)).cast("decimal(38,0)")
-        return rows.groupBy(*key).agg(*[F.min_by(c, place).alias(c) for c in rest]).select(*rows.columns)
-    first = rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("r"))
-    return first.select(*key, "r.*").select(*rows.columns)
+    return smallest(rows, key, rest).select(*rows.columns)
+
+
+def smallest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The smallest row of every key by ``order``, which names all other columns; nulls come first.
+
+    One column is decided after the other, from the last on: the smallest value of a column among rows that agree in all
+    columns before it, and what belongs to that value. Every step is a hash aggregation that combines map-side, whatever the types of
+    the columns, so raw rows are never sorted and a key repeated very often moves as one row a task.
+    """
+    if not order:
+        return rows.select(*key).distinct()
+    for i in range(len(order) - 1, -1, -1):
+        column, later = order[i], order[i + 1:]
+        by = [*key, *order[:i]]
+        # a null is the smallest: where one was seen its row counts, else the row of the minimum
+        rows = rows.groupBy(*by).agg(
+            F.min(column).alias(column), F.max(F.col(column).isNull()).alias("_nulo"),
+            *[F.min_by(c, column).alias(c) for c in later],
+            *[F.max(F.when(F.col(column).isNull(), F.col(c))).alias(f"_{c}") for c in later])
+        rows = rows.select(
+            *by, F.when(~F.col("_nulo"), F.col(column)).alias(column),
+            *[F.when(F.col("_nulo"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in later])
+    return rows
+
+
+class Repairs:
+    """Counts that the cleaning pass takes along; known after an action on the cleaned frame."""
+
+    def __init__(self) -> None:
+        self.read, self.kept = Observation(), Observation()
+
+    def get(self) -> dict[str, int]:
+        read, kept = self.read.get, self.kept.get
+        return {"fechas_invalidas": read["i"], "cantidades_nulas": read["n"], "cantidades_negativas": read["g"],
+                "duplicados": read["v"] - kept["k"]}
+
+
+def clean_observed(raw: DataFrame, tie_break: list[str] | None = None) -> tuple[DataFrame, Repairs]:
+    """``clean``, and the counts of ``cleaning_warnings`` from the same pass: the facts are scanned and shuffled once."""
+    found, valid = Repairs(), ~F.col("fecha_invalida")
+    rows = parsed(raw).observe(
+        found.read, F.count(F.when(~valid, 1)).alias("i"), F.count(F.when(valid, 1)).alias("v"),
+        F.count(F.when(valid & F.col("nulo"), 1)).alias("n"), F.count(F.when(valid & F.col("negativo"), 1)).alias("g"))
+    return _first(rows, tie_break).observe(found.kept, F.count(F.lit(1)).alias("k")), found
 
 
 def cleaning_warnings(raw: DataFrame) -> DataFrame:

@@ -256,10 +256,11 @@ def active_alerts(wh, limit: int = 50, kind: str | None = None, level: str | Non
 
 
 def current_states(changes: DataFrame) -> DataFrame:
-    """Latest state per alert from the append-only log of changes; of several at the same moment the
-    last in the order of states counts, so that the result does not depend on the order of rows."""
+    """Latest state per alert from the append-only log of changes; of several at the same moment the last in the order of
+    ``K.STATES`` counts (names that are not listed come before, by name), so that the result does not depend on the order of rows."""
+    place = F.array_position(F.array(*[F.lit(s) for s in K.STATES]), F.col("estado"))
     return changes.groupBy("id_alerta").agg(
-        F.max_by("estado", F.struct("momento", "estado")).alias("estado"), F.max("momento").alias("momento"), F.count("*").alias("cambios"))
+        F.max_by("estado", F.struct("momento", place.alias("lugar"), "estado")).alias("estado"), F.max("momento").alias("momento"), F.count("*").alias("cambios"))
 
 
 def counts_by_level(alerts: DataFrame) -> DataFrame:

@@ -1,11 +1,15 @@
 """Stored experiment runs, saved models and the tables derived from them.
 
-Everything is append-only Parquet. A run counts only once its manifest row exists, and the
-manifest is written last, so a job that dies half way leaves no visible run.
+Everything is append-only Parquet. Every attempt to store a run writes its rows under an id of its own; the manifest, written last, names the
+attempt that counts. A job that dies half way leaves rows that nobody reads, a repetition stands alone, and of two
+writers of one run the one that ends last counts.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Mapping
+
 from pyspark.errors import AnalysisException
 from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
@@ -51,22 +55,27 @@ def test_rows(run_id: str, tests: DataFrame) -> DataFrame:
     return tests.withColumn("run_id", F.lit(run_id)).withColumn("id_ejecucion", run_key(run_id))
 
 
-def save_run(root: str, run_id: str, result: dict[str, DataFrame], criterion: str) -> None:
-    """Append the four tables of a run, then its manifest row."""
-    spark = result["series"].sparkSession
+def save_run(root: str, run_id: str, result: Mapping[str, DataFrame], criterion: str) -> str:
+    """Write the four tables of a run under a new attempt, then the manifest row that makes it count. Returns the attempt."""
+    spark, attempt = result["series"].sparkSession, f"i-{uuid.uuid4().hex}"
     frames = (run_rows(run_id, result["series"], result["ganadores"], criterion), model_rows(run_id, result["modelos"]),
               fold_rows(run_id, result["folds"]), test_rows(run_id, result["pruebas"]))
     for name, frame in zip(RUN_TABLES, frames):
-        frame.write.mode("append").partitionBy("run_id").parquet(f"{root}/{name}")
-    spark.range(1).select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("terminado")).write.mode("append").parquet(
-        f"{root}/manifiesto")
+        frame.withColumn("intento", F.lit(attempt)).write.mode("append").partitionBy("intento").parquet(f"{root}/{name}")
+    spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(attempt).alias("intento"), F.current_timestamp().alias("terminado")).write.mode(
+        "append").parquet(f"{root}/manifiesto")
+    return attempt
+
+
+def committed(spark: SparkSession, root: str) -> DataFrame:
+    """The attempt that counts for every run: run_id, intento."""
+    last = F.max_by("intento", F.struct("terminado", "intento"))
+    return spark.read.parquet(f"{root}/manifiesto").groupBy("run_id").agg(last.alias("intento"))
 
 
 def stored(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Rows of the runs whose manifest is complete."""
-    done = spark.read.parquet(f"{root}/manifiesto").select("run_id")
-    rows = spark.read.parquet(f"{root}/{table}").withColumn("run_id", F.col("run_id").cast("string"))
-    return rows.join(done, "run_id", "left_semi")
+    """Rows of the attempts that count; the folders of other attempts are pruned."""
+    return spark.read.parquet(f"{root}/{table}").join(committed(spark, root), ["run_id", "intento"], "left_semi").drop("intento")
 
 
 def read_back(models: DataFrame, folds: DataFrame) -> DataFrame:
