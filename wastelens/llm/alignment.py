@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from wastelens.llm import common, token_binary
 
 PATH_A, PATH_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-CACHE_PARTS = 500_000  # parts a worker remembers, some 400 bytes each
-CACHE_CHARS = 9_000_000  # and their characters
-CHUNK_PARTS = 1_000_000  # parts of a chunk's documents, 4 bytes each, unless one document alone has more
+CACHE_PARTS = 250_000  # parts a worker remembers, some 400 bytes each
+CACHE_CHARS = 5_000_000  # and their characters
+CHUNK_PARTS = 500_000  # parts of a chunk's documents, 4 bytes each, unless one document alone has more
 CHUNK_DOCS = 50_000
 SLICE = 32  # documents whose new parts are learnt together
 UNSURE = "\u180e\u200b\ufeff"  # white space to some libraries; no cut beside them
@@ -231,7 +231,7 @@ def _packed(table: Aligner, ids: list, digests: list, n_parts: list, parts: arra
     table.count(used, uses)
     times = np.repeat(uses, counts)
     totals = np.bincount(place, weights=times, minlength=len(distinct)).astype("i8")  # below 2**53 in one chunk
-    sizes = np.array(table.sizes, "<i8").reshape(-1, 4)[used].T
+    sizes = np.frombuffer(table.sizes, "i4").reshape(-1, 4)[used].T.astype("<i4")
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([
         uuid.uuid4().hex, ids, digests, n_parts, local.astype("<i4").tobytes(), sizes.tobytes(), counts.tobytes(), pairs.tobytes(),
         distinct, totals], CHUNK_KINDS, strict=True)], schema=CHUNK_KINDS)
@@ -270,7 +270,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in OUT.split(", ")]
 
     def running(values: np.ndarray) -> np.ndarray:
-        return np.concatenate([[0], np.cumsum(values)])
+        return np.concatenate([[0], np.cumsum(values, dtype="i8")])
 
     for batch in batches:
         for row in range(batch.num_rows):
@@ -278,7 +278,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             local = np.frombuffer(get("parts").as_py(), "<i4")
             counts = np.frombuffer(get("part_counts").as_py(), "<i4")
             pairs = np.frombuffer(get("part_pairs").as_py(), "<i8")
-            sizes = np.frombuffer(get("part_sizes").as_py(), "<i8").reshape(4, -1)
+            sizes = np.frombuffer(get("part_sizes").as_py(), "<i4").reshape(4, -1)
             known = get("known").values
             if known is None:
                 known = pa.array([], pa.struct([("pair", pa.int64()), ("n", pa.int64()), ("best", pa.bool_())]))
