@@ -143,6 +143,9 @@ FROM folds JOIN lineas ON categoria = serie AND fecha BETWEEN fecha_inicio_train
     "m13_holdout_predictions": sql("SELECT serie, modelo, fecha, round(y, 4) AS y, round(yhat, 4) AS yhat, round(previo, 4) AS previo FROM pred", PRED),
     "m16_window_search": sql("""SELECT serie, arg_min(ventana, (mae, ventana)) AS ventana, min(mae) AS mae FROM tpuntos GROUP BY 1""", TUNE),
     "m18_fold_predictions": sql("SELECT serie, fold, modelo, fecha, round(y, 4) AS y, round(yhat, 4) AS yhat, round(previo, 4) AS previo FROM fpred", FOLDS),
+    "m14_user_model": sql("""SELECT f.serie, f.fold, 'propio' AS modelo, CASE WHEN n_train >= 800 THEN n END AS n,
+CASE WHEN n_train >= 800 THEN mae END AS mae, CASE WHEN n_train < 800 THEN 'historia corta' END AS error
+FROM fpuntos AS f JOIN folds USING (serie, fold) WHERE f.modelo = 'media_7'""", FSCORES),
     "w10_model_ranking": sql("SELECT serie, modelo, mae, posicion FROM rank", BEST),
     "w11_winners": sql("SELECT serie, ganador FROM mejor", BEST),
     "w13_friedman_ranks": sql("SELECT serie, modelo, fecha, rango FROM fr", BEST + "," + friedman("err", "serie")),

@@ -410,3 +410,21 @@ def test_folds_and_candidates_share_their_fits(make_series):
         folds.train.filter(F.col("fold") == i), folds.heads.filter(F.col("fold") == i), ["serie", "fold"], **model).collect()]
     key = lambda r: (r["serie"], r["fold"], r["paso"])
     assert [r["yhat"] for r in sorted(together, key=key)] == pytest.approx([r["yhat"] for r in sorted(alone, key=key)])
+
+
+def test_a_poisoned_series_fails_alone(make_series):
+    """An exception of the user's function is the failure of one series; wrong lengths and tuples are handled too."""
+    def model(train, days):
+        if train["cantidad"].max() > 900:
+            raise ValueError("serie envenenada")
+        return [float(train["cantidad"].mean())] * len(days), {"mae": 0.0}, {}
+
+    rows = make_series(a=WEEKLY, malo=[*WEEKLY[:-20], 1000.0, *WEEKLY[-19:]], b=WEEKLY + 1)
+    models = {"propio": experiment.user_model(model), "corto": experiment.user_model(lambda train, days: [1.0]), "tendencia": trend.fit_predict}
+    compared = experiment.compare(rows, models)
+    got = {(r["serie"], r["modelo"]): r for r in compared.scores.collect()}
+    assert len(got) == 9 and got["malo", "propio"]["error"] == "serie envenenada" and got["malo", "propio"]["posicion"] is None
+    assert all(got[s, "propio"]["mae"] is not None for s in "ab") and all(got[s, "tendencia"]["mae"] is not None for s in ("a", "malo"))
+    assert all("values for" in got[s, "corto"]["error"] for s in ("a", "b", "malo"))
+    folds = {(r["serie"], r["fold"]): r["error"] for r in experiment.walk_forward(rows, {"propio": models["propio"]}, 2).collect()}
+    assert folds["a", 1] is None and folds["malo", 2] == "serie envenenada"

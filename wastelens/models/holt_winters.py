@@ -1,18 +1,23 @@
 """Exponential smoothing with additive (damped) trend and additive weekly season.
 
-The recursion is a fold over the ordered daily values of a key (at most the days of the
-calendar) that carries one state per parameter candidate; the smallest squared error wins and is
-refined between its neighbours."""
+One row holds the ordered daily values of a key (at most the days of the calendar). A fit takes many such rows at a time: the
+states of all series and parameter candidates of a block are arrays, and one loop runs over the days. The smallest squared
+error wins and is refined between its neighbours. For given parameters the same recursion is a fold in SQL (``smoothed``)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PERIOD = 7
 REFINE = 3
+DAMPED_FROM = 30  # values
+BLOCK = 256  # series whose states are held together
 ALPHAS, BETAS, GAMMAS, PHIS = (0.05, 0.2, 0.5), (0.01, 0.1), (0.05, 0.2), (0.9, 0.98)
 
 
@@ -64,50 +69,93 @@ def smoothed(series: DataFrame, alpha: Column, beta: Column, gamma: Column, phi:
     return rows.withColumn("f", fold).drop("l0", "b0", "s0", "estacional")
 
 
-def candidates(damped: Column | bool | None = None) -> Column:
-    """Parameter grid of a row: damped from 30 values on (or as told), else a full trend."""
-    def grid(phis):
-        return F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g"), F.lit(p).alias("p"))
-                         for a, b, g, p in product(ALPHAS, BETAS, GAMMAS, phis)])
+def run_block(y: np.ndarray, n: np.ndarray, start: tuple, grid: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Level, slope, season and squared error of every series and candidate.
 
-    flag = F.size("y") >= 30 if damped is None else (F.lit(damped) if isinstance(damped, bool) else damped)
-    return F.when(flag, grid(PHIS)).otherwise(grid((1.0,)))
-
-
-def _best(rows: DataFrame, grid: Column) -> DataFrame:
-    """Add ``m``: the parameters and final state with the smallest squared error, ties to the smaller parameters.
-
-    One fold over the values carries the states of all candidates, so a history is held once.
+    ``y`` (series, days) is filled to the longest, the series stand by falling length ``n``; ``start`` is (level, slope, season) per
+    series, ``grid`` (4, series, candidates) holds alpha, beta, gamma and phi.
     """
-    rows = rows.withColumn("grid", grid).withColumn("grid", F.transform("grid", lambda c: F.struct(
-        c["a"].alias("a"), c["b"].alias("b"), F.when(F.col("estacional"), c["g"]).otherwise(F.lit(0.0)).alias("g"), c["p"].alias("p"))))
-    states = F.aggregate(
-        "y", F.transform("grid", lambda c: _zero()),
-        lambda acc, v: F.zip_with(acc, F.col("grid"), lambda state, c: _step(state, v, c["a"], c["b"], c["g"], c["p"])))
-    runs = F.zip_with(F.col("grid"), states, lambda c, state: F.struct(
-        state["sse"].alias("sse"), c["a"].alias("alpha"), c["b"].alias("beta"), c["g"].alias("gamma"), c["p"].alias("phi"),
-        state["l"].alias("l"), state["b"].alias("b"), state["s"].alias("s")))
-    return rows.withColumn("m", F.array_min(runs)).drop("grid")
-
-
-def _around(reach: float) -> Column:
-    """Candidates around the best one: each parameter as it is, smaller or larger, all within their bounds."""
-    def near(name: str, low: float, high: float) -> list[Column]:
-        value = F.col(f"m.{name}")
-        return [F.greatest(F.lit(low), F.least(F.lit(high), value * (1 + step))) for step in (-reach, 0.0, reach)]
-
-    phis = lambda value: F.when(value < 1, F.least(F.lit(0.995), value)).otherwise(value)
-    return F.array(*[
-        F.struct(a.alias("a"), b.alias("b"), g.alias("g"), phis(F.col("m.phi")).alias("p"))
-        for a, b, g in product(near("alpha", 0.001, 0.999), near("beta", 0.0001, 0.999), near("gamma", 0.0001, 0.999))])
+    alpha, beta, gamma, phi = grid
+    shape = alpha.shape
+    level, slope = (np.repeat(v[:, None], shape[1], 1) for v in start[:2])
+    season = [np.repeat(start[2][:, i, None], shape[1], 1) for i in range(PERIOD)]
+    sse = np.zeros(shape)
+    for t in range(y.shape[1]):
+        k = int(np.searchsorted(-n, -t, side="left"))  # series longer than t
+        v, a, b, g, p = y[:k, t, None], alpha[:k], beta[:k], gamma[:k], phi[:k]
+        s = season[t % PERIOD][:k]
+        old = level[:k].copy()
+        base = old + p * slope[:k]
+        error = v - base - s
+        level[:k] = a * (v - s) + (1 - a) * base
+        slope[:k] = b * (level[:k] - old) + (1 - b) * p * slope[:k]
+        season[t % PERIOD][:k] = g * (v - base) + (1 - g) * s
+        sse[:k] += error * error
+    places = (n[:, None] + np.arange(PERIOD)) % PERIOD  # oldest first
+    stacked = np.stack(season, 2)
+    return level, slope, np.take_along_axis(stacked, np.repeat(places[:, None, :], shape[1], 1), 2), sse
+
+
+def _coarse(damped: np.ndarray) -> np.ndarray:
+    """The first grid of every series: two damped slopes or the full one, which then stands twice."""
+    rows = np.array(list(product(ALPHAS, BETAS, GAMMAS, range(len(PHIS)))))
+    grid = np.repeat(rows.T[:, None, :], len(damped), 1)
+    grid[3] = np.where(damped[:, None], np.array(PHIS)[rows[:, 3].astype(int)], 1.0)
+    return grid
+
+
+def _around(best: np.ndarray, reach: float) -> np.ndarray:
+    """Candidates around the best one (4, series): each parameter as it is, smaller or larger, all within their bounds."""
+    bounds = ((0.001, 0.999), (0.0001, 0.999), (0.0001, 0.999))
+    near = [[np.clip(v * (1 + step), *limit) for step in (-reach, 0.0, reach)] for v, limit in zip(best, bounds)]
+    phi = np.where(best[3] < 1, np.minimum(0.995, best[3]), best[3])
+    return np.stack([np.stack([a, b, g, phi]) for a, b, g in product(*near)], 2)
+
+
+def _fitter(damped: bool | None, refine: int, names: list[str]):
+    def fit_block(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("y")
+        n = np.asarray(lists.value_lengths().to_pylist(), "i8")
+        order = np.argsort(-n, kind="stable")
+        batch, n = batch.take(pa.array(order)), n[order]
+        y = np.zeros((len(n), int(n.max(initial=0))))
+        for i, values_ in enumerate(batch.column("y")):
+            y[i, :n[i]] = np.array(values_.as_py(), "f8")
+        start = (*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("l0", "b0")), np.array(batch.column("s0").to_pylist(), "f8"))
+        seasonal = batch.column("estacional").to_numpy(zero_copy_only=False).astype(bool)
+        best = None
+        for i in range(refine + 1):
+            grid = _coarse(n >= DAMPED_FROM if damped is None else np.full(len(n), damped)) if best is None else _around(best, 0.5 / 2 ** (i - 1))
+            grid[2] *= seasonal[:, None]
+            level, slope, season, sse = run_block(y, n, start, grid)
+            pick = np.lexsort((*grid[::-1], sse), axis=1)[:, 0]  # smallest error, ties to the smaller parameters
+            rows = np.arange(len(n))
+            best, found = grid[:, rows, pick], (sse[rows, pick], level[rows, pick], slope[rows, pick], season[rows, pick])
+        columns = [found[0], *best, found[1], found[2]]
+        return pa.RecordBatch.from_arrays(
+            [*[batch.column(c) for c in names], *[pa.array(c) for c in columns], pa.array(found[3].tolist(), pa.list_(pa.float64())),
+             pa.array(n.astype("i4"))], names=[*names, "sse", "alpha", "beta", "gamma", "phi", "l", "b", "s", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                yield fit_block(batch.slice(at, BLOCK))
+
+    return run
 
 
 def fit(train: DataFrame, keys: list[str], damped: bool | None = None, seasonal: bool = True, refine: int = REFINE) -> DataFrame:
-    """The best candidate per key with its final state: a coarse grid, then ``refine`` rounds of ever closer neighbours."""
-    rows = _best(started(values(train, keys), seasonal), candidates(damped))
-    for i in range(refine):
-        rows = _best(rows.withColumnRenamed("m", "previo").withColumn("m", F.col("previo")), _around(0.5 / 2**i)).drop("previo")
-    return rows.select(*keys, "m.*", F.size("y").alias("n"), "fin")
+    """The best candidate per key with its final state: a coarse grid, then ``refine`` rounds of ever closer neighbours.
+
+    The trend is damped from ``DAMPED_FROM`` values on, or as told."""
+    rows = started(values(train, keys), seasonal)
+    names = [*keys, "fin"]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names)
+    order = [f.name for f in rows.schema.fields if f.name in names]
+    fitted = rows.mapInArrow(
+        _fitter(damped, refine, order),
+        f"{kept}, sse double, alpha double, beta double, gamma double, phi double, l double, b double, s array<double>, n int")
+    return fitted.select(*keys, "sse", "alpha", "beta", "gamma", "phi", "l", "b", "s", "n", "fin")
 
 
 def forecast(fitted: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:

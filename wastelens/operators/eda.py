@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
-from itertools import combinations_with_replacement
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from wastelens.functions.scalar import weekday_name
 from wastelens.operators import cleaning
 
 CORRELATED = ["cantidad", "precio", "dia_semana", "mes", "es_finde", "clima", "evento", "ventas_7d"]
+KNOWN = [c for c in CORRELATED if c != "precio"]  # never null in feature rows
 
 
 def quartiles(series: DataFrame) -> DataFrame:
@@ -94,23 +96,35 @@ def by_month(series: DataFrame, min_days: int = 60) -> DataFrame:
         "serie", "mes", F.round("m", 4).alias("demanda_promedio"), F.round("s", 2).alias("demanda_total"), "n")
 
 
-def correlations(rows: DataFrame, by: str, columns: list[str] | None = None) -> DataFrame:
-    """Pearson matrix per group in long form over pairwise complete rows, null where a variable is constant.
+def correlations(rows: DataFrame, by: str, columns: list[str] | None = None, complete: Collection[str] = ()) -> DataFrame:
+    """Pearson matrix per group in long form over pairwise complete rows, null where a variable is constant there.
 
-    One pass of built-in aggregates, whose co-moments merge map-side; those of a constant are exactly zero.
+    One pass of built-in aggregates, whose co-moments merge map-side; those of a constant are exactly zero. ``complete`` names
+    columns that hold no null: beside one, the other's spread is that of all its rows and is taken once for all such pairs. The diagonal is 1.
     """
     names = columns or CORRELATED
-    pairs = list(combinations_with_replacement(range(len(names)), 2))
     x = [F.col(c).cast("double") for c in names]
+    spreads: dict[str, Column] = {}
 
-    def pearson(a, b):
-        both = a.isNotNull() & b.isNotNull()
-        spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
-        return F.covar_pop(a, b) / F.when(spread > 0, spread)
+    def spread(i: int, j: int) -> Column:
+        """Of variable i on the rows where j is known."""
+        whole = i == j or names[j] in complete
+        name = f"s{i}" if whole else f"s{i}_{j}"
+        spreads[name] = F.stddev_pop(x[i] if whole else F.when(x[j].isNotNull(), x[i])).alias(name)
+        return F.col(name)
+
+    pairs = {(i, j): spread(i, j) * spread(j, i) for i, j in combinations(range(len(names)), 2)}
+    diagonal = [spread(i, i) for i in range(len(names))]
+    sums = rows.groupBy(by).agg(*[F.covar_pop(x[i], x[j]).alias(f"r{i}_{j}") for i, j in pairs], *spreads.values())
+
+    def cell(i: int, j: int) -> Column:
+        if i == j:
+            return F.when(diagonal[i] > 0, F.lit(1.0))
+        both = pairs[min(i, j), max(i, j)]
+        return F.col(f"r{min(i, j)}_{max(i, j)}") / F.when(both > 0, both)
 
-    sums = rows.groupBy(by).agg(*[pearson(x[i], x[j]).alias(f"r{i}_{j}") for i, j in pairs])
     cells = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{min(i, j)}_{max(i, j)}").alias("r"))
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), cell(i, j).alias("r"))
         for i, a in enumerate(names) for j, b in enumerate(names)])
     value = F.round(F.col("c.r"), 4)
     return sums.select(F.col(by).alias("serie"), F.explode(cells).alias("c")).select(
@@ -174,5 +188,5 @@ def complete_bundle(lines: DataFrame, series: DataFrame, features: DataFrame, by
         ("duplicados", cleaning.duplicate_count(lines, [by]).withColumnRenamed(by, "serie"), []),
         ("descriptivas", descriptive(series), []), ("atipicos", outliers(series), []), ("dia_semana", by_weekday(series), ["dia_semana"]),
         ("mes", by_month(series), ["mes"]), ("histograma", histogram(series), ["bin"]),
-        ("correlaciones", correlations(features, by), ["variable_a", "variable_b"]), ("codigos", code_counts(features, by), ["variable", "codigo"])]
+        ("correlaciones", correlations(features, by, complete=KNOWN), ["variable_a", "variable_b"]), ("codigos", code_counts(features, by), ["variable", "codigo"])]
     return reduce(DataFrame.unionByName, [tall(frame, name, keys) for name, frame, keys in parts])

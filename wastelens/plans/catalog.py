@@ -154,7 +154,7 @@ SERIES: dict[str, Callable[..., DataFrame]] = {
     "a26_histogram": lambda wh: eda.histogram(_daily(wh)),
     "a27_by_weekday": lambda wh: eda.by_weekday(_daily(wh)),
     "a28_by_month": lambda wh: eda.by_month(_daily(wh)),
-    "a29_correlations": lambda wh: eda.correlations(_features(wh), "categoria"),
+    "a29_correlations": lambda wh: eda.correlations(_features(wh), "categoria", complete=eda.KNOWN),
     "a30_code_counts": lambda wh: eda.code_counts(_features(wh), "categoria"),
     "a31_coverage": lambda wh: eda.coverage(listing.sales_lines(wh), "categoria"),
     "a34_signature": lambda wh: series.signature(common.dated_lines(wh), ["id_plato"]),

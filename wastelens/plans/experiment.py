@@ -7,10 +7,11 @@ the driver run over the short lists of models and of the candidates of closed-fo
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import cache, partial, reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,7 +62,8 @@ def predict_all(train: DataFrame, heads: DataFrame, keys: list[str], models: dic
     for name, fit_predict in models.items():
         try:
             rows = fit_predict(train, heads, keys)
-            rows = cut_lineage(rows if named else rows.withColumn("modelo", F.lit(name)), "modelo")
+            rows = rows if named else rows.withColumn("modelo", F.lit(name))
+            rows = cut_lineage(rows if "fallo" in rows.columns else rows.withColumn("fallo", F.lit(None).cast("string")), "modelo")
         except Exception as exc:  # a failing model must not stop the comparison
             failures[name] = str(exc)[:ERROR_LENGTH]
             continue
@@ -69,14 +71,27 @@ def predict_all(train: DataFrame, heads: DataFrame, keys: list[str], models: dic
     return out, failures
 
 
-def full_scores(scores: DataFrame, ids: DataFrame, models: list[str], failures: dict[str, str], keys: list[str]) -> DataFrame:
-    """One row per key and model: failed ones keep null metrics and say why."""
+def split_failures(forecasts: DataFrame | None, keys: list[str]) -> tuple[DataFrame | None, DataFrame | None]:
+    """Forecasts, and one message per key and model whose own fit failed."""
+    if forecasts is None:
+        return None, None
+    failed = forecasts.filter(F.col("fallo").isNotNull()).groupBy(*keys, "modelo").agg(F.min("fallo").alias("fallo"))
+    return forecasts.filter(F.col("fallo").isNull()).drop("fallo"), failed
+
+
+def full_scores(scores: DataFrame, ids: DataFrame, models: list[str], failures: dict[str, str], keys: list[str],
+                failed: DataFrame | None = None) -> DataFrame:
+    """One row per key and model: failed ones keep null metrics and say why. ``failed`` has messages of single keys."""
     names = F.explode(F.array(*[F.lit(m) for m in models]))
     message = F.lit(NO_FORECAST)
     for name, text in failures.items():
         message = F.when(F.col("modelo") == name, F.lit(text)).otherwise(message)
     grid = ids.select(*keys).withColumn("modelo", names)
-    return grid.join(scores, [*keys, "modelo"], "left").withColumn("error", F.when(F.col("mae").isNull(), message))
+    if failed is not None:
+        grid = grid.join(failed, [*keys, "modelo"], "left")
+        message = F.coalesce(F.col("fallo"), message)
+    rows = grid.join(scores, [*keys, "modelo"], "left").withColumn("error", F.when(F.col("mae").isNull(), message))
+    return rows.drop("fallo")
 
 
 def no_scores(series: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,11 +109,12 @@ def compare(series: DataFrame, models: dict[str, FitPredict] | None = None, min_
     test = split.filter("es_test")
     heads = test.groupBy("serie").agg(F.count("*").cast("int").alias("h"))
     forecasts, failures = predict_all(train, heads, ["serie"], models)
+    forecasts, failed = split_failures(forecasts, ["serie"])
     if forecasts is None:
         forecasts = series.sparkSession.createDataFrame([], "serie string, paso int, yhat double, modelo string")
     joined = forecasts.join(actuals(test, ["serie"]), ["serie", "paso"]).select("serie", "modelo", "fecha", "y", "yhat", "previo")
     predictions = cut_lineage(joined, "pronosticos")
-    scores = full_scores(metrics.score(predictions, ["serie", "modelo"]), heads, list(models), failures, ["serie"])
+    scores = full_scores(metrics.score(predictions, ["serie", "modelo"]), heads, list(models), failures, ["serie"], failed)
     ranked = metrics.ranked(scores, ["serie"])
     return Comparison(predictions, ranked, ranked.filter("posicion = 1"), failures)
 
@@ -113,7 +129,9 @@ def future(series: DataFrame, best: DataFrame, horizon: int = 7, models: dict[st
         heads = own.groupBy("serie").agg(F.max("fecha").alias("fin")).withColumn("h", F.lit(horizon))
         if name in TREES and own.isEmpty():
             continue
-        rows = fit_predict(own, heads, ["serie"]).join(heads.select("serie", "fin"), "serie").select(
+        rows = fit_predict(own, heads, ["serie"])
+        rows = rows.filter("fallo IS NULL") if "fallo" in rows.columns else rows
+        rows = rows.join(heads.select("serie", "fin"), "serie").select(
             "serie", F.lit(name).alias("modelo"), F.date_add("fin", F.col("paso").cast("int")).alias("fecha"), "yhat")
         out = rows if out is None else out.unionByName(rows)
     return plan.production_plan(out, best, ["serie", "modelo"])
@@ -138,11 +156,12 @@ def time_folds(series: DataFrame, k: int = 5) -> Folds:
 
 
 def _fold_scores(folds: Folds, forecasts: DataFrame | None, models: list[str], failures: dict[str, str]) -> DataFrame:
+    forecasts, failed = split_failures(forecasts, Folds.KEYS)
     if forecasts is None:
         scored = no_scores(folds.table, Folds.KEYS)
     else:
         scored = metrics.score(forecasts.join(folds.scored, [*Folds.KEYS, "paso"]), [*Folds.KEYS, "modelo"])
-    return full_scores(scored, folds.table, models, failures, Folds.KEYS).join(folds.table.drop("k"), Folds.KEYS)
+    return full_scores(scored, folds.table, models, failures, Folds.KEYS, failed).join(folds.table.drop("k"), Folds.KEYS)
 
 
 def walk_forward(series: DataFrame, models: dict[str, FitPredict] | None = None, k: int = 5) -> DataFrame:
@@ -158,6 +177,39 @@ def walk_forward(series: DataFrame, models: dict[str, FitPredict] | None = None,
     return _fold_scores(folds, forecasts, list(models), failures)
 
 
+# ---- models of the user ----
+UserModel = Callable[[pd.DataFrame, pd.DataFrame], "tuple | Sequence[float]"]
+
+
+def user_model(function: UserModel) -> FitPredict:
+    """A model from a plain function of (training rows, days to forecast), which returns the values or (values, ...).
+
+    It is called once per series (and fold) with daily rows in order of date, side by side on the executors; the days carry no
+    values. What one call raises is the failure of that series alone and stands in its row of the scores.
+    """
+    def fit_predict(train: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
+        rows = train.select(*keys, "fecha", F.col("cantidad").cast("double").alias("cantidad")).join(heads.select(*keys, "h"), keys)
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
+        order = [f.name for f in rows.schema.fields if f.name in keys]
+
+        def one(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("fecha")
+            ids, h = group[order].iloc[0].to_dict(), int(group["h"].iloc[0])
+            days = pd.DataFrame({"fecha": pd.date_range(group["fecha"].iloc[-1], periods=h + 1)[1:].date})
+            try:
+                found = function(group[["fecha", "cantidad"]].reset_index(drop=True), days)
+                values = [float(v) for v in (found[0] if isinstance(found, tuple) else found)]
+                if len(values) != h:
+                    raise ValueError(f"{len(values)} values for {h} days")
+            except Exception as exc:  # the failure of this group
+                return pd.DataFrame([{**ids, "paso": 1, "yhat": None, "fallo": (str(exc) or type(exc).__name__)[:ERROR_LENGTH]}])
+            return pd.DataFrame([{**ids, "paso": i, "yhat": v, "fallo": None} for i, v in enumerate(values, 1)])
+
+        return rows.groupBy(*keys).applyInPandas(one, f"{kinds}, paso int, yhat double, fallo string")
+
+    return fit_predict
+
+
 # ---- hyper-parameter search ----
 def search_grid(spark: SparkSession, space: dict[str, list]) -> DataFrame:
     """Every combination of the space, one row each, as JSON."""
@@ -197,9 +249,10 @@ def tune(series: DataFrame, model: str, n: int = 4, seed: int = 42, space: dict[
     combos = sample_space(series.sparkSession, space or SEARCH_SPACES[model], n, seed)
     named = {json.dumps(c, sort_keys=True): _configured(model, c) for c in combos}
     forecasts, failures = predict_all(train, heads, ["serie"], named)
+    forecasts, failed = split_failures(forecasts, ["serie"])
     scored = no_scores(series, ["serie"]) if forecasts is None else metrics.score(
         forecasts.join(actuals(val, ["serie"]), ["serie", "paso"]), ["serie", "modelo"])
-    rows = metrics.ranked(full_scores(scored, heads, list(named), failures, ["serie"]), ["serie"])
+    rows = metrics.ranked(full_scores(scored, heads, list(named), failures, ["serie"], failed), ["serie"])
     return rows.select("serie", F.lit(model).alias("modelo"), F.col("modelo").alias("hiperparametros"), "mae", "rmse", "error",
                        F.coalesce(F.col("posicion") == 1, F.lit(False)).alias("mejor"))
 

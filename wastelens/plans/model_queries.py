@@ -137,6 +137,19 @@ def folds(wh) -> DataFrame:
     return experiment.walk_forward(daily_table(wh))
 
 
+def last_week(train, days) -> tuple:
+    """A model as a user writes one: the mean of the last seven values, from 800 days of history on."""
+    if len(train) < 800:
+        raise ValueError("historia corta")
+    return [train["cantidad"].tail(7).mean()] * len(days), {}, {"dias": len(train)}
+
+
+def user_folds(wh) -> DataFrame:
+    """Walk-forward scores of a user's function; folds that it refuses keep their rows and say why."""
+    rows = experiment.walk_forward(daily_table(wh), {"propio": experiment.user_model(last_week)})
+    return rows.select("serie", "fold", "modelo", "n", "mae", "error")
+
+
 def tuned_smoothing(wh) -> DataFrame:
     return experiment.tune(daily_table(wh), "holt_winters")
 
@@ -351,6 +364,7 @@ MODELS: dict[str, Callable[..., DataFrame]] = {
     "m12_three_models": three_models,
     "m13_five_models": five_models,
     "m13_future_plan": future_plan,
+    "m14_user_model": user_folds,
     "m16_tuned_smoothing": tuned_smoothing,
     "m18_walk_forward": folds,
     "m19_experiment_tests": experiment_tests,
