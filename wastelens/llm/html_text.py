@@ -2,7 +2,9 @@
 
 * Pages are read into elements as a browser would nest them, as far as text needs it: void elements, elements whose end is implied, raw
   text, end tags without a start. Scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts and reader comments
-  go, by element, role, or a word of class or id. Where a page has an article or a main element, only text inside counts.
+  go, by element, role, or a class or id that consists of such names alone (``ad``, ``site-footer``; not ``no-sidebar`` or ``entry-header``).
+  A class, id or role never takes an element that holds the article, or, on a page without one, most of its running text.
+  Where a page has an article or a main element, only text inside counts. Raw elements without an end do not swallow the page.
 * Template removal: every element outside running text is hashed with all it holds; Spark counts on how many different
   pages of its host each hash occurs, and subtrees on at least ``MIN_PAGES`` and ``MIN_SHARE`` of them are deleted.
   Copies of one page count once, and blocks of running text inside an article are never taken for a template, so that passages
@@ -30,18 +32,21 @@ from wastelens.llm import common
 MIN_PAGES = 5
 MIN_SHARE = 0.5
 TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<(/?)([A-Za-z][^\s/>]*+)([^<>]*+)\Z""", re.S)
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<(/?)([A-Za-z][^\s/>]*+)([^<>]*+)\Z""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']++)\s*+(?:=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
-NAMES = re.compile("[a-z0-9]+")
+NAMES = re.compile("[a-z]+")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe noframes noembed template svg math object".split())
-GONE = set("""head nav header footer aside form button select option label fieldset menu dialog canvas audio video
-    figcaption applet frameset""".split()) | RAW
+RAW = set("script style textarea title noscript iframe noframes noembed template svg".split())
+ENDLESS = {"script", "style", "textarea", "title"}  # without an end they take the rest of the page, as in a browser; the other raw ones are skipped
+GONE = set("head nav header footer aside form button select option label fieldset menu frameset".split()) | RAW
 GONE_NAMES = set("""ad ads adv advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored sponsors promo
     promoted promotion cookie cookies consent gdpr notice notices alert alerts sidebar sidebars menu menus nav navbar navigation
     breadcrumb breadcrumbs comment comments disqus respond share sharing social newsletter subscribe subscription signup login
     related recommended footer header masthead popup modal overlay widget widgets pagination pager toolbar copyright disclaimer""".split())
+BESIDE = set("""site global top bottom left right primary secondary box block area container wrapper wrap list links link bar section item items
+    slot unit inner outer row col column group panel""".split())  # may stand beside a name without changing what it means
+READERS = {"comment", "comments", "disqus", "respond"}
 GONE_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 BLOCK = set("""address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4
     h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
@@ -54,30 +59,72 @@ SCOPE = {"table", "ul", "ol", "dl", "html", "body", "article", "main", "section"
 
 
 class Element:
-    __slots__ = ("tag", "parent", "gone", "inside", "parts")
+    __slots__ = ("tag", "parent", "mark", "gone", "inside", "parts")
 
-    def __init__(self, tag: str, parent: Element | None, gone: bool, inside: bool):
-        self.tag, self.parent, self.gone, self.inside = tag, parent, gone, inside
+    def __init__(self, tag: str, parent: Element | None, mark: str | None, inside: bool):
+        self.tag, self.parent, self.mark, self.inside = tag, parent, mark, inside
+        self.gone = False  # set by settle
         self.parts: list[Element | str] = []  # children and raw text in order
 
 
-def is_gone(tag: str, attributes: str) -> bool:
+def is_name(token: str) -> str | None:
+    """``readers``, ``name`` or None: whether a class or id consists of listed names, and words that may stand beside them, alone."""
+    words = set(NAMES.findall(token))
+    if not words & GONE_NAMES or words - GONE_NAMES - BESIDE:
+        return None
+    return "readers" if words & READERS else "name"
+
+
+def mark_of(tag: str, attributes: str) -> str | None:
+    """Why an element goes: ``element`` (surely), ``readers`` or ``name`` (unless it holds what the page is about), or None."""
     if tag in GONE:
-        return True
+        return "element"
     if not attributes or tag in ("html", "body") or tag in MAIN and "comment" not in attributes.lower():
-        return False
+        return None
+    found = None
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and GONE_NAMES.intersection(NAMES.findall(value)):
-            return True
-        if name == "role" and value.strip() in GONE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return "element"
+        if name in ("class", "id"):
+            for kind in filter(None, map(is_name, value.split())):
+                found = "readers" if "readers" in (kind, found) else "name"
+        elif name == "role" and value.strip() in GONE_ROLES:
+            found = found or "name"
+    return found
+
+
+def settle(root: Element) -> Element:
+    """Decide which elements go: a marked one with all it holds, unless only its name speaks against it and it holds the article,
+    or, where no article is left, more than half of the page's running text (reader comments go whatever their size)."""
+    order, stack, running = [], [root], {id(None): False}
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        running[id(x)] = x.tag in RUNNING or running[id(x.parent)]
+        stack.extend(p for p in x.parts if isinstance(p, Element))
+    main, size = {}, {}
+    for x in reversed(order):
+        below = [p for p in x.parts if isinstance(p, Element)]
+        if x.mark == "element":
+            main[id(x)], size[id(x)] = False, 0
+            continue
+        main[id(x)] = x.tag in MAIN and x.mark is None or any(main[id(p)] for p in below)
+        size[id(x)] = sum(size[id(p)] for p in below) + (
+            sum(len(p.strip()) for p in x.parts if isinstance(p, str)) if running[id(x)] else 0)
+    for x in order:
+        holds = main[id(x)] if main[id(root)] else x.mark != "readers" and 2 * size[id(x)] > size[id(root)]
+        x.gone = (x.parent is not None and x.parent.gone) or x.mark == "element" or x.mark is not None and not holds
+    return root
 
 
 def parse(page: str) -> Element:
-    root = node = Element("", None, False, False)
-    at = 0
+    return settle(_read(page))
+
+
+def _read(page: str) -> Element:
+    root = node = Element("", None, None, False)
+    at, ends, endless = 0, {}, set()
     while True:
         m = TAG.search(page, at)
         if m is None or m.start() > at:
@@ -94,15 +141,22 @@ def parse(page: str) -> Element:
             continue
         node = _imply(node, tag)
         if tag in VOID:
-            node.parts.append(Element(tag, node, False, node.inside))
+            node.parts.append(Element(tag, node, None, node.inside))
             continue
         attributes = m[3] or m[6] or ""
-        child = Element(tag, node, node.gone or is_gone(tag, attributes), node.inside or tag in MAIN)
+        child = Element(tag, node, mark_of(tag, attributes), node.inside or tag in MAIN)
         node.parts.append(child)
         if tag in RAW:
-            if not attributes.rstrip().endswith("/") or tag not in ("svg", "math"):
-                close = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-                at = close.end() if close else len(page)
+            if not attributes.rstrip().endswith("/") or tag != "svg":
+                if tag not in ends:
+                    ends[tag] = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I)
+                close = ends[tag].search(page, at) if tag not in endless else None
+                if close:
+                    at = close.end()
+                elif tag in ENDLESS:
+                    at = len(page)
+                else:
+                    endless.add(tag)
             continue
         node = child
 
@@ -127,6 +181,7 @@ def _end(node: Element, tag: str) -> Element:
 
 
 def clean(raw: str) -> str:
+    """Text of one piece between tags: references are decoded inside it, never across tags."""
     return " ".join(entities.unescape(raw).split())
 
 
@@ -164,7 +219,7 @@ def main_text(root: Element, template: set[int] = frozenset()) -> str:
     only_main = _has_main(root)
 
     def flush() -> None:
-        if text := clean("".join(held)):
+        if text := " ".join("".join(held).split()):
             blocks.append(text)
         held.clear()
 
@@ -177,7 +232,7 @@ def main_text(root: Element, template: set[int] = frozenset()) -> str:
             flush()
         elif isinstance(x, tuple):
             if x[0].inside or not only_main:
-                held.append(x[1])
+                held.append(entities.unescape(x[1]))
         elif not x.gone and id(x) not in dropped:
             if x.tag == "br":
                 held.append(" ")
