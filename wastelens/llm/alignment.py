@@ -211,30 +211,46 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return _state[path_a, path_b]
 
 
-CHUNK = ("chunk string, doc_id array<long>, groups_sha256 array<string>, n_parts array<int>, parts binary, part_sizes binary, "
-         "part_counts binary, part_pairs binary, pairs array<long>, totals array<long>")
+SIZES = ["n_a", "n_b", "n_groups", "n_links"]
+CHUNK = ("chunk string, doc_id array<long>, groups_sha256 array<string>, n_parts array<int>, n_a array<long>, n_b array<long>, n_groups array<long>, "
+         "n_links array<long>, parts binary, part_counts binary, part_pairs binary, pairs array<long>, totals array<long>")
 CHUNK_KINDS = pa.schema([
     ("chunk", pa.string()), ("doc_id", pa.list_(pa.int64())), ("groups_sha256", pa.list_(pa.string())), ("n_parts", pa.list_(pa.int32())),
-    ("parts", pa.binary()), ("part_sizes", pa.binary()), ("part_counts", pa.binary()), ("part_pairs", pa.binary()),
+    *[(c, pa.list_(pa.int64())) for c in SIZES], ("parts", pa.binary()), ("part_counts", pa.binary()), ("part_pairs", pa.binary()),
     ("pairs", pa.list_(pa.int64())), ("totals", pa.list_(pa.int64()))])
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
+def _running(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(values, dtype="i8")])
+
+
+def _by_document(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the values between neighbouring ends."""
+    sums = _running(values)
+    return sums[ends[1:]] - sums[ends[:-1]]
+
+
 def _packed(table: Aligner, ids: list, digests: list, n_parts: list, parts: array) -> pa.RecordBatch:
-    """One chunk: its parts numbered anew, their sizes and linked ids, and how often every pair of ids is linked."""
-    used, local = np.unique(np.frombuffer(parts, "i4"), return_inverse=True)
+    """One chunk: sizes of its documents, its parts numbered anew by falling use, their linked ids, and how often every pair of ids is linked.
+
+    The numbers of the parts are laid out byte by byte, first all lowest bytes, so that the many small ones compress."""
+    used, local, uses = np.unique(np.frombuffer(parts, "i4"), return_inverse=True, return_counts=True)
+    table.count(used, uses)
+    sizes, ends = np.frombuffer(table.sizes, "i4").reshape(-1, 4)[np.frombuffer(parts, "i4")], _running(np.array(n_parts, "i8"))
+    order = np.argsort(-uses, kind="stable")
+    place = np.empty(len(used), "<u4")
+    place[order] = np.arange(len(used))
+    used, uses = used[order], uses[order]
     raw = [table.pairs[i] for i in used.tolist()]
     counts = np.array([len(r) // 8 for r in raw], "i4")
     pairs = np.frombuffer(b"".join(raw), "<i8")
-    distinct, place = np.unique(pairs, return_inverse=True)
-    uses = np.bincount(local, minlength=len(used))
-    table.count(used, uses)
-    times = np.repeat(uses, counts)
-    totals = np.bincount(place, weights=times, minlength=len(distinct)).astype("i8")  # below 2**53 in one chunk
-    sizes = np.frombuffer(table.sizes, "i4").reshape(-1, 4)[used].T.astype("<i4")
+    distinct, at = np.unique(pairs, return_inverse=True)
+    totals = np.bincount(at, weights=np.repeat(uses, counts), minlength=len(distinct)).astype("i8")  # below 2**53 in one chunk
+    planes = np.ascontiguousarray(place[local].view("u1").reshape(-1, 4).T)
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([
-        uuid.uuid4().hex, ids, digests, n_parts, local.astype("<i4").tobytes(), sizes.tobytes(), counts.tobytes(), pairs.tobytes(),
-        distinct, totals], CHUNK_KINDS, strict=True)], schema=CHUNK_KINDS)
+        uuid.uuid4().hex, ids, digests, n_parts, *[_by_document(c, ends) for c in sizes.T], planes.tobytes(),
+        counts.tobytes(), pairs.tobytes(), distinct, totals], CHUNK_KINDS, strict=True)], schema=CHUNK_KINDS)
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,20 +281,16 @@ def _chunker(path_a: str, path_b: str):
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sizes and counts of every document of a chunk, by running sums over its parts."""
+    """Counts of every document of a chunk, by running sums over its parts."""
     kinds = [pa.int64()] * 7 + [pa.string()]
     names = [c.split()[0] for c in OUT.split(", ")]
-
-    def running(values: np.ndarray) -> np.ndarray:
-        return np.concatenate([[0], np.cumsum(values, dtype="i8")])
-
     for batch in batches:
         for row in range(batch.num_rows):
             get = lambda name: batch.column(name)[row]  # noqa: B023, E731
-            local = np.frombuffer(get("parts").as_py(), "<i4")
-            counts = np.frombuffer(get("part_counts").as_py(), "<i4")
+            planes = np.frombuffer(get("parts").as_py(), "u1").reshape(4, -1)
+            local = np.ascontiguousarray(planes.T).view("<u4").ravel()
             pairs = np.frombuffer(get("part_pairs").as_py(), "<i8")
-            sizes = np.frombuffer(get("part_sizes").as_py(), "<i4").reshape(4, -1)
+            part_ends = _running(np.frombuffer(get("part_counts").as_py(), "<i4"))
             known = get("known").values
             if known is None:
                 known = pa.array([], pa.struct([("pair", pa.int64()), ("n", pa.int64()), ("best", pa.bool_())]))
@@ -286,12 +298,10 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = known.field("best").to_numpy(zero_copy_only=False)
             order = np.argsort(pair)
             at = order[np.searchsorted(pair, pairs, sorter=order)] if len(pairs) else np.zeros(0, "i8")
-            part_ends = running(counts)
-            by_part = [running(v)[part_ends[1:]] - running(v)[part_ends[:-1]] for v in (best[at].astype("i8"), n[at])]
-            ends = running(get("n_parts").values.to_numpy())
-            columns = [running(v[local])[ends[1:]] - running(v[local])[ends[:-1]] for v in [*sizes, *by_part]]
+            ends = _running(get("n_parts").values.to_numpy())
+            columns = [_by_document(_by_document(v, part_ends)[local], ends) for v in (best[at].astype("i8"), n[at])]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(
-                [get("doc_id").values, *columns, get("groups_sha256").values], kinds, strict=True)], names=names)
+                [get("doc_id").values, *[get(c).values for c in SIZES], *columns, get("groups_sha256").values], kinds, strict=True)], names=names)
 
 
 def chunks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:

@@ -31,6 +31,7 @@ from wastelens.llm import common
 
 MIN_PAGES = 5
 MIN_SHARE = 0.5
+MOST = 0.75
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<(/?)([A-Za-z][^\s/>]*+)([^<>]*+)\Z""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']++)\s*+(?:=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
@@ -96,7 +97,7 @@ def mark_of(tag: str, attributes: str) -> str | None:
 
 def settle(root: Element) -> Element:
     """Decide which elements go: a marked one with all it holds, unless only its name speaks against it and it holds the article,
-    or, where no article is left, more than half of the page's running text (reader comments go whatever their size)."""
+    or, where no article is left, more than ``MOST`` of the page's running text (reader comments go whatever their size)."""
     order, stack, running = [], [root], {id(None): False}
     while stack:
         x = stack.pop()
@@ -113,7 +114,7 @@ def settle(root: Element) -> Element:
         size[id(x)] = sum(size[id(p)] for p in below) + (
             sum(len(p.strip()) for p in x.parts if isinstance(p, str)) if running[id(x)] else 0)
     for x in order:
-        holds = main[id(x)] if main[id(root)] else x.mark != "readers" and 2 * size[id(x)] > size[id(root)]
+        holds = main[id(x)] if main[id(root)] else x.mark != "readers" and size[id(x)] > MOST * size[id(root)]
         x.gone = (x.parent is not None and x.parent.gone) or x.mark == "element" or x.mark is not None and not holds
     return root
 
