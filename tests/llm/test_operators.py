@@ -323,6 +323,30 @@ def test_index_reads_in_any_order_and_damage_is_seen(spark, tmp_path):
 # language
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
+def test_language_sample_is_bounded_by_distinct_texts(spark):
+    rows = [("a", f"rara {i}") for i in range(2000)] + [("a", f"copia {i % 3}") for i in range(6000)] + [("b", f"otra {i % 5}") for i in range(900)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string")
+    drawn = language.sample(docs, 300).collect()
+    assert len(drawn) == len(set(drawn))
+    sizes = {lang: sum(r["lang"] == lang for r in drawn) for lang in "ab"}
+    assert 200 < sizes["a"] < 400 and sizes["b"] == 5
+    assert {r["lang"] for r in language.sample(docs, 300, languages=1).collect()} == {"a"}
+    assert sorted(language.sample(docs.repartition(7), 300).collect()) == sorted(drawn)
+
+
+def test_numbers_that_look_like_letters_are_none():
+    assert language.words_of("½ ② Ⅷ ²") == []
+    assert language.words_of("Área x²y ½kg 12ab") == ["área", "x", "y", "kg", "ab"]
+
+
+def test_tied_languages_and_repeated_rows(spark):
+    rows = [(1, "casa", "b"), (2, "casa", "a"), (2, "casa", "a"), (3, None, "a"), (4, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identified(docs, language.fit(docs), "found", "sure").orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["found"]) for r in got] == [(1, "a"), (2, "a"), (2, "a"), (3, "und"), (4, "und")]
+    assert [r["sure"] for r in got] == [0.5, 0.5, 0.5, 0.0, 0.0]
+
+
 def test_held_out_accuracy(spark):
     got = language.op3_language(spark, "/root/testdata/sf0.01").filter("held_out")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")

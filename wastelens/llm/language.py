@@ -8,8 +8,9 @@
 * ``score`` is the winner's share of exp(-mean * words), with the number of words held at ``CERTAIN_WORDS``.
 * A text that is null or has no letter is ``und`` with score 0. Rows are independent: repeated rows get the same answer,
   no rows give no rows. Without labelled rows every text is ``und``.
-* The model is fitted on a sample of labelled rows of at most about ``SAMPLE_DOCS`` whole texts a language, drawn by a hash of the
-  text; that bound, not the corpus, sets the size of what is broadcast. Counting is a Spark aggregation with partial sums.
+* The model is fitted on a sample of about ``SAMPLE_DOCS`` *distinct* whole texts a language, drawn by a hash of the text; a text
+  counts once however many copies it has. That bound, not the corpus, sets the size of what is broadcast. Counting is a Spark
+  aggregation with partial sums. ``LANGUAGES`` bounds the names the model learns: the most frequent ones, ties to the smaller name.
 """
 
 from __future__ import annotations
@@ -27,16 +28,23 @@ from pyspark.sql import types as T
 from wastelens.llm import common
 
 SAMPLE_DOCS = 400
+LANGUAGES = 1000
 MAX_GRAM = 5
 PENALTY = 16.0
 CERTAIN_WORDS = 20
 CACHE_WORDS = 200_000
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")  # with some numbers, such as fractions and Roman numerals
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of characters that are letters (``str.isalpha``)."""
+    if not text:
+        return []
+    found = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for word in found for part in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -63,15 +71,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "n", "gram", "times"])
 
 
-def sample(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> DataFrame:
-    """About that many rows (lang, text) a language, the same in each run."""
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+def sample(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS, languages: int = LANGUAGES) -> DataFrame:
+    """About that many distinct rows (lang, text) a language, the same in each run.
+
+    A text is known by a 64-bit hash while distinct texts are counted; copies meet map-side, so a text that fills
+    a third of the table is one row a task. Only drawn texts are compared whole.
+    """
+    draw = F.xxhash64(F.lit("language"), "text")
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", draw.alias("draw"))
+    counted = rows.groupBy("lang", "draw").agg(F.count(F.lit(1)).alias("copies")).groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows"))
+    sizes = {r["lang"]: r["n"] for r in counted.orderBy(F.desc("rows"), "lang").limit(languages).collect()}
     if not sizes:
-        return rows
+        return rows.select("lang", "text")
     share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, docs_per_language / n)])
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("language"), "text"), 11).cast("double") / float(1 << 53)
-    return rows.filter(draw < F.element_at(share, F.col("lang")))
+    part = F.shiftrightunsigned("draw", 11).cast("double") / float(1 << 53)
+    return rows.filter(part < F.element_at(share, F.col("lang"))).select("lang", "text").distinct()
 
 
 class Model:
