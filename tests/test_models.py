@@ -72,6 +72,51 @@ def test_ar1_is_recovered(make_series):
     assert arima.stationarity(make_series(a=walk), KEY).first()["d"] == 1
 
 
+def test_p_value_of_the_ratio_agrees_with_the_published_table(spark):
+    table = {-3.43: 0.01, -3.12: 0.025, -2.86: 0.05, -2.57: 0.10, -0.44: 0.90, -0.07: 0.95}
+    rows = spark.createDataFrame([(t,) for t in (*table, -30.0, 5.0, None)], "t double").select("t", arima.p_of_ratio(F.col("t")).alias("p")).collect()
+    got = {r["t"]: r["p"] for r in rows}
+    assert all(got[t] == pytest.approx(p, abs=0.01) for t, p in table.items())
+    assert (got[-30.0], got[5.0], got[None]) == (0.0, 1.0, None)
+
+
+def reference_innovations(w, p, coef):
+    e = []
+    for t, v in enumerate(w):
+        past = [w[t - k] if t >= k else 0.0 for k in (1, 2, 3)] + [e[t - k] if t >= k else 0.0 for k in (1, 2, 3)]
+        e.append(v - coef[0] - sum(a * b for a, b in zip(coef[1:], past)) if t >= p else 0.0)
+    return np.array(e)
+
+
+def test_refinement_finds_the_least_sum_of_squares(make_series):
+    rng = np.random.default_rng(21)
+    noise = rng.normal(0, 1, 600)
+    both = np.zeros(600)
+    for t in range(1, 600):
+        both[t] = 4 + 0.6 * both[t - 1] + noise[t] + 0.5 * noise[t - 1]
+    data = make_series(larga=both, corta=both[:90])
+    for row in arima.fit(data, KEY, orders=[(1, 1)], d=0).collect():
+        w = both if row["serie"] == "larga" else both[:90]
+        coef, total = np.array(row["coef"]), lambda c: (reference_innovations(w, 1, c) ** 2).sum()
+        assert row["sce"] == pytest.approx(total(coef)) and row["sce"] <= row["inicio"]
+        assert row["es"] == pytest.approx(reference_innovations(w, 1, coef)[:-4:-1])
+        for i in (0, 1, 4):  # no neighbour is better
+            for shift in (-1e-3, 1e-3):
+                moved = coef.copy()
+                moved[i] += shift
+                assert total(moved) > row["sce"]
+        if row["serie"] == "larga":
+            assert coef[1] == pytest.approx(0.6, abs=0.1) and coef[4] == pytest.approx(0.5, abs=0.1)
+
+
+def test_refinement_never_ends_worse(make_series):
+    rng = np.random.default_rng(4)
+    data = make_series(**{f"s{i}": np.abs(rng.normal(10, 4, 40 + 7 * i)) * (i % 3 + 1) for i in range(12)}, plana=[3.0] * 50, salto=[0.0] * 30 + [1e9] * 30)
+    rows = arima.fit(data, KEY).filter("coef IS NOT NULL").collect()
+    assert len(rows) >= 13 and all(r["sce"] <= r["inicio"] for r in rows)
+    assert sum(r["sce"] < r["inicio"] for r in rows) > 5
+
+
 def test_differenced_forecast_continues_a_line(make_series):
     line = [5 + 2 * i + (i % 3) * 0.01 for i in range(60)]
     for d in (1, 2):

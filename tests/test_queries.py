@@ -1,5 +1,7 @@
 """Registered queries against their SQL twins on the smallest tables, plans and streams."""
 
+import datetime as dt
+import random
 import os
 
 import pytest
@@ -110,6 +112,53 @@ def test_cool_down_does_not_depend_on_files(spark, tmp_path):
         last[r[1:3]] = r[3]
 
 
+def by_rule(events, hours):
+    last, out = {}, []
+    for event_id, kind, user, ts in sorted(events, key=lambda r: (r[3], r[0])):
+        key = (kind, user)
+        if key not in last or ts - last[key] >= dt.timedelta(hours=hours):
+            last[key] = ts
+            out.append((event_id, kind, user, ts))
+    return sorted(out)
+
+
+def test_cool_down_agrees_with_the_rule_and_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Batches of several days in mixed order, a stop after half of them, a hot key, exact distances, equal times, keys without a user."""
+    schema = spark.read.parquet(f"{SMALL}/events.parquet").select("event_id", "event_type", "user_id", "ts").schema
+    start, rng = dt.datetime(2026, 3, 1), random.Random(3)
+    rows = [(i, "a" if i % 3 else "b", 1 if i % 2 else rng.randrange(5), start + dt.timedelta(minutes=rng.randrange(9 * 1440))) for i in range(900)]
+    rows += [(900 + i, "c", None, start + dt.timedelta(hours=24 * i)) for i in range(8)]  # each exactly at the end of the pause
+    rows += [(950 + i, "d", 7, start + dt.timedelta(hours=5)) for i in range(4)]  # equal times: the smallest id
+    rng.shuffle(rows)
+    root, marks, out = (str(tmp_path / name) for name in ("log", "marcas", "salida"))
+    spark.createDataFrame([], schema).write.parquet(marks)
+
+    def add(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(root)
+
+    def run():
+        read = lambda path: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        stream = jobs.cooled_alerts(read(root).union(read(marks)).withColumn("ts", F.col("ts").cast("timestamp")), late="30 days")
+        spark.conf.set(jobs.PROVIDER, jobs.ROCKSDB)
+        try:
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-control").trigger(
+                availableNow=True).start().awaitTermination()
+        finally:
+            spark.conf.unset(jobs.PROVIDER)
+
+    for k in range(3):
+        add(rows[150 * k:150 * (k + 1)])
+    run()  # the query ends; the next one begins from its checkpoint
+    for part in (rows[450:600], rows[600:]):
+        add(part)
+    run()
+    spark.createDataFrame([(None, None, None, jobs.END)], schema).write.mode("append").parquet(marks)
+    run()
+    got = spark.read.parquet(out).select("event_id", "event_type", "user_id", "ts").collect()
+    assert sorted(tuple(r) for r in got if r["event_type"] != "c") == by_rule([r for r in rows if r[1] != "c"], 24)
+    assert sorted(r["event_id"] for r in got if r["event_type"] == "c") == list(range(900, 908))
+
+
 def test_raw_lines_are_never_sorted_and_the_waste_scan_is_bounded(spark):
     wh = TradeWarehouse(spark, SMALL)
     for name in ("c01_clean", "t08_keep_first", "a29_correlations"):

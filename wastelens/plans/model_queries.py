@@ -68,6 +68,21 @@ def first_order(wh) -> DataFrame:
                       steady_round(F.get("fit.coef", F.lit(1)), 4).alias("pendiente"))
 
 
+def refined_first_order(wh) -> DataFrame:
+    """The refined fit of the one order whose least sum of squares has a closed form."""
+    rows = daily_table(wh)
+    fitted = arima.fit(rows, KEY, orders=[(1, 0)], d=0).join(rows.groupBy("serie").agg(F.count("*").alias("n")), "serie")
+    value = lambda i: steady_round(F.get("coef", F.lit(i)), 4)
+    return fitted.select("serie", value(0).alias("constante"), value(1).alias("pendiente"),
+                         steady_round(F.sqrt(F.col("sce") / (F.col("n") - 1)), 4).alias("rmse"))
+
+
+def unlagged_ratio(wh) -> DataFrame:
+    """The stationarity test without lagged differences, with the normal quantile of its p-value."""
+    tested = arima.stationarity(daily_table(wh), KEY, lags=0)
+    return tested.select("serie", steady_round(F.col("t"), 4).alias("t"), steady_round(arima.quantile_of_ratio(F.col("t")), 4).alias("z"), "d")
+
+
 def design_sums(wh) -> DataFrame:
     return _pairs(trend.normal_sums(daily(wh), KEY, multiplicative=False), trend.WIDTH + 1)
 
@@ -344,10 +359,13 @@ MODELS: dict[str, Callable[..., DataFrame]] = {
     "s14_read_back": read_back,
     "a35_stale_models": stale_models,
     "p12_forecast_history": lambda wh: listing.forecast_history(predictions_table(wh), wh.platos),
-    "m01_stationarity": lambda wh: arima.stationarity(daily_table(wh), KEY).select("serie", F.round("t", 4).alias("t"), "d"),
+    "m01_stationarity": lambda wh: arima.stationarity(daily_table(wh), KEY).select(
+        "serie", F.round("t", 4).alias("t"), F.round("p", 4).alias("p"), "d"),
+    "m01_unlagged_ratio": unlagged_ratio,
     "m02_lag_sums": lag_sums,
     "m02_arima_order": lambda wh: arima.fit(daily_table(wh), KEY).select("serie", "p", "d", "q", F.round("aic", 4).alias("aic")),
     "m03_first_order": first_order,
+    "m03_refined_first_order": refined_first_order,
     "m03_arima_forecast": lambda wh: _forecast(arima, wh),
     "m04_design_sums": design_sums,
     "m04_trend_forecast": lambda wh: _forecast(trend, wh),

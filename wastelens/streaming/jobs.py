@@ -9,13 +9,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wastelens.session import shared_dir
 
 
 END = dt.datetime(2200, 1, 1)
 HOUR = 3_600_000_000  # microseconds
+BUCKET = 6 * HOUR  # of waiting events, decided together
+KEYS = ["tipo", "usuario", "vacios"]  # keys of state without nulls: ``vacios`` says which of the two was one
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_stream(spark: SparkSession, root: str, files_per_trigger: int = 100, marks: str | None = None) -> DataFrame:
@@ -46,50 +50,89 @@ def weekly_totals(events: DataFrame, late: str = "1 day") -> DataFrame:
     ).select(F.to_date("v.start").alias("desde"), F.to_date("v.end").alias("hasta"), "event_type", "eventos", "valor")
 
 
-def _accept(hours: int):
-    """Keyed state: the last accepted time, and the events that the watermark has not reached yet."""
-    import pandas as pd
-
-    pause = hours * HOUR
-
-    def run(key, batches, state):
-        last, times, ids = state.get if state.exists else (None, [], [])
-        waiting = list(zip(times, ids, strict=True))
-        if not state.hasTimedOut:
-            for rows in batches:
-                waiting += zip(rows["us"].tolist(), rows["event_id"].tolist(), strict=True)
-        reached = state.getCurrentWatermarkMs() * 1000
-        waiting.sort()
-        out, passed = [], 0
-        while passed < len(waiting) and waiting[passed][0] <= reached:
-            us, event_id = waiting[passed]
-            passed += 1
-            if last is None or us >= last + pause:
+class CoolDown(StatefulProcessor):
+    """Accepts an alert of its key if the last accepted one is at least ``hours`` older.
+
+    Waiting events lie in a map state by bucket of event time, in parts that are written once: a batch adds parts with its own
+    events and reads no others. A timer at the end of a bucket decides and removes that bucket alone, so
+    neither work nor memory grows with what else a key has waiting.
+    """
+
+    def __init__(self, hours: int, bucket: int = BUCKET):
+        self.pause, self.bucket = hours * HOUR, bucket
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("ultimo", "us long")
+        self.parts = handle.getMapState("partes", "tramo long", "n int")
+        self.waiting = handle.getMapState("esperan", "tramo long, parte int", "tiempos array<long>, ids array<long>")
+
+    def _due(self, bucket: int) -> int:
+        """The millisecond at which a bucket has ended."""
+        return (bucket + 1) * self.bucket // 1000
+
+    def handleInputRows(self, key, rows, timerValues):
+        for batch in rows:
+            batch = batch.dropna(subset=["event_id"])  # a closing mark only moves the watermark
+            for number, new in batch.groupby(batch["us"] // self.bucket):
+                bucket = int(number)
+                held = self.parts.getValue((bucket,))
+                part = held[0] if held else 0
+                self.waiting.updateValue((bucket, part), (new["us"].astype("int64").tolist(), new["event_id"].astype("int64").tolist()))
+                self.parts.updateValue((bucket,), (part + 1,))
+                if not part:
+                    self.handle.registerTimer(self._due(bucket))
+        return iter(())
+
+    def _taken(self, bucket: int) -> list[tuple[int, int]]:
+        """The events of a bucket in order; they leave the state."""
+        held, out = self.parts.getValue((bucket,)), []
+        for part in range(held[0] if held else 0):
+            out += zip(*self.waiting.getValue((bucket, part)), strict=True)
+            self.waiting.removeKey((bucket, part))
+        if held:
+            self.parts.removeKey((bucket,))
+        return sorted(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        ended = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        kept = self.last.get()
+        before = last = kept[0] if kept else None
+        out = []
+        for us, event_id in self._taken(ended // self.bucket - 1):
+            if last is None or us >= last + self.pause:
                 last = us
                 out.append((event_id, *key, us))
-        waiting = waiting[passed:]
-        if not waiting and last is not None and reached >= last + pause:
-            state.remove()  # an event from now on is accepted anyway
-        elif waiting or last is not None:
-            state.update((last, [w[0] for w in waiting], [w[1] for w in waiting]))
-            due = max(reached + 1, waiting[0][0] if waiting else last + pause)
-            state.setTimeoutTimestamp(due // 1000 + 1)
-        yield pd.DataFrame(out, columns=["event_id", "event_type", "user_id", "us"])
+        if last is not None and last + self.pause <= ended:
+            self.last.clear()  # an event from now on is accepted anyway
+        elif last != before:
+            self.last.update((last,))
+            self.handle.registerTimer(self._due((last + self.pause - 1) // self.bucket))
+        if out:
+            yield pd.DataFrame(out, columns=["event_id", *KEYS, "us"])
 
-    return run
+    def close(self) -> None:
+        pass
 
 
 def cooled_alerts(events: DataFrame, hours: int = 24, late: str = "1 day") -> DataFrame:
     """Alerts of a (type, user) in order of event time: one is accepted if the last accepted one is at least ``hours`` older.
 
-    Events wait in the state of their key until the watermark has passed them, so the result does not depend on
-    how they are dealt into files or batches; equal times are taken in order of id.
+    Events wait in the state of their key until the watermark has passed their bucket, so the result does not depend on
+    how they are dealt into files or batches; equal times are taken in order of id. The session needs the
+    state store ``ROCKSDB`` when the stream starts; :func:`drain` sets it.
     """
-    timed = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
-    out = timed.groupBy("event_type", "user_id").applyInPandasWithState(
-        _accept(hours), "event_id long, event_type string, user_id long, us long",
-        "ultimo long, tiempos array<long>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-    return out.filter(F.col("event_id").isNotNull()).select("event_id", "event_type", "user_id", F.timestamp_micros("us").alias("ts"))
+    empty = F.col("event_type").isNull().cast("int") + 2 * F.col("user_id").isNull().cast("int")
+    timed = events.withWatermark("ts", late).select(
+        "event_id", "ts", F.coalesce("event_type", F.lit("")).alias("tipo"), F.coalesce("user_id", F.lit(0).cast("long")).alias("usuario"),
+        empty.alias("vacios"), F.unix_micros("ts").alias("us"))
+    out = timed.groupBy(*KEYS).transformWithStateInPandas(
+        CoolDown(hours), "event_id long, tipo string, usuario long, vacios int, us long", "Append", "EventTime")
+    return out.select(
+        "event_id", F.when(F.col("vacios") % 2 == 0, F.col("tipo")).alias("event_type"),
+        F.when(F.col("vacios") < 2, F.col("usuario")).alias("user_id"), F.timestamp_micros("us").alias("ts"))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
@@ -102,13 +145,22 @@ def drain(stream: DataFrame, purpose: str, marks: str | None = None) -> DataFram
     """Process all available input into a Parquet table of the shared folder and read it.
 
     With ``marks`` the log counts as ended: a second run reads a closing mark that moves the watermark past
-    everything, so that windows, sessions and waiting events still open are written too.
+    everything, so that windows, sessions and waiting events still open are written too. State is kept in ``ROCKSDB``, on
+    the executors' disks with its changes in the checkpoint.
     """
     spark, out = stream.sparkSession, shared_dir(stream.sparkSession, purpose)
 
     def run() -> None:
-        stream.writeStream.format("parquet").outputMode("append").option("path", f"{out}/datos").option(
-            "checkpointLocation", f"{out}/control").trigger(availableNow=True).start().awaitTermination()
+        before = spark.conf.get(PROVIDER, None)
+        spark.conf.set(PROVIDER, ROCKSDB)
+        try:
+            stream.writeStream.format("parquet").outputMode("append").option("path", f"{out}/datos").option(
+                "checkpointLocation", f"{out}/control").trigger(availableNow=True).start().awaitTermination()
+        finally:
+            if before is None:
+                spark.conf.unset(PROVIDER)
+            else:
+                spark.conf.set(PROVIDER, before)
 
     run()
     if marks:
