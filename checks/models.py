@@ -113,8 +113,8 @@ LEFT JOIN platos USING (id_plato)""", LINES),
     "m03_refined_first_order": sql(f"""SELECT serie, {rnd('a')} AS constante, {rnd('b')} AS pendiente, {rnd('sqrt((yy - b * b * xx) / n)')} AS rmse FROM
 (SELECT serie, regr_intercept(cantidad, l1) AS a, regr_slope(cantidad, l1) AS b, regr_syy(cantidad, l1) AS yy, regr_sxx(cantidad, l1) AS xx,
  regr_count(cantidad, l1) AS n FROM lags GROUP BY 1)""", RETR),
-    "m01_unlagged_ratio": sql(f"""SELECT serie, {rnd('t')} AS t, {rnd('z')} AS z, CASE WHEN z < -1.6448536269514722 THEN 0 ELSE 1 END AS d FROM
-(SELECT serie, t, CASE WHEN t <= -1.61 THEN 2.1659::DOUBLE + 1.4412::DOUBLE * t + 0.038269::DOUBLE * t * t
+    "m01_unlagged_ratio": sql(f"""SELECT serie, {rnd('t')} AS t, {rnd('z')} AS z, CASE WHEN t < -18.83 OR z < -1.6448536269514722 THEN 0 ELSE 1 END AS d FROM
+(SELECT serie, t, CASE WHEN t < -18.83 OR t > 2.74 THEN NULL WHEN t <= -1.61 THEN 2.1659::DOUBLE + 1.4412::DOUBLE * t + 0.038269::DOUBLE * t * t
  ELSE 1.7339::DOUBLE + 0.93202::DOUBLE * t - 0.12745::DOUBLE * t * t - 0.010368::DOUBLE * t * t * t END AS z FROM
  (SELECT serie, b / sqrt((yy - b * b * xx) / (n - 2) / xx) AS t FROM
   (SELECT serie, regr_slope(cantidad - l1, l1) AS b, regr_syy(cantidad - l1, l1) AS yy, regr_sxx(cantidad - l1, l1) AS xx,

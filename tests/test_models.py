@@ -132,6 +132,30 @@ def test_trend_follows_a_seasonal_series(make_series):
     assert np.abs(y[113:] - [r["yhat"] for r in out]).mean() < naive / 3
 
 
+def test_one_true_bend_leaves_few_knots(make_series):
+    t = np.arange(1, 201) / 200
+    rng = np.random.default_rng(9)
+    bent = 40 + 30 * t - 80 * np.maximum(0, t - 0.8 * 4 / 9)
+    fitted = trend.fit(make_series(ruido=bent + rng.normal(0, 1, 200), glatt=bent, recta=20 + 10 * t + rng.normal(0, 1, 200)), KEY, multiplicative=False).collect()
+    knots = {r["serie"]: np.array(r["coef"][2:10]) for r in fitted}
+    for name in ("ruido", "glatt"):
+        assert 1 <= np.count_nonzero(knots[name]) <= 3 and np.argmin(knots[name]) in (2, 3, 4)
+    assert np.count_nonzero(knots["recta"]) <= 1
+
+
+def test_bends_are_the_least_of_the_penalised_sum():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(5, 60, 8)).cumsum(1)
+    y = np.einsum("sij,j->si", x, [0, 2, 0, 0, -3, 0, 0, 0.5]) + rng.normal(size=(5, 60))
+    matrix, target, price = np.einsum("sij,sik->sjk", x, x), np.einsum("sij,si->sj", x, y), np.array([0.0, 1.0, 50.0, 500.0, 1e9])
+    found = trend.bends_of(matrix, target, price)
+    for m, c, cost, b in zip(matrix, target, price, found):
+        value = lambda v: v @ m @ v / 2 - v @ c + cost * np.abs(v).sum()
+        assert all(value(b + step * np.eye(8)[j]) >= value(b) - 1e-9 * abs(value(b)) for j in range(8) for step in (-1e-3, 1e-3))
+    assert found[0] == pytest.approx(np.linalg.solve(matrix[0], target[0]), rel=1e-5)
+    assert not found[4].any()
+
+
 def reference_smoothing(y, a, b, g, p):
     level, slope = np.mean(y[:7]), (np.mean(y[7:14]) - np.mean(y[:7])) / 7
     season, sse = [v - level for v in y[:7]], 0.0

@@ -37,14 +37,14 @@ def _lags(column: str, keys, count: int) -> list[Column]:
 
 
 def quantile_of_ratio(t: Column) -> Column:
-    """The normal quantile of the p-value of a Dickey-Fuller ratio with a constant."""
+    """The normal quantile of the p-value of a Dickey-Fuller ratio with a constant; null outside of ``DF_RANGE``."""
     def polynomial(values):
         out = F.lit(0.0)
         for v in reversed(values):
             out = out * t + v
         return out
 
-    return F.when(t <= DF_SPLIT, polynomial(DF_LOW)).otherwise(polynomial(DF_HIGH))
+    return F.when(t.between(*DF_RANGE), F.when(t <= DF_SPLIT, polynomial(DF_LOW)).otherwise(polynomial(DF_HIGH)))
 
 
 def p_of_ratio(t: Column) -> Column:

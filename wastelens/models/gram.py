@@ -35,12 +35,18 @@ _FIT = T.StructType([
     T.StructField("sse", T.DoubleType()), T.StructField("n", T.DoubleType())])
 
 
-def _solve_one(gram, take, ridge):
-    """Coefficients (zero outside ``take``), t-ratios and residual sum of one group."""
+def unpacked(gram) -> np.ndarray:
+    """The symmetric matrix of a packed upper triangle."""
     size = int((np.sqrt(8 * len(gram) + 1) - 1) / 2)
     full = np.zeros((size, size))
     full[np.triu_indices(size)] = gram
-    full = full + np.triu(full, 1).T
+    return full + np.triu(full, 1).T
+
+
+def _solve_one(gram, take, ridge):
+    """Coefficients (zero outside ``take``), t-ratios and residual sum of one group."""
+    full = unpacked(gram)
+    size = len(full)
     take = np.asarray(take, dtype=int)
     n, target = full[0, 0], size - 1
     penalty = np.asarray(ridge, dtype=float)[take]
