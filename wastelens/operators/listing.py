@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from wastelens.asof import days_before, in_period, month_start, previous, today, trailing, year_start
 from wastelens.functions import constants as K
 from wastelens.functions import scalar as S
-from wastelens.operators.common import dated_lines
+from wastelens.operators.common import dated_lines, join_known
+
+BROADCAST_TICKETS = 10_000  # some 100 bytes each
 
 
 def active(dim: DataFrame) -> DataFrame:
@@ -92,10 +94,12 @@ def latest_tickets(wh, limit: int = 200) -> DataFrame:
 
 
 def ticket_lines(wh, limit: int = 200) -> DataFrame:
-    """The latest tickets with their lines and dish names, one row per line. ``limit`` tickets are
-    a proven small side: they are broadcast and the lines are filtered where they lie, so a ticket
-    with very many lines is never gathered."""
-    head = F.broadcast(latest_tickets(wh, limit))
+    """The latest tickets with their lines and dish names, one row per line. Up to ``BROADCAST_TICKETS``
+    tickets are a proven small side: they are broadcast and the lines are filtered where they lie, so a
+    ticket with very many lines is never gathered. More tickets are left to size-based planning."""
+    head = latest_tickets(wh, limit)
+    if limit <= BROADCAST_TICKETS:
+        head = F.broadcast(head)
     lines = wh.detalle_ventas.select("id_venta", "id_plato", "cantidad", "subtotal").join(head, "id_venta")
     return lines.join(wh.platos.select("id_plato", "nombre"), "id_plato", "left").select(
         "id_venta", "fecha", "total", "id_plato", F.coalesce("nombre", F.lit("")).alias("plato"), "cantidad",
@@ -154,9 +158,10 @@ def contact_quality(wh) -> DataFrame:
 
 def waste_listing(wh) -> DataFrame:
     """Waste rows with both names, newest first."""
+    dishes = wh.platos.select("id_plato", F.col("nombre").alias("p"))
+    ingredients = wh.insumos.select("id_insumo", F.col("nombre").alias("i"))
     return (
-        wh.desperdicios.join(wh.platos.select("id_plato", F.col("nombre").alias("p")), "id_plato", "left")
-        .join(wh.insumos.select("id_insumo", F.col("nombre").alias("i")), "id_insumo", "left")
+        join_known(join_known(wh.desperdicios, dishes, "id_plato"), ingredients, "id_insumo")
         .select("fecha", "tipo", F.coalesce("p", F.lit("")).alias("plato"), F.coalesce("i", F.lit("")).alias("insumo"),
                 "cantidad", "unidad_medida", "motivo", F.col("costo_estimado").cast("double").alias("costo_estimado"))
         .orderBy(F.desc("fecha"))

@@ -15,6 +15,7 @@ from wastelens.functions import constants as K
 PAYMENTS = ["efectivo", "yape", "tarjeta", "plin"]
 HOURS = [12, 13, 14, 19, 20, 21]
 MODULUS = 1_000_003
+BLOCK = 4096  # dishes of a restaurant that are numbered together
 
 
 def draw(salt: int, *keys: Column) -> Column:
@@ -46,16 +47,29 @@ def tickets(restaurants: DataFrame, as_of: Column, n: int = 90) -> DataFrame:
         F.format_string("%02d:%02d:%02d", _pick(HOURS, pick), F.pmod(pick, F.lit(60)), F.pmod(F.floor(pick / 60), F.lit(60))).alias("hora"))
 
 
-def numbered(dishes: DataFrame) -> DataFrame:
-    w = W.partitionBy("id_restaurante")
-    return dishes.select("id_restaurante", "id_plato", "precio_venta", "costo_estimado").withColumns({
-        "puesto": (F.row_number().over(w.orderBy("id_plato")) - 1).cast("long"), "platos": F.count("*").over(w)})
+def numbered(dishes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Every dish with its position in its restaurant by id, from 0, and the restaurant's number of dishes.
+
+    The range of a restaurant's ids is cut into about one piece per ``block`` dishes. A position is the number of dishes in earlier
+    pieces plus the place within the piece, so no window runs over all dishes of a restaurant."""
+    rest, piece = W.partitionBy("id_restaurante"), W.partitionBy("id_restaurante", "_pieza")
+    rows = dishes.select("id_restaurante", "id_plato", "precio_venta", "costo_estimado")
+    span = rows.groupBy("id_restaurante").agg(
+        F.count("*").alias("platos"), F.min("id_plato").alias("_lo"), F.max("id_plato").alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("platos") / block)
+    rows = rows.join(span, "id_restaurante").withColumn(
+        "_pieza", F.coalesce(F.floor((F.col("id_plato") - F.col("_lo")) / width), F.lit(0))).drop("_lo", "_hi")
+    sizes = rows.groupBy("id_restaurante", "_pieza").agg(F.count("*").alias("_n"))
+    before = sizes.select("id_restaurante", "_pieza", (F.sum("_n").over(rest.orderBy("_pieza")) - F.col("_n")).alias("_antes"))
+    rows = rows.withColumn("_puesto", F.row_number().over(piece.orderBy("id_plato")) - 1)
+    return rows.join(before, ["id_restaurante", "_pieza"]).select(
+        "id_restaurante", "id_plato", "precio_venta", "costo_estimado", (F.col("_antes") + F.col("_puesto")).alias("puesto"), "platos")
 
 
 def ticket_lines(heads: DataFrame, dishes: DataFrame) -> DataFrame:
     """1-4 lines per ticket, 1-3 units each, of a dish of the same restaurant."""
     menu = numbered(dishes)
-    size = menu.groupBy("id_restaurante").agg(F.max("platos").alias("platos"))
+    size = dishes.groupBy("id_restaurante").agg(F.count("*").alias("platos"))
     key = [F.col(c) for c in ("id_restaurante", "dia", "ticket")]
     lines = heads.join(size, "id_restaurante").withColumn(
         "linea", F.explode(F.sequence(F.lit(1), (1 + F.pmod(draw(3, *key), F.lit(4))).cast("int"))))
@@ -69,7 +83,7 @@ def ticket_lines(heads: DataFrame, dishes: DataFrame) -> DataFrame:
 def production(restaurants: DataFrame, dishes: DataFrame, as_of: Column, n: int = 90) -> DataFrame:
     """A production row on about 60 % of the days of every restaurant: 15-40 made, 60-100 % sold."""
     menu = numbered(dishes)
-    size = menu.groupBy("id_restaurante").agg(F.max("platos").alias("platos"))
+    size = dishes.groupBy("id_restaurante").agg(F.count("*").alias("platos"))
     rest, day = F.col("id_restaurante"), F.col("dia")
     made = 15 + F.pmod(draw(7, rest, day), F.lit(26))
     rows = days(restaurants, as_of, n).filter(F.pmod(draw(6, rest, day), F.lit(10)) < 6).join(size, "id_restaurante")
