@@ -211,6 +211,20 @@ def test_chunks_stay_bounded(table, monkeypatch):
     assert len(alignment.aligner(token_binary.tokenizer_path(alignment.PATH_A), token_binary.tokenizer_path(alignment.PATH_B)).rows) < 200
 
 
+def test_parts_learnt_in_runs_equal_parts_learnt_alone(table):
+    texts = ["one two\nthree ñandú 漢字 \U0001f600x", "bad ▁part here", " lead  double  ", "tab\there e\u0301 \u200b z", "a", "\n", "x\ny"] + [
+        f"w{i} é{i}\n漢{i}" for i in range(90)]
+    names = list(dict.fromkeys(p for t in texts for p in table.parts(t)))
+    found = []
+    for run in (1, 5, alignment.RUN):
+        table.clear()
+        table._learn(names, run)
+        rows = [table.rows[n] for n in names]
+        found.append([(table.groups[r], table.sizes[4 * r:4 * r + 4].tolist(), table.pairs[r], r in table.bad) for r in rows])
+    table.clear()
+    assert found[0] == found[1] == found[2] and sum(bad for *_, bad in found[0]) == 1
+
+
 def test_links_overlap():
     assert alignment.links([2, 5, 6], [1, 5, 6]) == ([(0, 0), (0, 1), (1, 1), (2, 2)], [(2, 2), (3, 3)])
 

@@ -11,6 +11,7 @@ A byte-level BPE of the tokenizers library (A) reads space + text; a sentencepie
 * Texts are cut before a lone blank or line end between two characters that are no white space. Neither tokenizer has a token
   across such a cut (A's pre-tokenizer cuts there; that no piece of B holds a blank or line end behind another character is
   looked up, and if one does, texts stay whole), so the parts align on their own, and parts met before come from a bounded cache.
+  New parts are encoded in runs of ``RUN`` with such cuts between them; a run that its tokens do not spell is taken apart.
 * Link counts: a task packs its rows into chunks, each with the list of its parts, the parts of its documents and the sum of every pair of ids.
   The sums of all chunks are added, every chunk gets back the counts of its own pairs, and the documents are summed inside their
   chunk. So a pair is one row a chunk, however many links hold it, and no vocabulary table is broadcast. The best count of a B id is taken over
@@ -26,6 +27,8 @@ import re
 import uuid
 from array import array
 from collections.abc import Iterator
+from itertools import chain, pairwise
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -42,23 +45,37 @@ CHUNK_DOCS = 50_000
 SLICE = 32  # documents whose new parts are learnt together
 UNSURE = "\u180e\u200b\ufeff"  # white space to some libraries; no cut beside them
 CUT = re.compile(rf"(?<=[^\s{UNSURE}])(?=[ \n][^\s{UNSURE}])")
+SOLID = re.compile(rf"[ \n][^\s{UNSURE}](?:.*[^\s{UNSURE}])?", re.DOTALL)  # a part with a cut before it and behind it
+RUN = 32  # new parts that are encoded as one text, where there are cuts between them
 BLANK = "▁"
+MARKS = ["", ",", ";", "|"]  # before a token of a spelled group
+SPAN = attrgetter("id", "begin", "end")
 _state: dict = {}  # of this Python worker
 
 
+def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping (A, B) positions of two cuts of the same bytes, one pair for every end of either, and whether both end there."""
+    ends = np.union1d(a_ends, b_ends)
+    i, j = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+    return i, j, (a_ends[i] == ends) & (b_ends[j] == ends)
+
+
 def links(a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Overlapping (A, B) positions of two cuts of the same bytes, and the positions behind each common end."""
-    pairs, ends, i, j = [], [], 0, 0
-    while i < len(a_ends):
-        pairs.append((i, j))
-        a, b = a_ends[i], b_ends[j]
-        if a <= b:
-            i += 1
-        if b <= a:
-            j += 1
-        if a == b:
-            ends.append((i, j))
-    return pairs, ends
+    """Overlapping (A, B) positions as a list, and the positions behind each common end."""
+    i, j, shared = overlaps(np.array(a_ends, "i8"), np.array(b_ends, "i8"))
+    return list(zip(i.tolist(), j.tolist(), strict=True)), list(zip((i[shared] + 1).tolist(), (j[shared] + 1).tolist(), strict=True))
+
+
+def refined(coarse: np.ndarray, exact: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens: the coarse cut where it is exact, else the last exact one plus the sizes of the decoded tokens since."""
+    lengths = np.cumsum(sizes)
+    last = np.maximum.accumulate(np.where(exact, np.arange(len(exact)), -1))
+    return lengths + np.where(last >= 0, (coarse - lengths)[last], 0)
+
+
+def flat(nested, width: int) -> np.ndarray:
+    """Rows of ``width`` numbers from tuples of numbers in lists."""
+    return np.fromiter(chain.from_iterable(chain.from_iterable(nested)), "i8").reshape(-1, width)
 
 
 class Aligner:
@@ -78,8 +95,12 @@ class Aligner:
         self.a_bytes |= {i: t.content.encode() for i, t in self.a.get_added_tokens_decoder().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes = np.zeros(max(self.a_bytes) + 1, "i8")
+        self.a_sizes[list(self.a_bytes)] = list(map(len, self.a_bytes.values()))
+        self.b_sizes = np.fromiter(map(len, self.b_bytes), "i8", len(pieces))
         self.cuts = not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in pieces)
-        self.names = list(map(str, range(max(max(self.a_bytes) + 1, len(pieces)))))
+        self.vocabulary = max(max(self.a_bytes) + 1, len(pieces))
+        self.names = [mark + str(i) for mark in MARKS for i in range(self.vocabulary)]
         self.clear()
 
     def clear(self) -> None:
@@ -124,38 +145,6 @@ class Aligner:
         first = " " + out[0] if out[0][0] in " \n" else out[0]
         return [first, *[p[1:] if p[0] == " " else p for p in out[1:]]]
 
-    def tokens_a(self, text: str, raw: bytes, encoded) -> tuple[list[int], list[int]] | None:
-        """Ids and byte ends, from character offsets; None if the bytes are not those of the text."""
-        ids, offsets = encoded.ids, encoded.offsets
-        if b"".join([self.a_bytes[i] for i in ids]) != raw:
-            return None
-        ends = [e for _, e in offsets]
-        if len(raw) != len(text):
-            at = [0]
-            for c in text:
-                at.append(at[-1] + len(c.encode()))
-            starts = [s for s, _ in offsets[1:]] + [len(text)]
-            coarse, ends, end = ends, [], 0
-            for i, e, following in zip(ids, coarse, starts, strict=True):
-                end = at[e] if following >= e else end + len(self.a_bytes[i])  # the next token shares this one's last character
-                ends.append(end)
-        return ids, ends
-
-    def tokens_b(self, raw: bytes, proto) -> tuple[list[int], list[int]] | None:
-        """Ids and byte ends within the part, which starts with the blank that sentencepiece adds or with a line end, whose added blank is dropped."""
-        pieces, blank = proto.pieces, raw[0] == 32
-        if not blank:
-            added, *pieces = pieces
-            if added.piece != BLANK:
-                return None
-        ids, ends, end = [], [], 0
-        for p in pieces:
-            i, start, stop = p.id, p.begin, p.end
-            ids.append(i)
-            end = stop + blank if stop > start else end + len(self.b_bytes[i])
-            ends.append(end)
-        return (ids, ends) if b"".join([self.b_bytes[i] for i in ids]) == raw else None
-
     def learn(self, new: list[str]) -> None:
         """Align parts that the cache does not hold. The table holds no cycles, so the collector rests while it grows."""
         gc.disable()
@@ -164,31 +153,73 @@ class Aligner:
         finally:
             gc.enable()
 
-    def _learn(self, new: list[str]) -> None:
-        whole = [p if p[0] in " \n" else " " + p for p in new]
-        encoded = self.a.encode_batch(whole, add_special_tokens=False)
-        protos = self.b.encode([p[1:] if p[0] == " " else p for p in whole], return_type="proto", num_threads=1)
-        names = self.names
-        for name, text, e, p in zip(new, whole, encoded, protos, strict=True):
-            raw = text.encode()
-            self.rows[name] = len(self.groups)
-            self.chars += len(text)
-            a, b = self.tokens_a(text, raw, e), self.tokens_b(raw, p)
-            if a is None or b is None:
-                self.bad.add(len(self.groups))
-                self.groups.append("")
-                self.sizes.extend((0, 0, 0, 0))
-                self.pairs.append(b"")
+    def _learn(self, new: list[str], run: int = RUN) -> None:
+        solid, other = [], []
+        for name in new:
+            part = name, name if name[0] in " \n" else " " + name
+            (solid if SOLID.fullmatch(part[1]) else other).append(part)
+        runs = [solid[k:k + run] for k in range(0, len(solid), run)] + [[part] for part in other]
+        texts = ["".join([t for _, t in r]) for r in runs]
+        raws = [t.encode() for t in texts]
+        encoded = self.a.encode_batch(texts, add_special_tokens=False)
+        protos = self.b.encode([t[1:] if t[0] == " " else t for t in texts], return_type="proto", num_threads=1)
+        a = [e.ids for e in encoded]
+        # a text that starts with a line end loses the blank that sentencepiece adds
+        pieces = [p.pieces if t[0] == " " else p.pieces[1:] if p.pieces[0].piece == BLANK else [] for t, p in zip(texts, protos, strict=True)]
+        b = [list(map(SPAN, p)) for p in pieces]
+        spell_a, spell_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        good = [b"".join(map(spell_a, x)) == raw == b"".join([spell_b(i) for i, _, _ in y]) for x, y, raw in zip(a, b, raws, strict=True)]
+        if any(good):
+            kept, a, encoded, b = ([v for v, ok in zip(values, good, strict=True) if ok] for values in (runs, a, encoded, b))
+            groups, sizes, pairs = self.aligned([[t.encode() for _, t in r] for r in kept], a, [e.offsets for e in encoded], b)
+            names = [name for r in kept for name, _ in r]
+            self.rows.update(zip(names, range(len(self.groups), len(self.groups) + len(names)), strict=True))
+            self.chars += sum(map(len, names))
+            self.groups.extend(groups)
+            self.sizes.frombytes(sizes.astype("i4").tobytes())
+            self.pairs.extend(pairs)
+        for r in (r for r, ok in zip(runs, good, strict=True) if not ok):
+            if len(r) > 1:
+                self._learn([name for name, _ in r], 1)  # finds the part that the tokens do not spell
                 continue
-            (a_ids, a_ends), (b_ids, b_ends) = a, b
-            pairs, ends = links(a_ends, b_ends)
-            groups, i, j = [], 0, 0
-            for i2, j2 in ends:
-                groups.append(",".join([names[x] for x in a_ids[i:i2]]) + "|" + ",".join([names[x] for x in b_ids[j:j2]]))
-                i, j = i2, j2
-            self.groups.append(";".join(groups))
-            self.sizes.extend((len(a_ids), len(b_ids), len(groups), len(pairs)))
-            self.pairs.append(array("q", [a_ids[i] << 32 | b_ids[j] for i, j in pairs]).tobytes())
+            self.rows[r[0][0]] = len(self.groups)
+            self.chars += len(r[0][0])
+            self.bad.add(len(self.groups))
+            self.groups.append("")
+            self.sizes.extend((0, 0, 0, 0))
+            self.pairs.append(b"")
+
+    def aligned(self, runs: list[list[bytes]], a: list[list[int]], offsets: list[list[tuple[int, int]]],
+                b: list[list[tuple[int, int, int]]]) -> tuple[list[str], np.ndarray, list[bytes]]:
+        """Groups as text, sizes and linked ids of the parts of runs whose tokens spell them, from the ids and character offsets of A and
+        the ids and byte spans of B. All are aligned at once, as one text in which every part is a common end of both sides."""
+        raws = list(chain.from_iterable(runs))
+        n, starts = len(raws), _running(np.fromiter(map(len, raws), "i8", len(raws)))
+        text = np.frombuffer(b"".join(raws), "u1")
+        chars = np.append(np.flatnonzero((text & 0xC0) != 0x80), len(text))  # byte offsets of characters
+        run_starts = starts[_running(np.fromiter(map(len, runs), "i8", len(runs)))[:-1]]
+        run_a, run_b = (np.repeat(run_starts, np.fromiter(map(len, x), "i8", len(runs))) for x in (a, b))
+        a_ids, (b_ids, b_from, b_to) = np.fromiter(chain.from_iterable(a), "i8"), flat(b, 3).T
+        a_from, a_to = (flat(offsets, 2) + np.searchsorted(chars, run_a)[:, None]).T
+        following = np.append(a_from[1:], len(chars) - 1)  # a next token that starts before this one's end shares its last character
+        a_ends = refined(chars[a_to], following >= a_to, self.a_sizes[a_ids])
+        b_ends = refined(b_to + run_b + (text[run_b] == 32), b_to > b_from, self.b_sizes[b_ids])
+        part_a, part_b = (np.searchsorted(starts[1:], x) for x in (a_ends, b_ends))
+        n_a, n_b = (np.bincount(x, minlength=n) for x in (part_a, part_b))
+        i, j, shared = overlaps(a_ends, b_ends)
+        common_ends, link_part = a_ends[i[shared]], part_a[i]
+        n_links, n_groups = np.bincount(link_part, minlength=n), np.bincount(link_part[shared], minlength=n)
+        # a group's tokens of A, then those of B, each behind its mark
+        group_a, group_b = np.searchsorted(common_ends, a_ends), np.searchsorted(common_ends, b_ends)
+        new_a, new_b, new_part = (np.diff(x, prepend=-1) != 0 for x in (group_a, group_b, part_a))
+        marked = np.empty(len(a_ids) + len(b_ids), "i8")
+        marked[np.arange(len(a_ids)) + np.searchsorted(group_b, group_a)] = a_ids + self.vocabulary * np.where(new_part, 0, np.where(new_a, 2, 1))
+        marked[np.arange(len(b_ids)) + np.searchsorted(group_a, group_b, "right")] = b_ids + self.vocabulary * np.where(new_b, 3, 1)
+        words = list(map(self.names.__getitem__, marked.tolist()))
+        groups = ["".join(words[s:e]) for s, e in pairwise(_running(n_a + n_b).tolist())]
+        linked = (a_ids[i] << 32 | b_ids[j]).tobytes()
+        pairs = [linked[s:e] for s, e in pairwise((8 * _running(n_links)).tolist())]
+        return groups, np.stack([n_a, n_b, n_groups, n_links], axis=1), pairs
 
     def __call__(self, texts: list[str | None]) -> list[list[int]]:
         """Table rows of each text's parts in order; none if it has no tokens. Parts new to the table are learnt together."""
