@@ -168,3 +168,27 @@ def test_raw_lines_are_never_sorted_and_the_waste_scan_is_bounded(spark):
         assert "GreaterThanOrEqual(l_shipdate" in plan_of(CATALOG["a12_savings"](wh))
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_calls_of_state_follow_the_buckets_not_the_keys():
+    """A thousand users in two buckets of one slot: two waiting parts, two timers, and exact large ids beside a closing mark."""
+    import types
+
+    import pandas as pd
+
+    class Held(dict):
+        getValue, updateValue, removeKey = dict.get, dict.__setitem__, dict.__delitem__
+        get = lambda self: self.getValue(0)
+        update = lambda self, value: self.updateValue(0, value)
+
+    job, states, timers = jobs.CoolDown(24), {}, []
+    job.init(types.SimpleNamespace(getValueState=lambda name, _: states.setdefault(name, Held()),
+                                   getMapState=lambda name, *_: states.setdefault(name, Held()), registerTimer=timers.append))
+    big = 2**60 + 1
+    rows = [(big + 2 * i + k, "a", i, 0, i + k * jobs.BUCKET) for i in range(1000) for k in range(2)] + [(0, "", 0, 3 + jobs.MARK, 10**15)]
+    list(job.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["event_id", *jobs.KEYS, "us"])]), None))
+    assert len(states["esperan"]) == 2 and len(timers) == 2
+    got = [r for at in sorted(timers) for frame in job.handleExpiredTimer((0,), None, types.SimpleNamespace(getExpiryTimeInMs=lambda at=at: at))
+           for r in frame.itertuples(index=False)]
+    assert [(r.event_id, r.usuario, r.us) for r in got] == [(big + 2 * i, i, i) for i in range(1000)]
+    assert not states["esperan"] and not states["partes"]

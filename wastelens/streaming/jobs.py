@@ -17,7 +17,9 @@ from wastelens.session import shared_dir
 END = dt.datetime(2200, 1, 1)
 HOUR = 3_600_000_000  # microseconds
 BUCKET = 6 * HOUR  # of waiting events, decided together
-KEYS = ["tipo", "usuario", "vacios"]  # keys of state without nulls: ``vacios`` says which of the two was one
+KEYS = ["tipo", "usuario", "vacios"]  # keys without nulls: ``vacios`` says which of the two was one
+MARK = 4  # in ``vacios``: no event
+SLOTS = 128  # keys of state, each with many alert keys; fixed for the life of a checkpoint
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -50,12 +52,31 @@ def weekly_totals(events: DataFrame, late: str = "1 day") -> DataFrame:
     ).select(F.to_date("v.start").alias("desde"), F.to_date("v.end").alias("hasta"), "event_type", "eventos", "valor")
 
 
+def packed(rows) -> bytes:
+    """A pandas frame of waiting events as Arrow bytes: one value of state however many they are."""
+    import pyarrow as pa
+
+    batch, out = pa.RecordBatch.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> list[tuple]:
+    """The rows of such a frame."""
+    import pyarrow as pa
+
+    columns = pa.ipc.open_stream(data).read_all().to_pydict().values()
+    return list(zip(*columns, strict=True))
+
+
 class CoolDown(StatefulProcessor):
-    """Accepts an alert of its key if the last accepted one is at least ``hours`` older.
+    """Accepts an alert if the last accepted one of its key is at least ``hours`` older; a key of state is a slot of many such keys.
 
     Waiting events lie in a map state by bucket of event time, in parts that are written once: a batch adds parts with its own
     events and reads no others. A timer at the end of a bucket decides and removes that bucket alone, so
-    neither work nor memory grows with what else a key has waiting.
+    neither work nor memory grows with what else a slot has waiting. The calls of state follow the slots and buckets, not the
+    events or their keys. Beside them a slot holds the last accepted times whose pause has not ended.
     """
 
     def __init__(self, hours: int, bucket: int = BUCKET):
@@ -63,9 +84,9 @@ class CoolDown(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("ultimo", "us long")
+        self.last = handle.getValueState("ultimos", "filas binary")
         self.parts = handle.getMapState("partes", "tramo long", "n int")
-        self.waiting = handle.getMapState("esperan", "tramo long, parte int", "tiempos array<long>, ids array<long>")
+        self.waiting = handle.getMapState("esperan", "tramo long, parte int", "filas binary")
 
     def _due(self, bucket: int) -> int:
         """The millisecond at which a bucket has ended."""
@@ -73,22 +94,22 @@ class CoolDown(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         for batch in rows:
-            batch = batch.dropna(subset=["event_id"])  # a closing mark only moves the watermark
+            batch = batch[batch["vacios"] < MARK]  # a closing mark only moves the watermark
             for number, new in batch.groupby(batch["us"] // self.bucket):
                 bucket = int(number)
                 held = self.parts.getValue((bucket,))
                 part = held[0] if held else 0
-                self.waiting.updateValue((bucket, part), (new["us"].astype("int64").tolist(), new["event_id"].astype("int64").tolist()))
+                self.waiting.updateValue((bucket, part), (packed(new[["us", "event_id", *KEYS]]),))
                 self.parts.updateValue((bucket,), (part + 1,))
                 if not part:
                     self.handle.registerTimer(self._due(bucket))
         return iter(())
 
-    def _taken(self, bucket: int) -> list[tuple[int, int]]:
+    def _taken(self, bucket: int) -> list[tuple]:
         """The events of a bucket in order; they leave the state."""
         held, out = self.parts.getValue((bucket,)), []
         for part in range(held[0] if held else 0):
-            out += zip(*self.waiting.getValue((bucket, part)), strict=True)
+            out += unpacked(self.waiting.getValue((bucket, part))[0])
             self.waiting.removeKey((bucket, part))
         if held:
             self.parts.removeKey((bucket,))
@@ -98,18 +119,20 @@ class CoolDown(StatefulProcessor):
         import pandas as pd
 
         ended = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        kept = self.last.get()
-        before = last = kept[0] if kept else None
+        held = self.last.get()
+        last = {tuple(alert): us for *alert, us in unpacked(held[0])} if held else {}
         out = []
-        for us, event_id in self._taken(ended // self.bucket - 1):
-            if last is None or us >= last + self.pause:
-                last = us
-                out.append((event_id, *key, us))
-        if last is not None and last + self.pause <= ended:
-            self.last.clear()  # an event from now on is accepted anyway
-        elif last != before:
-            self.last.update((last,))
-            self.handle.registerTimer(self._due((last + self.pause - 1) // self.bucket))
+        for us, event_id, *alert in self._taken(ended // self.bucket - 1):
+            before = last.get(tuple(alert))
+            if before is None or us >= before + self.pause:
+                last[tuple(alert)] = us
+                out.append((event_id, *alert, us))
+        paused = [(*alert, us) for alert, us in last.items() if us + self.pause > ended]  # of others an event is accepted anyway
+        if paused:
+            self.last.update((packed(pd.DataFrame(paused, columns=[*KEYS, "us"])),))
+            self.handle.registerTimer(self._due((max(row[-1] for row in paused) + self.pause - 1) // self.bucket))
+        elif held:
+            self.last.clear()
         if out:
             yield pd.DataFrame(out, columns=["event_id", *KEYS, "us"])
 
@@ -120,15 +143,18 @@ class CoolDown(StatefulProcessor):
 def cooled_alerts(events: DataFrame, hours: int = 24, late: str = "1 day") -> DataFrame:
     """Alerts of a (type, user) in order of event time: one is accepted if the last accepted one is at least ``hours`` older.
 
-    Events wait in the state of their key until the watermark has passed their bucket, so the result does not depend on
-    how they are dealt into files or batches; equal times are taken in order of id. The session needs the
+    Events wait in the state of their slot, a hash of their key, until the watermark has passed their bucket, so the result does not
+    depend on how they are dealt into files or batches; equal times are taken in order of id. The session needs the
     state store ``ROCKSDB`` when the stream starts; :func:`drain` sets it.
     """
-    empty = F.col("event_type").isNull().cast("int") + 2 * F.col("user_id").isNull().cast("int")
+    absent = F.col("event_id").isNull() | F.col("ts").isNull()
+    empty = F.col("event_type").isNull().cast("int") + 2 * F.col("user_id").isNull().cast("int") + MARK * absent.cast("int")
+    number = lambda c: F.coalesce(c, F.lit(0).cast("long"))  # noqa: E731  nulls would make floats of them in pandas
     timed = events.withWatermark("ts", late).select(
-        "event_id", "ts", F.coalesce("event_type", F.lit("")).alias("tipo"), F.coalesce("user_id", F.lit(0).cast("long")).alias("usuario"),
-        empty.alias("vacios"), F.unix_micros("ts").alias("us"))
-    out = timed.groupBy(*KEYS).transformWithStateInPandas(
+        number("event_id").alias("event_id"), "ts", F.coalesce("event_type", F.lit("")).alias("tipo"), number("user_id").alias("usuario"),
+        empty.alias("vacios"), number(F.unix_micros("ts")).alias("us"))
+    slot = F.pmod(F.hash(*KEYS), F.lit(SLOTS)).alias("casilla")
+    out = timed.select("*", slot).groupBy("casilla").transformWithStateInPandas(
         CoolDown(hours), "event_id long, tipo string, usuario long, vacios int, us long", "Append", "EventTime")
     return out.select(
         "event_id", F.when(F.col("vacios") % 2 == 0, F.col("tipo")).alias("event_type"),
