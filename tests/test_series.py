@@ -222,3 +222,23 @@ def test_correlations_use_complete_pairs_and_leave_constants_null(spark):
     far = spark.createDataFrame([("a", 1e9 + i, 1e9 + (i % 7)) for i in range(1000)], "g string, x double, y double")
     value = [r["correlacion"] for r in eda.correlations(far, "g", ["x", "y"]).collect() if r["variable_a"] != r["variable_b"]][0]
     assert value == round(float(np.corrcoef(np.arange(1000), np.arange(1000) % 7)[0, 1]), 4)
+
+
+def test_parts_by_key_follow_the_size(spark, monkeypatch):
+    """Cleaning and counting duplicates: a task holds a bounded number of rows, also where keys lie in very small partitions."""
+    from wastelens.operators import common
+    monkeypatch.setattr(common, "PART_ROWS", 500)
+    n = 6000
+    raw = spark.range(n).select(F.col("id").alias("id_venta"), (F.col("id") % 7).alias("id_plato"), F.lit("2026-01-01").alias("fecha"),
+                                F.lit("1").alias("cantidad"), (F.col("id") % 3).alias("categoria")).unionByName(
+        spark.createDataFrame([(1, 1, "2026-01-01", "2", 1), (None, None, "2026-01-01", "2", None), (None, None, "2026-01-01", "3", None)],
+                              "id_venta long, id_plato long, fecha string, cantidad string, categoria long"))
+    out = cleaning.clean(raw, size=n)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n + 1 and len(sizes) == 12 and max(sizes) < 1000
+    assert tuple(cleaning.cleaning_warnings(raw, n).first()) == (0, 0, 0, 2)
+    count = cleaning.duplicate_count(raw, ["categoria"], n)
+    assert sorted(map(tuple, count.collect()), key=str) == [(0, 0, 2000), (1, 1, 2001), (2, 0, 2000), (None, 1, 2)]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (out, cleaning.cleaning_warnings(raw, n), count):
+        assert "12), REPARTITION_BY_NUM" in plan(df)

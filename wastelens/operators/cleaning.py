@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wastelens.functions.scalar import parse_date, parse_number
+from wastelens.operators.common import in_parts
 
 TRANSACTION_KEY = ["id_venta", "id_plato"]
 DAILY_KEY = ["fecha", "id_plato"]
@@ -25,30 +26,30 @@ def parsed(raw: DataFrame) -> DataFrame:
     )
 
 
-def clean(raw: DataFrame, tie_break: list[str] | None = None) -> DataFrame:
+def clean(raw: DataFrame, tie_break: list[str] | None = None, size: int | None = None) -> DataFrame:
     """Drop undated rows, impute missing and negative quantities with 0, keep the first row of a key.
 
     "First" is the smallest (tie-break columns, then date and quantity, then the rest; nulls first), compared as values of their own type, so
-    it does not depend on row order.
+    it does not depend on row order. ``size`` is about how many rows there are; their parts follow it.
     """
-    return _first(parsed(raw), tie_break)
+    return _first(parsed(raw), tie_break, size)
 
 
-def _first(rows: DataFrame, tie_break: list[str] | None) -> DataFrame:
+def _first(rows: DataFrame, tie_break: list[str] | None, size: int | None) -> DataFrame:
     rows = rows.filter(~F.col("fecha_invalida")).drop("fecha_invalida", "nulo", "negativo")
     key = natural_key(rows)
     rest = [c for c in (tie_break or []) if c not in key]
     rest += [c for c in ("fecha", "cantidad") if c not in key + rest]
     rest += [c for c in rows.columns if c not in key + rest]
-    return smallest(rows, key, rest).select(*rows.columns)
+    return smallest(in_parts(rows, key, size), key, rest).select(*rows.columns)
 
 
 def smallest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The smallest row of every key by ``order``, which names all other columns; nulls come first.
 
     One column is decided after the other, from the last on: the smallest value of a column among rows that agree in all
-    columns before it, and what belongs to that value. Every step is a hash aggregation that combines map-side, whatever the types of
-    the columns, so raw rows are never sorted and a key repeated very often moves as one row a task.
+    columns before it, and what belongs to that value. Every step is a hash aggregation, whatever the types of
+    the columns, so raw rows are never sorted; where they do not lie by key yet, a key repeated very often moves as one row a task.
     """
     if not order:
         return rows.select(*key).distinct()
@@ -78,19 +79,20 @@ class Repairs:
                 "duplicados": read["v"] - kept["k"]}
 
 
-def clean_observed(raw: DataFrame, tie_break: list[str] | None = None) -> tuple[DataFrame, Repairs]:
+def clean_observed(raw: DataFrame, tie_break: list[str] | None = None, size: int | None = None) -> tuple[DataFrame, Repairs]:
     """``clean``, and the counts of ``cleaning_warnings`` from the same pass: the facts are scanned and shuffled once."""
     found, valid = Repairs(), ~F.col("fecha_invalida")
     rows = parsed(raw).observe(
         found.read, F.count(F.when(~valid, 1)).alias("i"), F.count(F.when(valid, 1)).alias("v"),
         F.count(F.when(valid & F.col("nulo"), 1)).alias("n"), F.count(F.when(valid & F.col("negativo"), 1)).alias("g"))
-    return _first(rows, tie_break).observe(found.kept, F.count(F.lit(1)).alias("k")), found
+    return _first(rows, tie_break, size).observe(found.kept, F.count(F.lit(1)).alias("k")), found
 
 
-def cleaning_warnings(raw: DataFrame) -> DataFrame:
-    """How many rows each repair touched, one row."""
+def cleaning_warnings(raw: DataFrame, size: int | None = None) -> DataFrame:
+    """How many rows each repair touched, one row. ``size`` is about how many rows there are; their parts follow it."""
     rows = parsed(raw)
     key = natural_key(rows)
+    rows = in_parts(rows.select(*key, "fecha_invalida", "nulo", "negativo"), key, size)
     valid = ~F.col("fecha_invalida")
     per_key = rows.groupBy(*key).agg(
         F.count(F.when(~valid, 1)).alias("i"), F.count(F.when(valid, 1)).alias("v"),
@@ -101,9 +103,11 @@ def cleaning_warnings(raw: DataFrame) -> DataFrame:
         total(F.greatest(F.col("v") - 1, F.lit(0)), "duplicados"))
 
 
-def duplicate_count(df: DataFrame, by: list[str]) -> DataFrame:
-    """Rows beyond the first of their natural key, per group."""
-    per_key = df.groupBy(*by, *natural_key(df)).agg(F.count("*").alias("n"))
+def duplicate_count(df: DataFrame, by: list[str], size: int | None = None) -> DataFrame:
+    """Rows beyond the first of their natural key, per group. ``size`` is about how many rows there are; their parts follow it."""
+    key = natural_key(df)
+    rows = in_parts(df.select(*dict.fromkeys([*by, *key])), key, size)
+    per_key = rows.groupBy(*by, *key).agg(F.count("*").alias("n"))
     return per_key.groupBy(*by).agg(F.sum(F.col("n") - 1).cast("long").alias("duplicados"), F.sum("n").cast("long").alias("filas"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Period = Callable[[DataFrame], DataFrame]
+PART_ROWS = 250_000  # rows that one task aggregates by a key that hardly repeats
 
 
 def everything(df: DataFrame) -> DataFrame:
@@ -50,6 +51,13 @@ def join_known(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return known.select(*passed.columns).union(passed)
 
 
+def in_parts(rows: DataFrame, key: list[str], size: int | None = None) -> DataFrame:
+    """Rows by key in parts of about ``PART_ROWS`` of ``size`` rows, or as many as the session's shuffles have. An aggregation by
+    the key then keeps the part's rows in memory however large the table; partitions that are sized by their compressed bytes hold millions."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) if size is None else max(1, -(-size // PART_ROWS))
+    return rows.repartition(parts, *key)
+
+
 def units_by_dish(wh, period: Period = everything) -> DataFrame:
     """Units and revenue per dish: combined map-side, one row per dish after the shuffle."""
     return (

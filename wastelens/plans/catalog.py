@@ -130,6 +130,11 @@ def _daily(wh) -> DataFrame:
     return series.continuous(series.daily_series(wh))
 
 
+def _lines(wh) -> int:
+    """How many ticket lines there are: Parquet files say it in their footers."""
+    return wh.detalle_ventas.count()
+
+
 def _features(wh) -> DataFrame:
     return series.enriched(series.daily_demand(wh), wh.platos)
 
@@ -141,7 +146,7 @@ def _future(wh) -> DataFrame:
 
 
 SERIES: dict[str, Callable[..., DataFrame]] = {
-    "c01_clean": lambda wh: cleaning.clean(cleaning.raw_transactions(wh), ["linea"]),
+    "c01_clean": lambda wh: cleaning.clean(cleaning.raw_transactions(wh), ["linea"], _lines(wh)),
     "c01_cleaning_warnings": lambda wh: cleaning.cleaning_warnings(cleaning.raw_transactions(wh)),
     "t08_keep_first": lambda wh: wh.detalle_ventas.groupBy("id_venta", "id_plato").agg(F.min("linea").alias("linea")),
     "a21_daily_demand": series.daily_demand,
