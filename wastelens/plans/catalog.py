@@ -155,7 +155,7 @@ SERIES: dict[str, Callable[..., DataFrame]] = {
     "a23_descriptive": lambda wh: eda.descriptive(_daily(wh)),
     "a24_null_counts": lambda wh: cleaning.null_counts(wh.desperdicios, ["id_restaurante"]),
     "a24_null_counts_lines": lambda wh: cleaning.null_counts(listing.sales_lines(wh), ["categoria"]),
-    "a25_duplicates": lambda wh: cleaning.duplicate_count(listing.sales_lines(wh), ["categoria"]),
+    "a25_duplicates": lambda wh: cleaning.duplicate_count(listing.sales_lines(wh), ["categoria"], _lines(wh)),
     "a26_histogram": lambda wh: eda.histogram(_daily(wh)),
     "a27_by_weekday": lambda wh: eda.by_weekday(_daily(wh)),
     "a28_by_month": lambda wh: eda.by_month(_daily(wh)),
