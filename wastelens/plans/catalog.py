@@ -147,7 +147,7 @@ def _future(wh) -> DataFrame:
 
 SERIES: dict[str, Callable[..., DataFrame]] = {
     "c01_clean": lambda wh: cleaning.clean(cleaning.raw_transactions(wh), ["linea"], _lines(wh)),
-    "c01_cleaning_warnings": lambda wh: cleaning.cleaning_warnings(cleaning.raw_transactions(wh)),
+    "c01_cleaning_warnings": lambda wh: cleaning.cleaning_warnings(cleaning.raw_transactions(wh), _lines(wh)),
     "t08_keep_first": lambda wh: wh.detalle_ventas.groupBy("id_venta", "id_plato").agg(F.min("linea").alias("linea")),
     "a21_daily_demand": series.daily_demand,
     "a22_daily_series": series.daily_series,
