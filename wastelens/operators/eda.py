@@ -180,12 +180,12 @@ def tall(frame: DataFrame, part: str, keys: list[str]) -> DataFrame:
         "serie", "parte", "clave", "m.*")
 
 
-def complete_bundle(lines: DataFrame, series: DataFrame, features: DataFrame, by: str) -> DataFrame:
+def complete_bundle(lines: DataFrame, series: DataFrame, features: DataFrame, by: str, size: int | None = None) -> DataFrame:
     """All parts of the exploration as one long table: coverage, quality, statistics, outliers with their dates, weekdays,
-    months, histogram, correlations, weather and event codes."""
+    months, histogram, correlations, weather and event codes. ``size`` is about how many lines there are."""
     parts = [
         ("cobertura", coverage(lines, by), []), ("nulos", cleaning.null_counts(lines, [by]).withColumnRenamed(by, "serie"), ["columna"]),
-        ("duplicados", cleaning.duplicate_count(lines, [by]).withColumnRenamed(by, "serie"), []),
+        ("duplicados", cleaning.duplicate_count(lines, [by], size).withColumnRenamed(by, "serie"), []),
         ("descriptivas", descriptive(series), []), ("atipicos", outliers(series), []), ("dia_semana", by_weekday(series), ["dia_semana"]),
         ("mes", by_month(series), ["mes"]), ("histograma", histogram(series), ["bin"]),
         ("correlaciones", correlations(features, by, complete=KNOWN), ["variable_a", "variable_b"]), ("codigos", code_counts(features, by), ["variable", "codigo"])]

@@ -174,7 +174,7 @@ SERIES: dict[str, Callable[..., DataFrame]] = {
     "c06_features": lambda wh: _rounded(_features(wh), "ventas_7d"),
     "c07_future_rows": lambda wh: _rounded(_future(wh), "ventas_7d"),
     "c08_eda_bundle": lambda wh: eda.bundle(listing.sales_lines(wh), _daily(wh), "categoria"),
-    "c08_eda_complete": lambda wh: eda.complete_bundle(listing.sales_lines(wh), _daily(wh), _features(wh), "categoria"),
+    "c08_eda_complete": lambda wh: eda.complete_bundle(listing.sales_lines(wh), _daily(wh), _features(wh), "categoria", _lines(wh)),
     "c09_outliers": lambda wh: eda.outliers(_daily(wh)),
     "w01_trailing_mean": lambda wh: _rounded(series.trailing_mean(series.daily_demand(wh)), "ventas_7d").select(
         "fecha", "id_plato", "ventas_7d"),
