@@ -75,3 +75,36 @@ def test_no_row_is_grouped_beyond_the_bound(spark):
     rows = table(spark, 500)
     trees = forest.fit(rows, {"m": forest.spec("decision_tree", max_depth=4)}, 100)
     assert trees.select(F.size("value")).first()[0] > 7
+
+
+@pytest.mark.parametrize("hp", [{"n_estimators": 4, "max_depth": 6}, {"n_estimators": 3, "max_depth": 5, "max_features": "sqrt", "min_samples_leaf": 4}])
+def test_cells_give_the_trees_of_their_rows(spark, monkeypatch, hp):
+    """Equal rows summed before growth: the same forest, also where a cell that is found often is spread over parts and chunks."""
+    rows, s = table(spark, 500, levels=3).filter("x[3] < 2 OR rid % 5 > 0"), forest.spec("random_forest", **hp)
+    want = predicted(rows, forest.fit(rows, {"m": s}))
+    for part_rows, partitions in ((250_000, 3), (7, 2)):
+        monkeypatch.setattr(forest, "PART_ROWS", part_rows)
+        grown = forest.fit_cells(rows.repartition(partitions), s)
+        assert grown.count() == hp["n_estimators"]
+        got = {r["rid"]: r["p"] for r in rows.select("rid", forest.scorer(grown.collect())(F.col("x")).alias("p")).collect()}
+        assert sorted(got) == sorted(k[2] for k in want)
+        assert [got[k[2]] for k in want] == pytest.approx(list(want.values()), abs=1e-9)
+    assert forest.fit_cells(rows, s, rows.select("x").distinct().count() - 1) is None
+
+
+def test_cells_of_odd_rows(spark):
+    rows, s = table(spark, 40, levels=3), forest.spec("random_forest", n_estimators=3, max_depth=4)
+    assert forest.fit_cells(rows.limit(0), s).count() == 0
+    constant = rows.withColumns({"label": F.lit(5.0), "x": F.array(F.lit(1.0), F.lit(2.0))})
+    assert {r[0] for r in constant.select(forest.scorer(forest.fit_cells(constant, s).collect())(F.col("x"))).collect()} == {5.0}
+    with pytest.raises(Exception, match="labels must not be null"):
+        forest.fit_cells(rows.withColumn("label", F.when(F.col("rid") > 3, F.col("label"))), s)
+    with pytest.raises(ValueError):
+        forest.fit_cells(rows, forest.spec("gradient_boosting"))
+
+
+def test_edges_at_quantiles_part_the_rows_equally(spark):
+    rows = spark.range(6400).select(F.lit("").alias("pool"), F.array(F.pow(F.col("id").cast("double"), F.lit(3)), (F.col("id") % 3).cast("double")).alias("x"))
+    many, few = forest.edges(rows, at_quantiles=True)[""]
+    share = np.bincount(np.searchsorted(many, np.arange(6400.0) ** 3, side="left"), minlength=forest.BINS)
+    assert len(share) == forest.BINS and abs(share - 200).max() <= 5 and few.tolist() == [0.5, 1.5]

@@ -350,6 +350,27 @@ def test_linear_model_on_dish_rows(spark, day):
     assert scored.agg(F.avg(F.abs(F.col("y") - F.col("yhat")))).first()[0] < 0.5
 
 
+def test_a_forest_on_many_dish_rows_grows_from_cells(spark, day, monkeypatch):
+    """Over the bound the forest grows from cells, and is as good as MLlib's."""
+    pdf = pd.DataFrame([{"id_plato": p, "fecha": day(i), "cantidad": 3 * (p % 5) + i % 7, "dia_semana": i % 7, "mes": 1 + i // 31, "dia_mes": i % 31 + 1,
+                         "es_finde": int(i % 7 > 4), "clima": 1 + i % 3, "evento": 0, "cat_enc": p % 5, "ventas_7d": 3.0 * (p % 5)} for p in range(40) for i in range(60)])
+    rows = spark.createDataFrame(pdf)
+    error = lambda scored: scored.agg(F.avg(F.abs(F.col("y") - F.col("yhat")))).first()[0]
+    model, scored = trees.train_single(rows)
+    assert type(model).__name__ == "RandomForestRegressionModel"
+    monkeypatch.setattr(trees, "FOREST_ROWS", 100)
+    cells, found = trees.train_single(rows)
+    assert isinstance(cells, trees.CellForest) and cells.trees.count() == 100 and found.columns == scored.columns
+    assert found.count() == scored.count() and abs(error(found) - error(scored)) < 0.1 and error(found) < 0.2
+    shares = dict(trees.importances(cells))
+    assert sum(shares.values()) == pytest.approx(1.0) and shares["dia_semana"] == pytest.approx(dict(trees.importances(model))["dia_semana"], abs=0.1)
+    assert trees.forecast_dishes(cells, rows.limit(3), "random_forest").count() == 3
+    again = trees.train_single(rows.repartition(5))[1]
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(trees.forest, "LOCAL_CELLS", 10)  # more cells than a task holds: MLlib again
+    assert type(trees.train_single(rows)[0]).__name__ == "RandomForestRegressionModel"
+
+
 def test_random_search_on_time_folds(make_series):
     space = {"n_estimators": [2, 3], "max_depth": [2]}
     out = experiment.tune_on_folds(make_series(a=WEEKLY, b=WEEKLY + 4), "atencion_random_forest", n=2, k=2, space=space).collect()

@@ -8,6 +8,8 @@ its rows alone and not on partitions.
 * Wide sets grow level by level: one job sums (weight, weight * label, weight * label ** 2) per (tree, node, feature, bin) inside each task,
   adds the sums up, and takes every node's best split by ``max_by``. A node with at most ``local_rows`` rows goes to one task
   with those rows, which grows the rest of its tree. Sets that are that small begin there: one job, some trees a task.
+* Forests over coarse features grow from *cells* (``fit_cells``), rows of equal bins summed per tree: their work follows the cells, which
+  the bins bound, and of the rows there is one pass that draws the weights.
 * Boosting adds one tree after the other; wide sets carry the label and the fit so far with each row.
 * Trees are rows of a table and stay in it. The driver holds the bin edges (features * 31 numbers a pool) and, of wide
   sets, the splits above local nodes: at most trees * rows / local_rows.
@@ -15,15 +17,16 @@ its rows alone and not on partitions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wastelens.operators.common import PART_ROWS, in_parts
 from wastelens.session import cut_lineage
 
 BINS = 32
@@ -31,6 +34,7 @@ QUANTILES = 4 * BINS
 LOCAL_ROWS = 200_000
 SPREAD = 16  # tasks that share the trees of one small set
 BUCKET_ROWS = 100_000  # rows that are predicted together
+LOCAL_CELLS = 8_000_000  # cells of one tree that a task holds, 20 bytes each beside their bins
 DEEPEST = 30
 SEED = 42
 POISSON = np.cumsum([0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])  # unit mean
@@ -132,28 +136,32 @@ class Tree:
 
 
 def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, s: Spec, tree: int, path: int = 1, depth: int = 0) -> Tree:
-    """A tree, or the part of one below a node, over rows that fit into a task: all nodes of a level at a time."""
+    """A tree, or the part of one below a node, over rows that fit into a task."""
     used = np.flatnonzero(w)
-    n, width = len(used), bins.shape[1]
-    offset = bins[used].astype("i4") + (np.arange(width, dtype="i4") * BINS)
     y, w = y[used], w[used]
-    out = Tree(float(np.average(y, weights=w)) if n else 0.0)
-    rows, local = np.arange(n), np.zeros(n, "i4")
+    return _grown(bins[used], [w, w * y, w * y * y], float(np.average(y, weights=w)) if len(used) else 0.0, s, tree, path, depth)
+
+
+def _grown(bins: np.ndarray, parts: list[np.ndarray], value: float, s: Spec, tree: int, path: int = 1, depth: int = 0) -> Tree:
+    """All nodes of a level at a time. ``parts``: weight, weight * label and weight * label ** 2 of each row; ``value``: of the first node."""
+    width, out = bins.shape[1], Tree(value)
+    columns, local = np.ascontiguousarray(bins.T), np.zeros(len(bins), "i4")
     nodes, paths = np.zeros(1, "i8"), np.array([path], "i8")
-    while depth < s.depth and len(nodes) and len(rows):
-        cells = len(nodes) * width * BINS
-        at = (local[:, None] * np.int32(width * BINS) + offset[rows]).ravel()
-        wr, yr = w[rows], y[rows]
-        sums = np.stack([np.bincount(at, np.repeat(v, width), cells) for v in (wr, wr * yr, wr * yr * yr)])
-        sums = sums.reshape(3, len(nodes), width, BINS)
+    while depth < s.depth and len(nodes) and len(local):
+        sums = np.zeros((3, len(nodes), width, BINS))
+        for feature, column in enumerate(columns):
+            at = local * np.int32(BINS) + column
+            for k, v in enumerate(parts if feature == 0 else parts[:2]):  # the squares are added up over one feature
+                sums[k, :, feature] = np.bincount(at, v, len(nodes) * BINS).reshape(-1, BINS)
         f, b, gain, lw, ls = best_splits(sums, s, allowed(paths, tree, s, width))
         tw, ts = sums[0, :, 0].sum(axis=1), sums[1, :, 0].sum(axis=1)
         child = np.full(len(nodes), -1)
         for i in np.flatnonzero(f >= 0).tolist():
             child[i] = out.split(int(nodes[i]), int(f[i]), int(b[i]), float(gain[i]), ls[i] / lw[i], (ts[i] - ls[i]) / (tw[i] - lw[i]))
         stay = child[local] >= 0
-        rows, local = rows[stay], local[stay]
-        right = (offset[rows, f[local]] - f[local] * BINS > b[local]).astype("i4")
+        if not stay.all():
+            columns, local, parts = columns[:, stay], local[stay], [v[stay] for v in parts]
+        right = (columns[f[local], np.arange(len(local))] > b[local]).astype("i4")
         order = np.cumsum(child >= 0) - 1
         local = 2 * order[local].astype("i4") + right
         split = child >= 0
@@ -186,17 +194,22 @@ def boost(bins: np.ndarray, y: np.ndarray, ids: np.ndarray, s: Spec) -> list[Tre
 
 
 # ---- tables ----
-def edges(rows: DataFrame) -> dict[str, list[np.ndarray]]:
-    """Bin edges per pool and feature: between neighbouring values while there are few, else between quantiles."""
+def edges(rows: DataFrame, at_quantiles: bool = False) -> dict[str, list[np.ndarray]]:
+    """Bin edges per pool and feature: between neighbouring values while there are few, else between quantiles, or at those that
+    part the rows into ``BINS`` equal shares, as MLlib does."""
     asked = [i / QUANTILES for i in range(QUANTILES + 1)]
     found = rows.select("pool", F.posexplode("x")).groupBy("pool", "pos").agg(
         F.percentile_approx("col", F.array(*[F.lit(a) for a in asked]), 10_000).alias("q")).collect()
     out: dict[str, dict[int, np.ndarray]] = {}
     for r in found:
-        values = np.unique(np.array(r["q"], "f8"))
-        if len(values) > BINS:
-            values = np.unique(np.array(r["q"][::QUANTILES // BINS], "f8"))[-BINS:]
-        out.setdefault(r["pool"], {})[r["pos"]] = (values[1:] + values[:-1]) / 2
+        values, step = np.unique(np.array(r["q"], "f8")), QUANTILES // BINS
+        cuts = (values[1:] + values[:-1]) / 2
+        if len(values) > BINS and at_quantiles:
+            cuts = np.unique(np.array(r["q"][step:-1:step], "f8"))
+        elif len(values) > BINS:
+            values = np.unique(np.array(r["q"][::step], "f8"))[-BINS:]
+            cuts = (values[1:] + values[:-1]) / 2
+        out.setdefault(r["pool"], {})[r["pos"]] = cuts
     return {pool: [cuts[i] for i in sorted(cuts)] for pool, cuts in out.items()}
 
 
@@ -462,6 +475,90 @@ def fit(rows: DataFrame, specs: dict[str, Spec], local_rows: int = LOCAL_ROWS) -
     return cut_lineage(out, "bosque")
 
 
+# ---- cells ----
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches gathered to at least ``PART_ROWS`` rows; the last may be shorter."""
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n >= PART_ROWS:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def fit_cells(rows: DataFrame, s: Spec, local_cells: int | None = None) -> DataFrame | None:
+    """The trees of a forest over one pool, as ``fit`` grows them, written; None where the rows have more than ``local_cells`` (``LOCAL_CELLS``) cells.
+
+    Rows of equal bins are a cell. Every row draws its weights for all trees, next to the other rows of its cell, and every tree is grown
+    by a task from the weights and weighted labels of its cells. Rows of equal ``rid`` share their draws. Labels must not be null.
+    """
+    if s.boosted:
+        raise ValueError("a boosted tree needs the rows' fit so far")
+    cuts = edges(rows, at_quantiles=True)
+    rows = cut_lineage(binned(rows, cuts), "cubetas")
+    cells = rows.groupBy("bins").count()
+    size = cells.agg(F.count("*").alias("cells"), F.sum("count").alias("rows"), F.first("bins").alias("b")).first()
+    if size["cells"] > (LOCAL_CELLS if local_cells is None else local_cells):
+        return None
+    if not size["cells"]:
+        return rows.sparkSession.createDataFrame([], TREE)
+    (pool,), width, parts = cuts, len(size["b"]), -(-size["rows"] // PART_ROWS)
+    often = [r["bins"] for r in cells.filter(F.col("count") > PART_ROWS).collect()]  # fewer than parts; their rows are spread
+    salt = F.when(F.col("bins").isin(often), F.pmod("rid", F.lit(parts))) if often else F.lit(None).cast("long")
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _chunks(batches):
+            if table["label"].null_count:
+                raise ValueError("labels must not be null")
+            bins, y, ids = _bytes(table["bins"]), table["label"].to_numpy(), table["rid"].to_numpy()
+            first = np.flatnonzero(np.r_[True, (bins[1:] != bins[:-1]).any(axis=1)])
+            names = bins[first]
+            for t in range(s.trees):
+                w = bag(ids, t, s)
+                of_cell, label = np.add.reduceat(w, first), np.add.reduceat(w * y, first)
+                in_bag = of_cell > 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([t], pa.int32()), *[pa.array([v[in_bag].tobytes()], pa.binary()) for v in (names, of_cell.astype("<u4"), label)]],
+                    names=["tree", "bins", "w", "s"])
+
+    def grown(key, table):
+        (t,), pieces = (k.as_py() for k in key), sorted(table.to_pylist(), key=lambda p: (p["bins"], p["s"]))
+        bins, w, label = (np.frombuffer(b"".join(p[c] for p in pieces), kind) for c, kind in (("bins", "u1"), ("w", "<u4"), ("s", "f8")))
+        w = w.astype("f8")
+        value = float(label.sum() / w.sum()) if len(w) else 0.0
+        # the squares only tell a gain from rounding noise; those of the cells' means are at most those of the labels
+        tree = _grown(bins.reshape(-1, width), [w, label, label * label / w], value, s, t)
+        return pa.Table.from_pylist([_row("", pool, t, _weight(s, t), tree, cuts[pool])], TREE_TYPE)
+
+    laid = in_parts(rows.select("bins", "rid", "label", salt.alias("salt")), ["bins", "salt"], size["rows"]).sortWithinPartitions("bins", "rid", "label")
+    blocks = laid.drop("salt").mapInArrow(drawn, "tree int, bins binary, w binary, s binary")
+    return cut_lineage(blocks.repartition(2 * s.trees, "tree").groupBy("tree").applyInArrow(grown, TREE), "bosque")
+
+
+def scorer(trees: list) -> Callable[[Column], Column]:
+    """A column function, features (array<double>) to prediction, from the rows of the trees of one candidate and pool."""
+    ready = []
+    for t in sorted(trees, key=lambda t: t["tree"]):
+        feature, cut, left = (np.array(t[c]) for c in ("feature", "cut", "left"))
+        leaf = left < 0  # leads to itself
+        ready.append((np.where(leaf, 0, feature), np.where(leaf, np.inf, cut), np.where(leaf, np.arange(len(left)), left), np.array(t["value"]) * t["weight"]))
+
+    @F.arrow_udf("double")
+    def run(x: pa.Array) -> pa.Array:
+        x = _matrix(x)
+        flat, at, out = x.ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x))
+        for feature, cut, left, value in ready:
+            node, before = np.zeros(len(x), "i8"), None
+            while before is None or (node != before).any():
+                before, node = node, left[node] + (flat[at + feature[node]] > cut[node])
+            out += value[node]
+        return pa.array(out)
+
+    return run
+
+
 def predict(rows: DataFrame, trees: DataFrame, carried: list[str]) -> DataFrame:
     """``carried`` columns of the rows (pool, x, ...), once per candidate, with ``candidate`` and ``prediction``.
 

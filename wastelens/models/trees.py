@@ -2,13 +2,14 @@
 
 One model serves every series: the target is demand relative to the series' own training mean, so
 series of any level share the trees and the number of series does not multiply the fits. Folds and candidates are
-fitted together by ``forest``; models of single dishes are MLlib's.
+fitted together by ``forest``; models of single dishes are MLlib's, but for forests over more than ``FOREST_ROWS`` rows.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,6 +25,7 @@ MIN_ROWS = 5
 DEEPEST = 30  # MLlib's limit
 SERIES_CODES = 1 << 31  # series of equal code cannot be told apart by the trees
 NODE_MEMORY_MB = 128  # per-task statistics of one group of tree nodes
+FOREST_ROWS = 1_000_000  # MLlib visits every row once per tree and level; forests over more rows grow from cells of equal bins
 
 
 def regressor(kind: str, **hp):
@@ -200,11 +202,43 @@ def hash_split(rows: DataFrame, columns: list[str], test_pct: int = 20) -> DataF
     return rows.withColumn("es_test", F.pmod(F.xxhash64(F.lit(SEED), *columns), F.lit(100)) < test_pct)
 
 
+def feature_array() -> Column:
+    """What ``assembled`` puts into the vector."""
+    return F.array(*[F.col(c).cast("double") for c in FEATURES])
+
+
+class CellForest:
+    """A forest grown from cells, used as a fitted MLlib model is, on rows with the eight features; the driver holds its trees, as it does MLlib's."""
+
+    def __init__(self, trees: DataFrame):
+        self.trees = trees
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("prediction", forest.scorer(self.trees.collect())(feature_array()))
+
+    @property
+    def featureImportances(self):  # noqa: N802, MLlib's name
+        found = {r["feature"]: r["importance"] for r in forest.importances(self.trees).collect()}
+        return Vectors.dense([found.get(i, 0.0) for i in range(len(FEATURES))])
+
+
+def fit_single(train: DataFrame, kind: str, **hp):
+    """The fitted regressor. A forest over more than ``FOREST_ROWS`` rows grows from cells unless these are too many for a task
+    (``forest.LOCAL_CELLS``): the same trees, depth, bins, bagging and bounds as MLlib's, with draws that do not depend on partitions."""
+    if kind == "random_forest" and train.count() > FOREST_ROWS:
+        rid = F.xxhash64(F.lit(SEED), "fecha", "id_plato", "label", *FEATURES)
+        rows = train.select(F.lit("").alias("pool"), rid.alias("rid"), "label", feature_array().alias("x"))
+        grown = forest.fit_cells(rows, forest.spec(kind, **hp))
+        if grown is not None:
+            return CellForest(grown)
+    return regressor(kind, **hp).fit(train)
+
+
 def train_single(features: DataFrame, kind: str = "random_forest", **hp):
     """One pooled model on dish-level rows; returns (model, test rows with ``y`` and ``yhat``)."""
     hp = hp or {"random_forest": {"n_estimators": 100, "max_depth": 10}}.get(kind, {})
     rows = hash_split(assembled(features), ["fecha", "id_plato"])
-    model = regressor(kind, **hp).fit(rows.filter(~F.col("es_test")))
+    model = fit_single(rows.filter(~F.col("es_test")), kind, **hp)
     scored = model.transform(rows.filter("es_test")).select(
         F.lit(kind).alias("modelo"), "id_plato", "fecha", F.col("label").alias("y"), F.col("prediction").alias("yhat"),
         F.lit(None).cast("double").alias("previo"))
