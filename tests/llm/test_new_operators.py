@@ -211,6 +211,15 @@ def test_chunks_stay_bounded(table, monkeypatch):
     assert len(alignment.aligner(token_binary.tokenizer_path(alignment.PATH_A), token_binary.tokenizer_path(alignment.PATH_B)).rows) < 200
 
 
+def test_rows_do_not_hold_the_chunks(spark):
+    docs = spark.createDataFrame([(i, "one two three " * 40 + str(i % 7)) for i in range(300)], "doc_id long, text string").repartition(2)
+    placed = alignment.chunks(docs, token_binary.tokenizer_path(alignment.PATH_A), token_binary.tokenizer_path(alignment.PATH_B))
+    assert placed.select(F.max(F.length(F.to_json(F.struct("*"))))).first()[0] < 5000  # the digests of 150 documents alone are more
+    rows = placed.collect()
+    found = [i for r in rows for i in alignment._stored(r["name"], r["start"], r["size"]).column("doc_id")[0].as_py()]
+    assert sorted(found) == list(range(300)) and len({r["chunk"] for r in rows}) == len(rows) > 1
+
+
 def test_parts_learnt_in_runs_equal_parts_learnt_alone(table):
     texts = ["one two\nthree ñandú 漢字 \U0001f600x", "bad ▁part here", " lead  double  ", "tab\there e\u0301 \u200b z", "a", "\n", "x\ny"] + [
         f"w{i} é{i}\n漢{i}" for i in range(90)]

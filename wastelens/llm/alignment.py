@@ -16,6 +16,9 @@ A byte-level BPE of the tokenizers library (A) reads space + text; a sentencepie
   The sums of all chunks are added, every chunk gets back the counts of its own pairs, and the documents are summed inside their
   chunk. So a pair is one row a chunk, however many links hold it, and no vocabulary table is broadcast. The best count of a B id is taken over
   at most as many pairs as A has ids. Chunks are written before they are read again, so a lost executor repeats only its own.
+* A chunk takes megabytes, its pairs a fraction of that. So a task writes its chunks one behind the other to a file of its own attempt in the
+  shared folder, and Spark's rows hold the pairs, the sums and the place in that file: a chunk is never shuffled, sorted or read beside
+  others, and is opened once, alone, where the counts of its pairs arrive. Only files that a committed row names count.
 """
 
 from __future__ import annotations
@@ -32,10 +35,13 @@ from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wastelens.llm import common, token_binary
+from wastelens.session import shared_dir
 
 PATH_A, PATH_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CACHE_PARTS = 250_000  # parts a worker remembers, some 400 bytes each
@@ -243,12 +249,15 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 
 
 SIZES = ["n_a", "n_b", "n_groups", "n_links"]
-CHUNK = ("chunk string, doc_id array<long>, groups_sha256 array<string>, n_parts array<int>, n_a array<long>, n_b array<long>, n_groups array<long>, "
-         "n_links array<long>, parts binary, part_counts binary, part_pairs binary, pairs array<long>, totals array<long>")
 CHUNK_KINDS = pa.schema([
-    ("chunk", pa.string()), ("doc_id", pa.list_(pa.int64())), ("groups_sha256", pa.list_(pa.string())), ("n_parts", pa.list_(pa.int32())),
+    ("doc_id", pa.list_(pa.int64())), ("groups_sha256", pa.list_(pa.string())), ("n_parts", pa.list_(pa.int32())),
     *[(c, pa.list_(pa.int64())) for c in SIZES], ("parts", pa.binary()), ("part_counts", pa.binary()), ("part_pairs", pa.binary()),
     ("pairs", pa.list_(pa.int64())), ("totals", pa.list_(pa.int64()))])
+STORED = [c for c in CHUNK_KINDS.names if c not in ("pairs", "totals")]  # in a file; the others are columns of Spark's rows
+TASK_CHUNKS = 1 << 32  # numbers of a task's chunks
+PLACE = "chunk long, name string, start long, size long, pairs array<long>, totals array<long>"
+PLACE_KINDS = pa.schema([("chunk", pa.int64()), ("name", pa.string()), ("start", pa.int64()), ("size", pa.int64()),
+                         ("pairs", pa.list_(pa.int64())), ("totals", pa.list_(pa.int64()))])
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -280,7 +289,7 @@ def _packed(table: Aligner, ids: list, digests: list, n_parts: list, parts: arra
     totals = np.bincount(at, weights=np.repeat(uses, counts), minlength=len(distinct)).astype("i8")  # below 2**53 in one chunk
     planes = np.ascontiguousarray(place[local].view("u1").reshape(-1, 4).T)
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([
-        uuid.uuid4().hex, ids, digests, n_parts, *[_by_document(c, ends) for c in sizes.T], planes.tobytes(),
+        ids, digests, n_parts, *[_by_document(c, ends) for c in sizes.T], planes.tobytes(),
         counts.tobytes(), pairs.tobytes(), distinct, totals], CHUNK_KINDS, strict=True)], schema=CHUNK_KINDS)
 
 
@@ -311,18 +320,52 @@ def _chunker(path_a: str, path_b: str):
     return chunks
 
 
+def _bytes(chunk: pa.RecordBatch) -> pa.Buffer:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, chunk.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(chunk)
+    return sink.getvalue()
+
+
+def _stored(name: str, start: int, size: int) -> pa.RecordBatch:
+    system, path = pafs.FileSystem.from_uri(name)
+    with system.open_input_file(path) as file, pa.ipc.open_stream(file.read_at(size, start)) as stream:
+        return stream.read_next_batch()
+
+
+def _writer(root: str, path_a: str, path_b: str):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, name, start = None, f"{root}/{uuid.uuid4().hex}", 0
+        first = TaskContext.get().partitionId() * TASK_CHUNKS  # one attempt of a partition is committed
+        for number, chunk in enumerate(_chunker(path_a, path_b)(batches), first):
+            if file is None:
+                system, path = pafs.FileSystem.from_uri(name)
+                file = system.open_output_stream(path)
+            data = _bytes(chunk.select(STORED))
+            file.write(data)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([number]), pa.array([name]), pa.array([start]), pa.array([data.size]), chunk.column("pairs"), chunk.column("totals")],
+                schema=PLACE_KINDS)
+            start += data.size
+        if file is not None:
+            file.close()
+
+    return write
+
+
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of every document of a chunk, by running sums over its parts."""
     kinds = [pa.int64()] * 7 + [pa.string()]
     names = [c.split()[0] for c in OUT.split(", ")]
     for batch in batches:
         for row in range(batch.num_rows):
-            get = lambda name: batch.column(name)[row]  # noqa: B023, E731
+            chunk = _stored(*(batch.column(c)[row].as_py() for c in ("name", "start", "size")))
+            get = lambda name: chunk.column(name)[0]  # noqa: B023, E731
             planes = np.frombuffer(get("parts").as_py(), "u1").reshape(4, -1)
             local = np.ascontiguousarray(planes.T).view("<u4").ravel()
             pairs = np.frombuffer(get("part_pairs").as_py(), "<i8")
             part_ends = _running(np.frombuffer(get("part_counts").as_py(), "<i4"))
-            known = get("known").values
+            known = batch.column("known")[row].values
             if known is None:
                 known = pa.array([], pa.struct([("pair", pa.int64()), ("n", pa.int64()), ("best", pa.bool_())]))
             pair, n = (known.field(f).to_numpy() for f in ("pair", "n"))
@@ -336,8 +379,12 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chunks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """Where every chunk is stored, its pairs and their sums."""
+    root = shared_dir(docs.sparkSession, "alignment")
+    system, path = pafs.FileSystem.from_uri(root)
+    system.create_dir(path, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return common.cut_lineage(rows.mapInArrow(_chunker(path_a, path_b), CHUNK), "alignment")
+    return common.cut_lineage(rows.mapInArrow(_writer(root, path_a, path_b), PLACE), "alignment")
 
 
 def link_counts(packed: DataFrame) -> DataFrame:
